@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import flac, simhash
 from .common import table
 
 
@@ -16,8 +16,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = flac.write_media(table(spark, sf_dir, "documents"))
+    return flac.digests(media).drop("error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_flac": op2_flac,
 }
 
 ORACLES: dict[str, str] = {}

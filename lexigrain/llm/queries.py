@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, simhash
+from . import flac, labelled, quality, simhash, toxicity
 from .common import table
 
 
@@ -21,9 +21,26 @@ def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(media).drop("error")
 
 
+def _classified(spark: SparkSession, sf_dir: str, kind) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kind.fit(docs, table(spark, sf_dir, "labels"))
+    scores = kind.scored(docs.select("doc_id", "text"), model).drop("text")
+    return scores.select("doc_id", labelled.held_out("doc_id", *kind.FOLD).alias("held_out"), "score", kind.predicted(F.col("score")).alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_flac": op2_flac,
+    "op3_toxicity": op3_toxicity,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = {}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, labelled, quality, simhash, toxicity
-from .common import table
+from . import chat, decontam, flac, labelled, mixing, quality, resharding, simhash, toxicity
+from .common import crc_text, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,52 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicated(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("rate", F.round("rate", 9))
+
+
+OP4_SQL = """
+WITH own AS (SELECT source, sum(coalesce(strlen(text), 0) + 1) AS bytes, pow(sum(coalesce(strlen(text), 0) + 1), 0.5) AS w FROM documents GROUP BY source),
+total AS (SELECT sum(w) AS all_w, sum(bytes)::DOUBLE AS all_bytes FROM own),
+rates AS (SELECT source, w / all_w * all_bytes / bytes AS rate FROM own, total),
+terms AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k FROM rates),
+cdf AS (SELECT source, rate, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+drawn AS (SELECT *, CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+counted AS (SELECT d.doc_id, any_value(c.rate) AS rate, count(*) AS copies FROM drawn d JOIN cdf c ON d.source = c.source AND c.c <= d.u GROUP BY d.doc_id),
+copied AS (SELECT doc_id, rate, copies, unnest(range(1, copies + 1)) AS copy FROM counted)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, round(c.rate, 9) AS rate, CAST(c.copies AS INTEGER) AS copies,
+       CAST(c.copy AS INTEGER) AS copy, md5('mix/order:' || d.doc_id || ':' || c.copy) AS shuffle_key
+FROM copied c JOIN documents d USING (doc_id)
+"""
+
+
+def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    placed = resharding.reshard(docs, F.pmod(crc_text("source"), F.lit(8)), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = """
+WITH turns AS (SELECT conv_id, role, text, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+       string_agg(role || chr(30) || text, chr(31)) OVER w AS said
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+whole AS (SELECT n, said, min(conv_id) AS conv_id FROM turns WHERE pos = n GROUP BY n, said),
+kept AS (SELECT w.conv_id, w.n FROM whole w ANTI JOIN (SELECT DISTINCT pos, said FROM turns WHERE pos < n) p ON p.pos = w.n AND p.said = w.said)
+SELECT k.conv_id, k.n AS n_turns, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
+FROM kept k JOIN turns t ON t.conv_id = k.conv_id GROUP BY k.conv_id, k.n
+"""
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality)
 
@@ -40,7 +86,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_flac": op2_flac,
     "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
+    "op5_resharding": op5_resharding,
     "op8_quality": op8_quality,
+    "op9_chat": op9_chat,
+    "op10_decontam": op10_decontam,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_chat": OP9_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, flac, labelled, mixing, quality, resharding, simhash, toxicity
+from . import chat, decontam, flac, labelled, mixing, quality, resharding, setjoin, simhash, toxicity
 from .common import crc_text, table
 
 
@@ -59,6 +59,34 @@ def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op6_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = setjoin.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.md5("text").alias("text_md5"), "n_lines", "n_copies", "n_near", "n_links")
+
+
+OP6_SQL = """
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+numbered AS (SELECT doc_id, unnest(parts) AS line, unnest(range(0, len(parts))) AS place FROM split),
+sets AS (SELECT doc_id, place, line, list_distinct(list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda w: w <> '')) AS words FROM numbered),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS nth FROM sets WHERE len(words) > 0),
+firsts AS (SELECT row_number() OVER (ORDER BY doc_id, place) AS id, doc_id, place, words, len(words) AS n FROM ordered WHERE nth = 1),
+tokens AS (SELECT id, n, unnest(words) AS word FROM firsts),
+counted AS (SELECT id, n, word, count(*) OVER (PARTITION BY word) AS df FROM tokens),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY df, word) AS i FROM counted),
+prefix AS (SELECT * FROM ranked WHERE i <= n - (4 * n + 4) // 5 + 1 AND df > 1),
+pairs AS (SELECT DISTINCT x.id AS later, y.id AS earlier FROM prefix x JOIN prefix y ON x.word = y.word AND x.id > y.id AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n),
+links AS (SELECT later, earlier FROM pairs JOIN firsts x ON x.id = later JOIN firsts y ON y.id = earlier WHERE 9 * len(list_intersect(x.words, y.words)) >= 4 * (x.n + y.n)),
+copied AS (SELECT doc_id, place, 1 AS kind FROM ordered WHERE nth > 1),
+near AS (SELECT doc_id, place, 2 AS kind FROM firsts WHERE id IN (SELECT later FROM links)),
+gone AS (SELECT * FROM copied UNION ALL SELECT * FROM near),
+linked AS (SELECT doc_id, count(*) AS n_links FROM (SELECT later AS id FROM links UNION ALL SELECT earlier FROM links) JOIN firsts USING (id) GROUP BY doc_id),
+texts AS (SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.place) FILTER (WHERE g.kind IS NULL) AS text, count(*) AS n_lines,
+          count(*) FILTER (WHERE g.kind = 1) AS n_copies, count(*) FILTER (WHERE g.kind = 2) AS n_near
+          FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.place = n.place GROUP BY n.doc_id)
+SELECT doc_id, md5(coalesce(text, '')) AS text_md5, n_lines, n_copies, n_near, coalesce(n_links, 0) AS n_links FROM texts LEFT JOIN linked USING (doc_id)
+"""
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
@@ -88,9 +116,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_resharding": op5_resharding,
+    "op6_linedup": op6_linedup,
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_decontam": op10_decontam,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_chat": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_linedup": OP6_SQL, "op9_chat": OP9_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, flac, labelled, mixing, quality, resharding, setjoin, simhash, toxicity
+from . import chat, decontam, flac, labelled, mixing, quality, resharding, secrets, setjoin, simhash, toxicity
 from .common import crc_text, table
 
 
@@ -87,6 +87,14 @@ SELECT doc_id, md5(coalesce(text, '')) AS text_md5, n_lines, n_copies, n_near, c
 """
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scanned(docs, secrets.train(secrets.samples(docs)))
+    base, every = F.col("base_spans"), F.sort_array(F.concat("base_spans", "added_spans"))
+    counts = [secrets.count_of(base, kind).alias(f"n_{kind}") for kind, *_ in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(every).alias("spans"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
@@ -117,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_resharding": op5_resharding,
     "op6_linedup": op6_linedup,
+    "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_decontam": op10_decontam,

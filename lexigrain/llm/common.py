@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,17 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def saved(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written as Parquet under ``folder`` and read again."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        cut(spark.range(0))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

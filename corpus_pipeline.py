@@ -1,15 +1,60 @@
-"""The corpus pipeline: stages that each apply one operator to what the last one kept."""
+"""The corpus pipeline: each stage applies one operator to all that the last one kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from lexigrain.llm import decontam, mixing, quality, resharding, simhash
+from lexigrain.llm.common import crc_text, saved, shared_folder, table
+
+SHARDS = 8
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it is fitted on the labelled ones among ``docs``."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(quality.score_udf(docs, model)(F.col("text")) >= quality.THRESHOLD)
+
+
+def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of SimHash near-duplicates: that of the least id."""
+    return simhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of the documents by Poisson counts; a source's weight is the root of its size."""
+    return mixing.replicated(docs).select(docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in shards of even bytes, moved from where their sources lie: ``shard``, ``slot``, ``size``, ``old_shard`` follow."""
+    return resharding.reshard(docs, F.pmod(crc_text("source"), F.lit(SHARDS)), SHARDS)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", near_distinct),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixed),
+    ("sharding", sharded),
+]
+
+#: SQL can express neither the classifier nor XXH64; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages over ``documents``, each one's rows written and read again for the next."""
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_folder(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = saved(docs, f"{folder}/{i}")
     return docs

@@ -192,11 +192,18 @@ def one_sided(rated: DataFrame, times: float = 5.0) -> DataFrame:
     return rated.filter(F.col("rate_b") >= times * F.greatest(F.col("rate_a"), F.lit(1e-9)))
 
 
+def top_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column], k: int, spread: Sequence[str], parts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each key, with ``rank``; a hot key is ranked in ``parts`` pieces first."""
+    piece = rows.withColumn("__piece", F.pmod(F.xxhash64(*spread), F.lit(parts)))
+    near = piece.withColumn("__rank", F.row_number().over(Window.partitionBy(*key, "__piece").orderBy(*order))).filter(F.col("__rank") <= k)
+    last = near.drop("__rank", "__piece").withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return last.filter(F.col("rank") <= k)
+
+
 def sample_per_key(rows: DataFrame, key: str, row_id: Sequence[str], k: int, seed: str = "s") -> DataFrame:
     """Exactly ``k`` rows of each key (or all it has), those that hash least."""
-    text = F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in row_id])
-    order = Window.partitionBy(key).orderBy(F.md5(text), *row_id)
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in row_id]))
+    return top_per_key(rows, [key], [digest, *[F.col(c) for c in row_id]], k, row_id)
 
 
 def first_defined(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:

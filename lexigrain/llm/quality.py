@@ -37,7 +37,7 @@ class _Buckets(dict):
     """Token to bucket; words in capitals share one. Forgets all when it has grown large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         loud = len(token) > 1 and token.isupper()
         b = self[token] = xxhash.xxh32_intdigest((_LOUD if loud else token.lower()).encode()) % BUCKETS

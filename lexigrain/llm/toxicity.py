@@ -60,7 +60,7 @@ class _Words(dict):
         self.f = f
 
     def __missing__(self, word: str):
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         v = self[word] = self.f(word)
         return v

@@ -4,9 +4,10 @@ A line is the set of its words. Lines equal to an earlier line go first (by a
 128-bit hash). For the rest every set is ordered by rarity and two sets can only
 reach the threshold if they share a word among their first few (prefix filter),
 are of like sizes (length filter) and have enough words left after the first
-shared one (positional filter). A 64-bit parity map of each set bounds the size
-of the symmetric difference and drops most of what is left. Survivors are
-verified on their whole sets; of two similar lines the later one goes.
+shared one (positional filter). A parity map of 128 bits, in which each word flips one
+bit, bounds the size of the symmetric difference and drops chance meetings.
+Survivors are verified on their whole sets; of two similar lines the later one
+goes.
 
 Words are compared by 51 bits of a 64-bit hash, whose high bits then hold the
 word's rarity class. The classes are a table of fixed size (a word shares its
@@ -23,10 +24,11 @@ from .common import cut, free_name
 
 #: Jaccard threshold as a fraction.
 THRESHOLD = (4, 5)
-#: Slots of the rarity table and words of 64 bits of the candidate filter: bounds of what is broadcast.
-RARITY_SLOTS, FILTER_WORDS = 1 << 18, 1 << 16
+#: Bytes of the rarity table and of the candidate filter: bounds of what goes to the driver and to each task.
+RARITY_SLOTS, FILTER_BYTES = 1 << 18, 1 << 19
 #: Removed lines whose numbers are broadcast to the documents at most; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
+_WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _hashes(text: Column) -> Column:
@@ -35,19 +37,23 @@ def _hashes(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _dense(rows: DataFrame, at: str, value: Column, slots: int) -> DataFrame:
-    """One row with one array: the sum or union ``value`` of each slot, 0 where none is."""
-    spark = rows.sparkSession
-    held = rows.groupBy(at).agg(value.alias("v"))
-    whole = held.unionByName(spark.range(slots).select(F.col("id").cast("int").alias(at), F.lit(0).cast("long").alias("v"))).groupBy(at).agg(F.sum("v").alias("v"))
-    return whole.agg(F.transform(F.sort_array(F.collect_list(F.struct(at, "v"))), lambda s: s["v"]).alias("slots"))
+def _marked(rows: DataFrame, slot: Column) -> Column:
+    """Whether a row's ``slot`` is one of those of ``rows``: a bit map of fixed size, so a few others pass too."""
+    marks = rows.select(slot.alias("s")).select(F.floor(F.col("s") / 8).cast("int").alias("at"), (F.col("s") % 8).alias("bit"))
+    table = bytearray(FILTER_BYTES)
+    for r in marks.groupBy("at").agg(F.bit_or(_shift(F.col("bit"))).alias("v")).toLocalIterator():
+        table[r["at"]] = r.v  # one row per byte at most
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(table)), F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (slot % 8).cast("int")) == 1
 
 
-def rarity(texts: Column, docs: DataFrame) -> DataFrame:
-    """One row: the rarity class (0 to 4095, rarest first) of each slot, from the documents' distinct words."""
-    words = docs.select(F.explode(_hashes(texts)).alias("h")).select(F.col("h").bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int").alias("slot"))
-    table = _dense(words, "slot", F.count("*"), RARITY_SLOTS)
-    return table.select(F.transform("slots", lambda c: F.least(F.lit(4095), F.floor(F.log2(c + 1) * 128)).cast("int")).alias("slots"))
+def rarity(docs: DataFrame) -> bytes:
+    """The rarity class (0 to 127, rarest first) of each slot, a byte each, from the documents' distinct words."""
+    words = docs.select(F.explode(_hashes(F.coalesce("text", F.lit("")))).alias("h")).select(F.col("h").bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int").alias("slot"))
+    table = bytearray(RARITY_SLOTS)
+    for r in words.groupBy("slot").agg(F.least(F.lit(127), F.floor(F.log2(F.count("*") + 1) * 4)).cast("int").alias("c")).toLocalIterator():
+        table[r.slot] = r.c  # one row per slot at most
+    return bytes(table)
 
 
 def _need(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
@@ -66,13 +72,22 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), named)
 
 
+def _parity(words: Column, lane: int) -> Column:
+    """64 bits; a word whose bit 6 is ``lane`` flips the one that its bits 0 to 5 name."""
+
+    def flip(acc: Column, w: Column) -> Column:
+        return F.when(F.getbit(w, F.lit(6)) == lane, acc.bitwiseXOR(_shift(w.bitwiseAND(F.lit(63))))).otherwise(acc)
+
+    return F.aggregate(words, F.lit(0).cast("long"), flip)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """``key``, ``at`` of each line that equals an earlier one; lines without a word are left out."""
-    lines = _lines(docs).filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("key", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    lines = _lines(docs).filter(F.col("line").rlike(_WORD)).select("key", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
     return lines.join(first, ["h1", "h2"]).filter(F.struct("key", "at") > F.col("first")).select("key", "at").distinct()
 
@@ -90,35 +105,33 @@ def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
     ``docs`` has ``key``, ``text`` and ``skip``, the numbers of lines to leave out.
     """
     a, b = threshold
-    classes = rarity(F.coalesce("text", F.lit("")), docs).scalar()
-    rank = lambda h: F.element_at(F.col("classes"), h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int") + 1)
+    classes = F.lit(rarity(docs))  # of RARITY_SLOTS bytes
+    rank = lambda h: F.ascii(F.substring(classes, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
     code = lambda h: F.shiftleft(rank(h).cast("long"), 51).bitwiseOR(F.shiftrightunsigned(h, 13))
 
     def sets(rows: DataFrame) -> DataFrame:
-        coded = rows.select("key", "at", _hashes(F.col("line")).alias("h"), classes.alias("classes"))
-        return coded.select("key", "at", F.sort_array(F.transform("h", code)).alias("words"))
+        return rows.select("key", "at", F.sort_array(F.transform(_hashes(F.col("line")), code)).alias("words"))
 
     lines = docs.select("key", "skip", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
     lines = lines.filter(F.col("skip").isNull() | ~F.array_contains("skip", F.col("at"))).select("key", "at", "line")
-    sized = sets(lines).withColumn("n", F.size("words")).filter("n > 0")
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda m, w: m.bitwiseXOR(_shift(w.bitwiseAND(F.lit(63)))))
+    lines = lines.filter(F.col("line").rlike(_WORD))
+    sized = sets(lines).withColumn("n", F.size("words"))
     prefix = F.slice("words", F.lit(1), F.col("n") - F.floor((F.col("n") * a + (b - 1)) / b).cast("int") + 1)
-    posted = sized.select("key", "at", "n", parity.alias("map"), F.posexplode(prefix).alias("i", "word"))
+    parity = [_parity(F.col("words"), lane) for lane in (0, 1)]
+    heads = cut(sized.select("key", "at", "n", parity[0].alias("even"), parity[1].alias("odd"), prefix.alias("first")))  # both sides of the join come from here
+    posted = heads.select("key", "at", "n", "even", "odd", F.posexplode("first").alias("i", "word"))
     x, y = posted.alias("x"), posted.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     later = (F.col("x.key") > F.col("y.key")) | (F.col("x.key") == F.col("y.key")) & (F.col("x.at") > F.col("y.at"))
     sizes = (n * b >= m * a) & (m * b >= n * a)
     need = _need(n, m, threshold)
     places = F.least(n - F.col("x.i"), m - F.col("y.i")) >= need  # i counts from 0: the shared word and what follows it
-    apart = F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map"))) <= n + m - 2 * need
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & later & sizes & places & apart)
+    flipped = F.bit_count(F.col("x.even").bitwiseXOR(F.col("y.even"))) + F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd")))
+    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & later & sizes & places & (flipped <= n + m - 2 * need))
     pairs = cut(pairs.select("x.key", "x.at", F.col("y.key").alias("key2"), F.col("y.at").alias("at2")).distinct())
-    slot = lambda k, i: F.pmod(F.xxhash64(k, i), F.lit(FILTER_WORDS * 64))
+    slot = lambda k, i: F.pmod(F.xxhash64(k, i), F.lit(FILTER_BYTES * 8))
     named = pairs.select("key", "at").unionByName(pairs.select(F.col("key2").alias("key"), F.col("at2").alias("at"))).distinct()
-    marks = named.select(slot("key", "at").alias("s")).select(F.floor(F.col("s") / 64).cast("int").alias("slot"), (F.col("s") % 64).alias("bit"))
-    asked = _dense(marks, "slot", F.bit_or(_shift(F.col("bit"))), FILTER_WORDS).scalar()
-    there = lines.withColumn("asked", asked).withColumn("s", slot("key", "at"))
-    there = there.filter(F.call_function("getbit", F.element_at("asked", F.floor(F.col("s") / 64).cast("int") + 1), (F.col("s") % 64).cast("int")) == 1)
+    there = lines.filter(_marked(named, slot("key", "at")))
     whole = cut(sets(there.select("key", "at", "line")).dropDuplicates(["key", "at"]))
     both = pairs.join(whole, ["key", "at"]).join(whole.select(F.col("key").alias("key2"), F.col("at").alias("at2"), F.col("words").alias("words2")), ["key2", "at2"])
     shared = F.size(F.array_intersect("words", "words2"))

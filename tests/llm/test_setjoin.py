@@ -77,7 +77,7 @@ def test_shuffled_ways(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     a = sorted(setjoin.deduplicated(df).collect())
     monkeypatch.setattr(setjoin, "BROADCAST_LINES", -1)
-    monkeypatch.setattr(setjoin, "FILTER_WORDS", 2)
+    monkeypatch.setattr(setjoin, "FILTER_BYTES", 2)
     monkeypatch.setattr(setjoin, "RARITY_SLOTS", 4)
     assert sorted(setjoin.deduplicated(df).collect()) == a
 

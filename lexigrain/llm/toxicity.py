@@ -46,10 +46,13 @@ IDENTITY = (
 
 
 def word_features(word: str) -> set[int]:
-    marked = f"^{word}$"
-    names = {"w" + word} | {"p" + word[:n] for n in range(3, 10) if n <= len(word)}
-    names |= {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}
-    return {xxhash.xxh32_intdigest(x.encode()) % SPACE for x in names}
+    raw = f"^{word}$".encode()
+    digest, n = xxhash.xxh32_intdigest, len(raw)
+    out = {digest(raw[:i], 1) % SPACE for i in range(4, min(n, 11))}  # beginnings
+    out.update([digest(raw[i : i + 4]) % SPACE for i in range(n - 3)])
+    out.update([digest(raw[i : i + 5]) % SPACE for i in range(n - 4)])
+    out.add(digest(raw, 2) % SPACE)
+    return out
 
 
 class _Words(dict):
@@ -105,8 +108,8 @@ class Model:
     bias: float
 
     def word_weights(self) -> _Words:
-        slots = _slots_of(self.slots).f
-        return _Words(lambda w: float(self.weights[slots(w)].sum()))
+        own = {int(f): float(self.weights[s]) for f, s in enumerate(self.slots) if s >= 0}
+        return _Words(lambda w: sum(own[f] for f in word_features(w) if f in own))
 
     def score(self, text: str | None, cache: _Words | None = None) -> float:
         found = words(text or "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -39,13 +39,17 @@ def issue_forms(bodies: DataFrame, fields: Mapping[str, str], body_col: str = "b
     sections = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("label"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("value")))
     kept = bodies.withColumn("__sections", sections)
     for label, name in fields.items():
-        value = F.filter("__sections", lambda s, label=label: s["label"] == label)
-        first = F.when(F.size(value) > 0, F.element_at(value, 1)["value"])
+        first = _section(label)
         kept = kept.withColumn(name, F.nullif(F.regexp_replace(first, r"^_No response_$", ""), F.lit("")))
     kept = kept.drop("__sections")
     return kept if needed is None else kept.filter(F.col(needed).isNotNull())
 
 
+def _section(label: str) -> Column:
+    value = F.filter("__sections", lambda s: s["label"] == label)
+    return F.when(F.size(value) > 0, F.element_at(value, 1)["value"])
+
+
 def tagged_tokens(df: DataFrame, tokens: str = "tokens", tags: str = "ner_tags") -> DataFrame:
     """A row per token of parallel arrays: other columns, ``ix``, ``token``, ``tag``."""
     rest = [c for c in df.columns if c not in (tokens, tags)]

@@ -36,7 +36,7 @@ def issue_forms(bodies: DataFrame, fields: Mapping[str, str], body_col: str = "b
     ``fields`` maps labels to column names. The first section of a label counts.
     """
     parts = F.slice(F.split(F.concat(F.lit("\n"), F.col(body_col)), r"\n### *"), 2, 1 << 30)
-    sections = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("label"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("value")))
+    sections = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("label"), F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("value")))
     kept = bodies.withColumn("__sections", sections)
     for label, name in fields.items():
         first = _section(label)

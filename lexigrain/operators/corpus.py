@@ -264,3 +264,32 @@ def precision_recall(truth: Column, guess: Column) -> list[Column]:
 
 def length_bucket(n: Column) -> Column:
     return F.when(n <= 3, "1-3").when(n <= 8, "4-8").otherwise("9+")
+
+
+# ---- page nodes
+
+
+def eligible(tag: Column, lang: Column, text: Column, block_lang: Column, editable: Column, wanted: str = "de") -> Column:
+    """Whether a page's text node is converted: not editable, no code, no short mention, and in the wanted language.
+
+    A node's own ``lang`` counts first; without one the language of its block.
+    """
+    code = tag.isin("script", "style", "noscript", "template", "code", "pre", "kbd", "samp", "textarea", "input")
+    mention = tag.isin("em", "i", "q", "cite", "dfn", "abbr", "var") & (F.size(X.letter_words(text)) <= 3)
+    tongue = F.lower(F.coalesce(lang, F.lit("")))
+    right = F.when(tongue == "", block_lang == wanted).otherwise(tongue.startswith(wanted) | tongue.startswith("gsw"))
+    return ~F.coalesce(editable, F.lit(False)) & ~code & ~mention & F.coalesce(right, F.lit(False))
+
+
+def impersonal(clause: Column, verbs: Sequence[str]) -> Column:
+    """Whether a clause after "es" has an impersonal verb or an indefinite article before it ends."""
+    rest = F.transform(X.letter_words(F.regexp_extract(clause, r"^([^,.;:!?]*)", 1)), lambda w: F.lower(w))
+    return F.exists(rest, lambda w: w.isin(*verbs) | w.rlike(r"^k?ein(?:e|en|em|er|es)?$"))
+
+
+def heads(rows: DataFrame, key: str, order: str, text: str = "text", most: int = 20_000) -> DataFrame:
+    """``key``, ``head``: the first ``most`` characters of a key's texts in order, what a verdict on the whole is made from."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    needed = rows.withColumn("__before", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0))).filter(F.col("__before") < most)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(text).alias("t")))), lambda x: x["t"]), "\n")
+    return needed.groupBy(key).agg(F.substring(joined, 1, most).alias("head"))

@@ -153,3 +153,23 @@ def phrases(text: Column, rules: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
     new = F.concat(F.transform(hits, lambda h: F.element_at(table, h)), F.array(F.lit("")))
     return F.when(text.rlike(pattern), F.array_join(F.zip_with(gaps, new, lambda g, n: F.concat(g, n)), "")).otherwise(text)
+
+
+def reverse(words: DataFrame, pairs: DataFrame, seed: str = "r", word: str = "word", rest: int = 3) -> DataFrame:
+    """Target words mapped back: ``word``, ``source``, ``how`` (exact, suffix or head).
+
+    ``pairs(target, source)`` may name several sources of one target; which one a
+    word gets is picked by hash. Longest target first; the remainder of ``rest``
+    letters or more stays.
+    """
+    listed = small(pairs.groupBy("target").agg(F.sort_array(F.collect_set("source")).alias("sources")))
+    own = words.select(F.col(word).alias("word")).distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.length("word"))))
+    tail = own.select("word", F.expr("right(word, n)").alias("part"), F.expr("left(word, length(word) - n)").alias("other"), F.when(F.col("n") == F.length("word"), 0).otherwise(1).alias("rank"))
+    head = own.filter(F.col("n") < F.length("word")).select("word", F.expr("left(word, n)").alias("part"), F.expr("substring(word, n + 1)").alias("other"), F.lit(2).alias("rank"))
+    cut = tail.unionByName(head).filter((F.col("rank") == 0) | (F.length("other") >= rest)).withColumn("key", F.lower("part"))
+    hit = cut.join(listed.withColumn("key", F.lower("target")), "key")
+    best = hit.groupBy("word").agg(F.min(F.struct("rank", (-F.length("part")).alias("n"), "sources", "other", "part")).alias("b"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "word")), 1, 8), 16, 10).cast("long")
+    chosen = F.element_at("b.sources", (digest % F.size("b.sources") + 1).cast("int"))
+    joined = F.when(F.col("b.rank") == 0, X.match_case("word", chosen)).when(F.col("b.rank") == 1, F.concat("b.other", F.lower(chosen))).otherwise(F.concat(X.match_case("b.part", chosen), "b.other"))
+    return best.select("word", joined.alias("source"), F.element_at(F.array(*map(F.lit, ("exact", "suffix", "head"))), F.col("b.rank") + 1).alias("how"))

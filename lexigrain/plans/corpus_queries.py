@@ -477,3 +477,20 @@ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 SELECT page_id, host, lang, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM a""")
 def html_text(spark, sf):
     return page_texts(table(spark, sf, "pages"))
+
+
+@query("""SELECT conv_id, left(string_agg(text, chr(10) ORDER BY turn), 1000) AS head FROM conversations GROUP BY conv_id""")
+def document_heads(spark, sf):
+    return C.heads(table(spark, sf, "conversations"), "conv_id", "turn", most=1000)
+
+
+@query("""SELECT doc_id, CASE WHEN lang = 'de' AND source <> 'src2' AND NOT (source = 'src4' AND len(regexp_extract_all(text, '\\p{L}+')) <= 3) THEN TRUE ELSE FALSE END AS eligible FROM documents""")
+def eligible_nodes(spark, sf):
+    tag = F.when(F.col("source") == "src2", "code").when(F.col("source") == "src4", "em").otherwise("p")
+    return _docs(spark, sf).select("doc_id", C.eligible(tag, F.lit(None).cast("string"), F.col("text"), F.col("lang"), F.lit(False)).alias("eligible"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_extract(text, '^([^,.;:!?]*)', 1), '\\p{L}+'), lambda x: lower(x)) AS ws FROM documents)
+SELECT doc_id, len(list_filter(ws, lambda x: x IN ('the', 'der') OR regexp_matches(x, '^k?ein(?:e|en|em|er|es)?$'))) > 0 AS impersonal FROM w""")
+def impersonal_openings(spark, sf):
+    return _docs(spark, sf).select("doc_id", C.impersonal(F.col("text"), ["the", "der"]).alias("impersonal"))

@@ -115,3 +115,15 @@ def lang_listed_share(spark, sf):
     german = _tables(spark, sf).words.filter("lang = 'de'").select("word", F.lit(1).alias("hit"))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(X.letter_words(F.lower("text"))).alias("word"))
     return rows.join(german, "word", "left").groupBy("conv_id", "turn").agg(F.count("*").alias("words"), F.count("hit").alias("listed"))
+
+
+@query("WITH texts_words AS (SELECT word AS key, word FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM conversations))," + SQL_COSTS + " SELECT key AS word, best, CAST(margin AS BIGINT) AS margin FROM detected")
+def word_verdicts(spark, sf):
+    words = table(spark, sf, "conversations").select(F.explode(X.letter_words("text")).alias("word"))
+    return L.word_verdicts(words, _tables(spark, sf)).withColumn("margin", F.col("margin").cast("long"))
+
+
+@query()
+def foreign_runs(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+    return L.foreign_runs(rows, "key", _tables(spark, sf))

@@ -145,3 +145,18 @@ def determiner_cells(spark, sf):
 @query("""SELECT * FROM (VALUES ('der', 'm', 'f', 'die', 0), ('den', 'm', 'f', 'die', 0), ('dem', 'm', 'f', 'der', 0), ('dessen', 'm', 'f', 'deren', 0)) AS t(word, old_cell, new_cell, form, rank)""")
 def relative_followers(spark, sf):
     return M.followers(spark, M.RELATIVE).filter("old_cell = 'm' AND new_cell = 'f'")
+
+
+@query("WITH " + SQL_TOP + """, pairs AS (SELECT form AS target, unnest([reverse(form), form || 'x']) AS source FROM top),
+listed AS (SELECT target, list_sort(list_distinct(list(source))) AS sources FROM pairs GROUP BY 1),
+hits AS (SELECT word, sources, target, CASE WHEN lower(word) = target THEN 0 WHEN ends_with(lower(word), target) AND length(word) - length(target) >= 3 THEN 1 END AS rank FROM distinct_words JOIN listed ON ends_with(lower(word), target)
+  UNION ALL SELECT word, sources, target, 2 FROM distinct_words JOIN listed ON starts_with(lower(word), target) AND length(word) - length(target) >= 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY rank, length(target) DESC) AS r FROM hits WHERE rank IS NOT NULL),
+chosen AS (SELECT word, rank, target, sources[CAST(CAST('0x' || substr(md5('r:' || word), 1, 8) AS BIGINT) % len(sources) AS INTEGER) + 1] AS s FROM best WHERE r = 1),
+sided AS (SELECT *, CASE rank WHEN 0 THEN word WHEN 2 THEN left(word, length(target)) END AS own FROM chosen),
+made AS (SELECT *, CASE WHEN length(own) > 1 AND own = upper(own) AND own <> lower(own) THEN upper(s) WHEN left(own, 1) <> lower(left(own, 1)) THEN upper(left(s, 1)) || substr(s, 2) ELSE s END AS cased FROM sided)
+SELECT word, CASE rank WHEN 0 THEN cased WHEN 1 THEN left(word, length(word) - length(target)) || lower(s) ELSE cased || substr(word, length(target) + 1) END AS source, CASE rank WHEN 0 THEN 'exact' WHEN 1 THEN 'suffix' ELSE 'head' END AS how FROM made""")
+def reverse_lookup(spark, sf):
+    top = _top(spark, sf)
+    pairs = top.select(F.col("form").alias("target"), F.explode(F.array(F.reverse("form"), F.concat("form", F.lit("x")))).alias("source"))
+    return K.reverse(_words(spark, sf), pairs)

@@ -93,3 +93,13 @@ def test_best_kind(spark):
     marks = spark.createDataFrame([(1, 0, 2, "LOC", 0.4), (1, 3, 7, "PER", 0.9)], "k int, start int, end int, kind string, p double")
     assert {r.start: (r.kind, r.p) for r in S.best_kind(spans, marks, "k").collect()} == {0: ("PER", 0.9), 6: ("PER", 0.9)}
     assert S.best_kind(spans, marks.limit(0), "k").agg(F.count("*")).first()[0] == 0
+
+
+def test_foreign_runs():
+    w = lambda text, best="de", margin=20, held=False: (text, best, margin, held)
+    gap = lambda s=" ": (s, None, 0, False)
+    line = [w("eine"), gap(), w("Mass", "de", 2, True), gap(), w("effect", "en"), gap(), w("game", "en", 15), gap(), w("ist"), gap(), w("store", "en", 30), gap("."), w("nice", "en", 12), gap("\n"), w("day", "en", 12)]
+    assert L.runs_of(line) == [(2, 6, "en")]
+    assert L.runs_of([w("one", "en", 5), gap(), w("two", "en", 5)]) == []
+    assert L.runs_of([w("un", "fr", 15), gap(), w("deux", "fr", 15), gap("-"), w("game", "en", 50), gap(), w("set", "en", 3)]) == [(0, 2, "fr"), (4, 6, "en")]
+    assert L.runs_of([]) == []

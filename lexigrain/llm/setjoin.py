@@ -48,10 +48,11 @@ def _marked(rows: DataFrame, slot: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> bytes:
-    """The rarity class (0 to 127, rarest first) of each slot, a byte each, from the documents' distinct words."""
-    words = docs.select(F.explode(_hashes(F.coalesce("text", F.lit("")))).alias("h")).select(F.col("h").bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int").alias("slot"))
+    """The rarity class (0 to 127, rarest first) of each slot, a byte each, from all words of the documents."""
+    words = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ")).alias("w"))
+    slots = words.select(F.xxhash64("w").bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int").alias("slot"))
     table = bytearray(RARITY_SLOTS)
-    for r in words.groupBy("slot").agg(F.least(F.lit(127), F.floor(F.log2(F.count("*") + 1) * 4)).cast("int").alias("c")).toLocalIterator():
+    for r in slots.groupBy("slot").agg(F.least(F.lit(127), F.floor(F.log2(F.count("*") + 1) * 4)).cast("int").alias("c")).toLocalIterator():
         table[r.slot] = r.c  # one row per slot at most
     return bytes(table)
 

@@ -26,7 +26,7 @@ from .common import cut, free_name
 THRESHOLD = (4, 5)
 #: Bytes of the rarity table and of the candidate filter: bounds of what goes to the driver and to each task.
 RARITY_SLOTS, FILTER_BYTES = 1 << 18, 1 << 19
-#: Removed lines whose numbers are broadcast to the documents at most; more are joined by a shuffle.
+#: Copied lines whose numbers are broadcast to the documents at most; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 _WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -163,7 +163,7 @@ def deduplicated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col
     gone = cut(same.select("key", "at", F.lit(1).alias("kind")).unionByName(near.select("key", "at", F.lit(2).alias("kind"))))
     per = gone.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias(a), F.count_if(F.col("kind") == 2).alias(b))
     per = per.join(ends.groupBy("key").agg(F.count("*").alias(n)), "key", "full").withColumnRenamed("key", key)
-    out = out.join(F.broadcast(per) if gone.count() + links.count() <= BROADCAST_LINES else per, key, "left")
+    out = out.join(per, key, "left")
     out = out.withColumn(lines, F.split(text_col, "\n"))
     left = F.when(F.col(a).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(a, i)), "\n"))
     counted = [F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0)), F.coalesce(F.col(b), F.lit(0)), F.coalesce(F.col(n), F.lit(0))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import decontam, mixing, quality, resharding, simhash
+from lexigrain.llm import decontam, mixing, quality, resharding, shingles
 from lexigrain.llm.common import crc_text, saved, shared_folder, table
 
 SHARDS = 8
@@ -18,8 +18,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of SimHash near-duplicates: that of the least id."""
-    return simhash.keep_one(docs)
+    """One document of each class of near-duplicates, alike by 0.8 or more in their five-word shingles: that of the least id."""
+    return shingles.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("SimHash near-dedup", near_distinct),
+    ("near-dedup by shingles", near_distinct),
     ("benchmark decontamination", decontaminated),
     ("mixing sources to target weights", mixed),
     ("sharding", sharded),

@@ -135,6 +135,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes(prints), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents with one row left of each class: that of the least id, then of the least hash of its text.
+
+    ``prints`` has ``id``, ``h`` (``xxhash64`` of the text) and ``fp`` of each row,
+    ``roots(node, root)`` the classes of those ``fp`` that are linked to others. A
+    row is told by id and text, so rows that repeat an id go or stay each by its own class.
+    """
+    own, h = free_name(docs, "id"), free_name(docs, "h")
+    rows = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x")).select("x.id", "x.h")
+    again = prints.groupBy("id", "h").count().filter("count > 1").select("id", "h", F.lit(True).alias("again"))
+    kept = cut(least.alias("l").join(again.alias("r"), F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.h") == F.col("r.h")), "left").select("l.id", "l.h", F.coalesce("again", F.lit(False)).alias("again")))
+    kept = kept.select(F.col("id").alias(f"{own}_"), F.col("h").alias(f"{h}_"), "again")
+    told = docs.withColumn(h, F.xxhash64(text_col))
+    match = lambda k: told.join(k, told[id_col].eqNullSafe(k[f"{own}_"]) & (told[h] == k[f"{h}_"]), "left_semi")
+    once = match(kept.filter("NOT again")).unionByName(match(kept.filter("again")).dropDuplicates([id_col, h]))
+    return once.select(docs.columns)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row left of each class: that of the least id.
 

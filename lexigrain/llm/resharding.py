@@ -133,10 +133,18 @@ def reshard(docs: DataFrame, old: Column, shards: int = 8, capacity: dict[int, i
 def rewrite(resharded: DataFrame, path: str) -> list[int]:
     """Write the shards whose rows change, one folder ``shard=N`` each; the numbers of those shards.
 
-    A shard that neither loses nor takes a row keeps its files.
+    A shard that neither loses nor takes a row keeps its files; the folder of one
+    that has lost all its rows is removed. ``resharded`` may be read from ``path``.
     """
+    spark = resharded.sparkSession
     changed = resharded.filter("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     moved = sorted(r.s for r in changed.collect())  # shard numbers only
     if moved:
-        resharded.filter(F.col("shard").isin(moved)).repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+        rows = cut(resharded.filter(F.col("shard").isin(moved)))  # nothing is read from the folder while it changes
+        filled = {r.shard for r in rows.select("shard").distinct().collect()}  # shard numbers only
+        rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        for n in moved:
+            if n not in filled:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"shard={n}")
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return moved

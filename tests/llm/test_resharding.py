@@ -73,6 +73,24 @@ def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == grown.filter("shard > 0").count()
 
 
+def test_rewrite_in_a_folder_that_holds_the_old_shards(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = [(i, "x" * (i % 7), i % 4) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").withColumn("slot", F.col("doc_id")).write.partitionBy("shard").parquet(path)
+    files = lambda n: sorted(p.name for p in (tmp_path / "shards" / f"shard={n}").glob("*.parquet"))
+    kept = files(0)
+    old = spark.read.parquet(path)
+    size = {r.shard: r.n for r in old.groupBy("shard").agg(F.sum(resharding.row_bytes(F.col("text"))).alias("n")).collect()}
+    moved = resharding.reshard(old.select("doc_id", "text", F.col("shard").alias("was")), F.col("was"), capacity={0: size[0], 1: size[1] + size[3], 2: size[2] // 2, 5: size[2]})
+    want = sorted((r.doc_id, r.text, r.shard, r.slot) for r in moved.collect())
+    assert resharding.rewrite(moved, path) == [1, 2, 3, 5]
+    got = spark.read.parquet(path)
+    untouched = {i for i, _, n in rows if n == 0}
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted((i, t) for i, t, _ in rows)
+    assert sorted((r.doc_id, r.text, r.shard, r.slot) for r in got.filter("shard <> 0").collect()) == [w for w in want if w[0] not in untouched]
+    assert files(0) == kept and not (tmp_path / "shards" / "shard=3").exists()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert resharding.reshard(df, F.lit(0)).count() == 0

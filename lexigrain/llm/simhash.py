@@ -157,15 +157,8 @@ def one_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: st
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row left of each class: that of the least id.
 
-    Of rows that repeat an id, one arbitrary row stays. Rows without an id stay
-    only where their whole class has none, again one of them.
+    Rows that repeat an id go or stay each by its own class. Rows without an id
+    stay only where their whole class has none, again one of them.
     """
-    fp, root = free_name(docs, "fp"), free_name(docs, "root")
-    found = cut(near_duplicates(docs, id_col, text_col))
-    kept = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias(root))
-    rows = docs.join(kept, id_col, "left_semi")
-    again = kept.filter(F.col(root) > 1)
-    lone = docs.filter(F.col(id_col).isNull()).withColumn(fp, fingerprint_udf(F.col(text_col)))
-    lone = lone.join(found.filter(F.col("component_id").isNull()).select(F.col("fp").alias(fp)).distinct(), fp, "left_semi").dropDuplicates([fp]).drop(fp)
-    once = rows.join(again, id_col, "left_anti").unionByName(rows.join(again, id_col, "left_semi").dropDuplicates([id_col]))
-    return once.unionByName(lone.select(docs.columns)).select(docs.columns)
+    prints = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), fingerprint_udf(F.col(text_col)).alias("fp")))
+    return one_of_each(docs, prints, components(links(prints.select("fp").distinct())), id_col, text_col)

@@ -96,3 +96,11 @@ def test_hard_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "lone words here"), (1, "a b c d")]
     assert simhash.near_duplicates(df).count() == 5
     assert simhash.near_duplicates(df.limit(0)).count() == 0 == simhash.keep_one(df.limit(0)).count()
+
+
+def test_repeated_ids_of_different_texts(spark):
+    one, two = "the first text of this id", "words of quite another kind here"
+    df = spark.createDataFrame([(1, one), (1, two), (1, two), (2, one), (3, "third thing"), (4, "fourth thing"), (4, "third thing")], "doc_id long, text string")
+    for parts in (1, 5):
+        got = sorted((r.doc_id, r.text) for r in simhash.keep_one(df.repartition(parts)).collect())
+        assert got == [(1, one), (1, two), (3, "third thing"), (4, "fourth thing")]

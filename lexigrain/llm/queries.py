@@ -61,7 +61,7 @@ def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = setjoin.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.md5("text").alias("text_md5"), "n_lines", "n_copies", "n_near", "n_links")
+    return out.select("doc_id", F.md5("text").alias("text_md5"), "n_lines", "n_copies", "n_near")
 
 
 OP6_SQL = """
@@ -79,11 +79,10 @@ links AS (SELECT later, earlier FROM pairs JOIN firsts x ON x.id = later JOIN fi
 copied AS (SELECT doc_id, place, 1 AS kind FROM ordered WHERE nth > 1),
 near AS (SELECT doc_id, place, 2 AS kind FROM firsts WHERE id IN (SELECT later FROM links)),
 gone AS (SELECT * FROM copied UNION ALL SELECT * FROM near),
-linked AS (SELECT doc_id, count(*) AS n_links FROM (SELECT later AS id FROM links UNION ALL SELECT earlier FROM links) JOIN firsts USING (id) GROUP BY doc_id),
 texts AS (SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.place) FILTER (WHERE g.kind IS NULL) AS text, count(*) AS n_lines,
           count(*) FILTER (WHERE g.kind = 1) AS n_copies, count(*) FILTER (WHERE g.kind = 2) AS n_near
           FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.place = n.place GROUP BY n.doc_id)
-SELECT doc_id, md5(coalesce(text, '')) AS text_md5, n_lines, n_copies, n_near, coalesce(n_links, 0) AS n_links FROM texts LEFT JOIN linked USING (doc_id)
+SELECT doc_id, md5(coalesce(text, '')) AS text_md5, n_lines, n_copies, n_near FROM texts
 """
 
 

@@ -4,12 +4,18 @@ A line is the set of its words. Lines equal to an earlier line go first (by a
 128-bit hash). For the rest every set is ordered by rarity and two sets can only
 reach the threshold if they share a word among their first few (prefix filter),
 are of like sizes (length filter) and have enough words left after the first
-shared one (positional filter). A parity map of 128 bits, in which each word flips one
+shared one (positional filter). A parity map of 64 bits, in which each word flips one
 bit, bounds the size of the symmetric difference and drops chance meetings.
-Survivors are verified on their whole sets; of two similar lines the later one
-goes.
+Survivors are verified on the words themselves; of two similar lines the later
+one goes.
 
-Words are compared by 51 bits of a 64-bit hash, whose high bits then hold the
+A later line needs one earlier match, not all of them, so a group of near copies is
+not paired whole. First each line meets a few neighbours in the order of places
+under each of its rarest words: that finds a match for nearly every line that has
+one. Lines without such a candidate, and then those whose candidates have failed,
+meet every line of their prefix words. No line goes unmatched that has a match.
+
+Words are ordered by 51 bits of a 64-bit hash, whose high bits then hold the
 word's rarity class. The classes are a table of fixed size (a word shares its
 count with others of the same slot); the order need not be exact for exact
 results, it only has to be one order for all sets.
@@ -17,43 +23,64 @@ results, it only has to be one order for all sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, free_name
 
 #: Jaccard threshold as a fraction.
 THRESHOLD = (4, 5)
 #: Bytes of the rarity table and of the candidate filter: bounds of what goes to the driver and to each task.
-RARITY_SLOTS, FILTER_BYTES = 1 << 18, 1 << 19
-#: Copied lines whose numbers are broadcast to the documents at most; more are joined by a shuffle.
-BROADCAST_LINES = 1_000_000
-_WORD = "[^\\x20\\x09-\\x0D]"
+RARITY_SLOTS, FILTER_BYTES = 1 << 16, 1 << 17
+#: Rarest words under which a line meets its neighbours first, and how many places back.
+KEYS, BACK = 4, (1, 2, 3)
+#: A word said more often than 2 to this power is dealt over several tasks when neighbours meet.
+HOT = 13
+_WORD, _ODD = "[^\\x20\\x09-\\x0D]", "[\\x09\\x0B\\x0C\\x0D]"
+#: The rarity class of a word said once (it has no match), and the place of the class in a word's code.
+_ONCE, _CLASS = 4, 51
+
+
+def _parts(line: Column) -> Column:
+    """What lies between white space (five ASCII characters and the line's end); some of it is empty."""
+    return F.split(F.when(line.rlike(_ODD), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " ")
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.array_distinct(_parts(line)), "")
+
+
+def _hashes(line: Column) -> Column:
+    """Distinct 64-bit hashes of a line's words."""
+    return F.array_remove(F.array_distinct(F.transform(_parts(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _hashes(text: Column) -> Column:
-    """Distinct 64-bit hashes of the words between white space (six ASCII characters)."""
-    words = F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")
-    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+def _shift(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
 
 def _marked(rows: DataFrame, slot: Column) -> Column:
     """Whether a row's ``slot`` is one of those of ``rows``: a bit map of fixed size, so a few others pass too."""
     marks = rows.select(slot.alias("s")).select(F.floor(F.col("s") / 8).cast("int").alias("at"), (F.col("s") % 8).alias("bit"))
     table = bytearray(FILTER_BYTES)
-    for r in marks.groupBy("at").agg(F.bit_or(_shift(F.col("bit"))).alias("v")).toLocalIterator():
-        table[r["at"]] = r.v  # one row per byte at most
+    for r in marks.groupBy("at").agg(F.bit_or(_shift(F.col("bit"))).alias("v")).collect():  # one row per byte at most
+        table[r["at"]] = r.v
     byte = F.conv(F.hex(F.substring(F.lit(bytes(table)), F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.getbit(byte, (slot % 8).cast("int")) == 1
 
 
+def _said(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(F.split("text", "\n")).alias("line"))
+
+
 def rarity(docs: DataFrame) -> bytes:
     """The rarity class (0 to 127, rarest first) of each slot, a byte each, from all words of the documents."""
-    words = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ")).alias("w"))
+    words = _said(docs).select(F.explode(_parts(F.col("line"))).alias("w"))
     slots = words.select(F.xxhash64("w").bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int").alias("slot"))
     table = bytearray(RARITY_SLOTS)
-    for r in slots.groupBy("slot").agg(F.least(F.lit(127), F.floor(F.log2(F.count("*") + 1) * 4)).cast("int").alias("c")).toLocalIterator():
-        table[r.slot] = r.c  # one row per slot at most
+    for r in slots.groupBy("slot").agg(F.least(F.lit(127), F.floor(F.log2(F.count("*") + 1) * 4)).cast("int").alias("c")).collect():  # one row per slot at most
+        table[r.slot] = r.c
     return bytes(table)
 
 
@@ -63,108 +90,148 @@ def _need(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
     return F.floor(((n + m) * a + (a + b - 1)) / (a + b))
 
 
-def _shift(bit: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
-
+class _Place:
+    """The columns that name a line and order all lines: id, then the text's hash where ids don't tell rows apart, then the number in the text."""
 
-def _key(id_col: str, text_col: str) -> Column:
-    """The id; where it is null, a number before all usual ones that is hashed from the text."""
-    named = F.shiftrightunsigned(F.xxhash64(text_col), 2) + F.lit(-(1 << 63))
-    return F.coalesce(F.col(id_col).cast("long"), named)
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        rows = docs.groupBy(id_col).count()
+        tied = bool(rows.filter((F.col("count") > 1) | F.col(id_col).isNull()).head(1))
+        whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+        self.row = {"key": key} | ({"tie": F.xxhash64(text_col)} if tied else {})
+        self.doc = list(self.row)
+        self.line = [*self.doc, "at"]
+        self.other = [f"{c}2" for c in self.line]
 
+    def later(self, x: str, y: str) -> Column:
+        out, same = F.lit(False), F.lit(True)
+        for c in self.line:
+            a, b = F.col(f"{x}.{c}"), F.col(f"{y}.{c}")
+            out, same = out | (same & (a > b)), same & (a == b)
+        return out
 
-def _parity(words: Column, lane: int) -> Column:
-    """64 bits; a word whose bit 6 is ``lane`` flips the one that its bits 0 to 5 name."""
+    def slot(self) -> Column:
+        return F.pmod(F.xxhash64(*self.line), F.lit(FILTER_BYTES * 8))
 
-    def flip(acc: Column, w: Column) -> Column:
-        return F.when(F.getbit(w, F.lit(6)) == lane, acc.bitwiseXOR(_shift(w.bitwiseAND(F.lit(63))))).otherwise(acc)
 
-    return F.aggregate(words, F.lit(0).cast("long"), flip)
+def _lines(docs: DataFrame, p: _Place) -> DataFrame:
+    """Each line that has a word."""
+    return docs.select(*p.doc, F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.col("line").rlike(_WORD))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+def _hashed() -> list[Column]:
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """``key``, ``at`` of each line that equals an earlier one; lines without a word are left out."""
-    lines = _lines(docs).filter(F.col("line").rlike(_WORD)).select("key", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    return lines.join(first, ["h1", "h2"]).filter(F.struct("key", "at") > F.col("first")).select("key", "at").distinct()
-
+def heads(docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
+    """Each different line's first place, how many rows it has, its hash and what candidates are found by: size, parity map and prefix."""
+    a, b = threshold
+    classes = F.lit(rarity(docs))  # of RARITY_SLOTS bytes
+    rank = lambda h: F.ascii(F.substring(classes, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    code = lambda h: F.shiftleft(rank(h).cast("long"), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 64 - _CLASS))
+    first = _lines(docs, p).select(*p.line, "line", *_hashed()).groupBy("h1", "h2").agg(F.min(F.struct(*p.line, "line")).alias("f"), F.count("*").alias("copies"))
+    sets = first.select("h1", "h2", "copies", *[F.col(f"f.{c}") for c in p.line], F.sort_array(F.transform(_hashes(F.col("f.line")), code)).alias("words")).withColumn("n", F.size("words"))
+    prefix = F.slice("words", F.lit(1), F.col("n") - F.floor((F.col("n") * a + (b - 1)) / b).cast("int") + 1)
+    parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_shift(w.bitwiseAND(F.lit(63)))))  # by the word's last six bits
+    return sets.select("h1", "h2", "copies", *p.line, "n", parity.alias("parity"), prefix.alias("first"))
 
-def with_numbers(docs: DataFrame, lines: DataFrame, name: str, on: str = "key") -> DataFrame:
-    """``docs`` with the sorted array of its line numbers in ``lines(key, at)``; null where it has none."""
-    n = lines.count()
-    each = lines.groupBy(F.col("key").alias(on)).agg(F.sort_array(F.collect_set("at")).alias(name))
-    return docs.join(F.broadcast(each) if n <= BROADCAST_LINES else each, on, "left")
 
+def copies(docs: DataFrame, first: DataFrame, p: _Place) -> DataFrame:
+    """The places of lines that equal an earlier one."""
+    again = first.filter("copies > 1").select("h1", "h2", *[F.col(c).alias(o) for c, o in zip(p.line, p.other, strict=True)])
+    lines = _lines(docs, p).select(*p.line, *_hashed())
+    differ = [F.col(c) != F.col(o) for c, o in zip(p.line, p.other, strict=True)]
+    return lines.join(again, ["h1", "h2"]).filter(F.array_contains(F.array(*differ), True)).select(*p.line).distinct()
 
-def similar(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """``key``, ``at``, ``key2``, ``at2`` of similar lines, the later one first.
 
-    ``docs`` has ``key``, ``text`` and ``skip``, the numbers of lines to leave out.
-    """
+def _alike(n: Column, m: Column, x: Column, y: Column, threshold: tuple[int, int]) -> Column:
+    """What sizes and parity maps must fulfil."""
     a, b = threshold
-    classes = F.lit(rarity(docs))  # of RARITY_SLOTS bytes
-    rank = lambda h: F.ascii(F.substring(classes, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-    code = lambda h: F.shiftleft(rank(h).cast("long"), 51).bitwiseOR(F.shiftrightunsigned(h, 13))
+    return (n * b >= m * a) & (m * b >= n * a) & (F.bit_count(x.bitwiseXOR(y)) <= n + m - 2 * _need(n, m, threshold))
+
+
+def neighbours(first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of lines, the later one first, that stand close to each other under one of their rarest words."""
+    own = F.struct(*p.line, "n", "parity")
+    rows = first.select(*p.line, "n", "parity", F.explode(F.slice("first", 1, KEYS)).alias("word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
+    often = F.floor(F.shiftright("word", _CLASS) / 4).cast("int")
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64(*p.line), _shift(F.greatest(F.lit(0), often - HOT))))
+    order = Window.partitionBy("word", "piece").orderBy(*p.line)
+    met = [f"o{k}" for k in (0, *BACK)]
+    rows = rows.select(*p.line, "n", "parity", F.first(own).over(order).alias(met[0]), *[F.lag(own, k).over(order).alias(f"o{k}") for k in BACK])
+    fits = {o: F.coalesce(_alike(F.col("n"), F.col(f"{o}.n"), F.col("parity"), F.col(f"{o}.parity"), threshold), F.lit(False)) for o in met}
+    fits[met[0]] = fits[met[0]] & ~F.coalesce(F.col(met[0]) == own, F.lit(False))
+    any_fits = F.lit(False)
+    for f in fits.values():
+        any_fits = any_fits | f
+    pairs = rows.filter(any_fits).select(*p.line, F.explode(F.array(*[F.when(f, F.struct(*[F.col(f"{o}.{c}").alias(d) for c, d in zip(p.line, p.other, strict=True)])) for o, f in fits.items()])).alias("o"))
+    return pairs.filter("o IS NOT NULL").select(*p.line, "o.*").distinct()
+
+
+def met(some: DataFrame, first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of a line of ``some`` and an earlier one of ``first`` that pass the prefix, length and positional filters and the parity map."""
+    posted = lambda rows: rows.select(*p.line, "n", "parity", F.posexplode("first").alias("i", "word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
+    x, y = posted(some).alias("x"), posted(first).alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    places = F.least(n - F.col("x.i"), m - F.col("y.i")) >= _need(n, m, threshold)  # i counts from 0: the shared word and what follows it
+    fits = (F.col("x.word") == F.col("y.word")) & p.later("x", "y") & places & _alike(n, m, F.col("x.parity"), F.col("y.parity"), threshold)
+    return x.join(y, fits).select(*[F.col(f"x.{c}") for c in p.line], *[F.col(f"y.{c}").alias(d) for c, d in zip(p.line, p.other, strict=True)]).distinct()
 
-    def sets(rows: DataFrame) -> DataFrame:
-        return rows.select("key", "at", F.sort_array(F.transform(_hashes(F.col("line")), code)).alias("words"))
 
-    lines = docs.select("key", "skip", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    lines = lines.filter(F.col("skip").isNull() | ~F.array_contains("skip", F.col("at"))).select("key", "at", "line")
-    lines = lines.filter(F.col("line").rlike(_WORD))
-    sized = sets(lines).withColumn("n", F.size("words"))
-    prefix = F.slice("words", F.lit(1), F.col("n") - F.floor((F.col("n") * a + (b - 1)) / b).cast("int") + 1)
-    parity = [_parity(F.col("words"), lane) for lane in (0, 1)]
-    heads = cut(sized.select("key", "at", "n", parity[0].alias("even"), parity[1].alias("odd"), prefix.alias("first")))  # both sides of the join come from here
-    posted = heads.select("key", "at", "n", "even", "odd", F.posexplode("first").alias("i", "word"))
-    x, y = posted.alias("x"), posted.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    later = (F.col("x.key") > F.col("y.key")) | (F.col("x.key") == F.col("y.key")) & (F.col("x.at") > F.col("y.at"))
-    sizes = (n * b >= m * a) & (m * b >= n * a)
-    need = _need(n, m, threshold)
-    places = F.least(n - F.col("x.i"), m - F.col("y.i")) >= need  # i counts from 0: the shared word and what follows it
-    flipped = F.bit_count(F.col("x.even").bitwiseXOR(F.col("y.even"))) + F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd")))
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & later & sizes & places & (flipped <= n + m - 2 * need))
-    pairs = cut(pairs.select("x.key", "x.at", F.col("y.key").alias("key2"), F.col("y.at").alias("at2")).distinct())
-    slot = lambda k, i: F.pmod(F.xxhash64(k, i), F.lit(FILTER_BYTES * 8))
-    named = pairs.select("key", "at").unionByName(pairs.select(F.col("key2").alias("key"), F.col("at2").alias("at"))).distinct()
-    there = lines.filter(_marked(named, slot("key", "at")))
-    whole = cut(sets(there.select("key", "at", "line")).dropDuplicates(["key", "at"]))
-    both = pairs.join(whole, ["key", "at"]).join(whole.select(F.col("key").alias("key2"), F.col("at").alias("at2"), F.col("words").alias("words2")), ["key2", "at2"])
+def verified(pairs: DataFrame, docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
+    """The least match of each line that has one among ``pairs``, by the words of the lines, which are read again."""
+    named = pairs.select(*p.line).unionByName(pairs.select(*[F.col(d).alias(c) for c, d in zip(p.line, p.other, strict=True)])).distinct()
+    there = _lines(docs, p).filter(_marked(named, p.slot())).join(named, p.line, "left_semi")
+    whole = cut(there.select(*p.line, _words(F.col("line")).alias("words")).dropDuplicates(p.line))
+    both = pairs.join(whole, p.line).join(whole.select(*[F.col(c).alias(d) for c, d in zip(p.line, p.other, strict=True)], F.col("words").alias("words2")), p.other)
     shared = F.size(F.array_intersect("words", "words2"))
-    return both.filter(shared >= _need(F.size("words"), F.size("words2"), threshold)).select("key", "at", "key2", "at2")
+    good = both.filter(shared >= _need(F.size("words"), F.size("words2"), threshold))
+    return good.groupBy(*p.line).agg(F.min(F.struct(*p.other)).alias("of"))
+
+
+def matches(docs: DataFrame, first: DataFrame, p: _Place, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """``p.line`` and ``of``: each line of ``first`` that is similar to an earlier one, and one such line."""
+    close = cut(neighbours(first, p, threshold))
+    tried = close.select(*p.line).distinct()
+    pairs = cut(close.unionByName(met(first.join(tried, p.line, "left_anti"), first, p, threshold)))
+    found = cut(verified(pairs, docs, p, threshold))
+    failed = cut(first.join(tried.join(found, p.line, "left_anti"), p.line, "left_semi"))
+    if failed.head(1):
+        more = cut(met(failed, first, p, threshold).join(close, [*p.line, *p.other], "left_anti"))
+        if more.head(1):
+            found = cut(found.unionByName(verified(more, docs, p, threshold)))
+    return found
 
 
 def deduplicated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with similar later lines taken out of the text, and ``n_lines``, ``n_copies``, ``n_near``, ``n_links``.
-
-    Lines come in the order of (id, place). A line goes if an earlier line, kept
-    or not, equals it (``n_copies``) or is similar to it (``n_near``). ``n_links``
-    counts the links between a document's lines and other different lines, first
-    occurrences only. Lines without a word stay. A null text has no line and
-    stays null. An id must be a whole number and name one text: rows that repeat
-    both count as one document, and each keeps what one would keep. Documents
-    without an id come first, in the order of a hash of their texts. Columns of
-    those four names in ``docs`` are replaced. An empty table gives an empty one.
+    """``docs`` with similar later lines taken out of the text, and ``n_lines``, ``n_copies``, ``n_near``, ``matches``.
+
+    Lines come in the order of (id, hash of the text where an id repeats, place).
+    A line goes if an earlier line, kept or not, equals it (``n_copies``) or is
+    similar to it (``n_near``). ``matches`` has a struct for each of the latter:
+    ``at`` and ``of``, the place of one earlier line that it is similar to (``key``
+    is the id as the join has it). Lines without a word stay. A null text has no
+    line and stays null. Rows that repeat both id and text count as one document,
+    and each keeps what one would keep; rows that repeat an id with another text
+    are documents of their own. Documents without an id come first, in the order
+    of a hash of their texts. Columns of those four names in ``docs`` are
+    replaced. An empty table gives an empty one.
     """
-    names = ("n_lines", "n_copies", "n_near", "n_links")
+    names = ("n_lines", "n_copies", "n_near", "matches")
     kept = [c for c in docs.columns if c not in names]
-    slim = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    same = cut(copies(slim))
-    links = cut(similar(with_numbers(slim, same, "skip"), threshold))
-    near = links.select("key", "at").distinct()
-    ends = links.select("key").unionByName(links.select(F.col("key2").alias("key")))
-    key, a, b, n, lines = (free_name(docs, x) for x in ("key_", "same_", "near_", "links_", "lines_"))
-    out = docs.withColumn(key, _key(id_col, text_col))
-    gone = cut(same.select("key", "at", F.lit(1).alias("kind")).unionByName(near.select("key", "at", F.lit(2).alias("kind"))))
-    per = gone.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias(a), F.count_if(F.col("kind") == 2).alias(b))
-    per = per.join(ends.groupBy("key").agg(F.count("*").alias(n)), "key", "full").withColumnRenamed("key", key)
-    out = out.join(per, key, "left")
+    p = _Place(docs, id_col, text_col)
+    slim = docs.select(*[v.alias(c) for c, v in p.row.items()], F.col(text_col).alias("text"))
+    first = cut(heads(slim, p, threshold))
+    near = matches(slim, first, p, threshold)
+    gone = copies(slim, first, p).select(*p.line, F.lit(None).alias("of")).unionByName(near)
+    own, gone_, near_, lines = (free_name(docs, x) for x in ("key", "gone_", "near_", "lines_"))
+    names_own = [f"{own}_{c}" for c in p.doc]
+    per = gone.groupBy(*[F.col(c).alias(o) for c, o in zip(p.doc, names_own, strict=True)]).agg(
+        F.collect_set("at").alias(gone_), F.sort_array(F.collect_list(F.when(F.col("of").isNotNull(), F.struct("at", "of")))).alias(near_))
+    out = docs.select("*", *[v.alias(o) for v, o in zip(p.row.values(), names_own, strict=True)]).join(per, names_own, "left")
     out = out.withColumn(lines, F.split(text_col, "\n"))
-    left = F.when(F.col(a).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(a, i)), "\n"))
-    counted = [F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0)), F.coalesce(F.col(b), F.lit(0)), F.coalesce(F.col(n), F.lit(0))]
-    return out.select(*[left.alias(c) if c == text_col else F.col(c) for c in kept], *[v.cast("long").alias(c) for c, v in zip(names, counted, strict=True)])
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_))
+    left = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
+    n_near = F.coalesce(F.size(near_), F.lit(0))
+    counted = [F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(gone_), F.lit(0)) - n_near, n_near]
+    return out.select(*[left.alias(c) if c == text_col else F.col(c) for c in kept], *[v.cast("long").alias(c) for c, v in zip(names, counted, strict=False)], F.coalesce(near_, F.array()).alias("matches"))

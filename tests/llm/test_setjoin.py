@@ -1,6 +1,8 @@
 import random
+from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexigrain.llm import setjoin
@@ -12,28 +14,33 @@ def words(line):
     return {w for w in line.split(" ") if w}
 
 
+def place(i, t, tied):
+    return (-(1 << 63) if i is None else i, xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63) & (1 << 64) - 1 if tied else 0)
+
+
 def slow(rows, a=4, b=5):
-    lines = sorted({(-(1 << 63) if i is None else i, at, line) for i, t in rows if t is not None for at, line in enumerate(t.split("\n"))})
+    """Of each row: its text without later lines, counts, and all earlier lines that each near one is similar to."""
+    tied = len({i for i, _ in rows}) < len(rows) or any(i is None for i, _ in rows)
+    lines = sorted({(*place(i, t, tied), at, line) for i, t in rows if t is not None for at, line in enumerate(t.split("\n"))})
     first, copied = {}, set()
-    for i, at, line in lines:
+    for *p, line in lines:
         if words(line):
-            if line in first and first[line] != (i, at):
-                copied.add((i, at))
-            first.setdefault(line, (i, at))
-    near, links = set(), {}
+            if line in first and first[line] != tuple(p):
+                copied.add(tuple(p))
+            first.setdefault(line, tuple(p))
+    near = {}
     sets = [(p, words(line)) for line, p in first.items()]
     for p, x in sets:
         for q, y in sets:
             if p > q and b * len(x & y) >= a * len(x | y):
-                near.add(p)
-                links[p[0]] = links.get(p[0], 0) + 1
-                links[q[0]] = links.get(q[0], 0) + 1
+                near.setdefault(p, set()).add(q)
     out = {}
     for i, t in rows:
-        k = -(1 << 63) if i is None else i
+        k = place(i, t, tied)
         ls = [] if t is None else t.split("\n")
-        gone = {at for at in range(len(ls)) if (k, at) in copied | near}
-        out[i, t] = (None if t is None else "\n".join(x for at, x in enumerate(ls) if at not in gone), len(ls), len([at for at in gone if (k, at) not in near]), len([at for at in gone if (k, at) in near]), links.get(k, 0))
+        gone = {at for at in range(len(ls)) if (*k, at) in copied or (*k, at) in near}
+        here = {at: near[*k, at] for at in gone if (*k, at) in near}
+        out[i, t] = (None if t is None else "\n".join(x for at, x in enumerate(ls) if at not in gone), len(ls), len(gone) - len(here), len(here)), here
     return out
 
 
@@ -65,21 +72,52 @@ def test_equals_brute_force(spark, threshold):
     got = setjoin.deduplicated(df, threshold).collect()
     want = slow(rows, *threshold)
     assert len(got) == len(rows) and got[0].key == 5
-    sources = {}
-    for (i, t), v in want.items():
-        sources.setdefault(i, []).append(v)
-    assert [r for r in got if (r.text, r.n_lines, r.n_copies, r.n_near, r.n_links) not in sources[r.doc_id]] == []
-    assert sum(v[3] for v in want.values()) > 30
+    held = defaultdict(list)
+    for (i, _), v in want.items():
+        held[i].append(v)
+    for r in got:
+        own = [here for v, here in held[r.doc_id] if v == (r.text, r.n_lines, r.n_copies, r.n_near)]
+        assert any({m["at"] for m in r.matches} == set(here) and all((m["of"][0], m["of"][-1]) in {(q[0], q[2]) for q in here[m["at"]]} for m in r.matches) for here in own), r
+    assert sum(v[3] for v, _ in want.values()) > 30
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    rows = [(5, "one two three four five six\nonly here"), (5, "one two three four five six\nand more of it"), (5, "quite another line"), (6, "quite another line\none two three four five six seven")]
+    got = setjoin.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = slow(rows)
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_copies, r.n_near) for r in got) == sorted((i, *v) for (i, _), (v, _) in want.items())
+    assert {"only here", "and more of it"} <= {x for r in got for x in r.text.split("\n")}
+
+
+def test_text_ids(spark):
+    rows = [("b", "a b c d e f"), ("a", "a b c d e g"), (None, "a b c d e f g"), ("", "x"), ("a2", None)]
+    got = {r.doc_id: (r.text, r.n_copies, r.n_near) for r in setjoin.deduplicated(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {None: ("a b c d e f g", 0, 0), "": ("x", 0, 0), "a": ("", 0, 1), "b": ("", 0, 1), "a2": (None, 0, 0)}
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(1500):
+        line = list(base)
+        for j in rng.sample(range(40), rng.randrange(0, 7)):
+            line[j] = f"v{rng.randrange(3000)}"
+        rows.append((i, " ".join(line) + "\n" + " ".join(f"x{rng.randrange(10**6)}" for _ in range(9))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = slow(rows)
+    got = {r.doc_id: r for r in setjoin.deduplicated(df).collect()}
+    assert {i: (r.text, r.n_lines, r.n_copies, r.n_near) for i, r in got.items()} == {i: v for (i, _), (v, _) in want.items()}
 
 
-def test_shuffled_ways(spark, monkeypatch):
+def test_small_tables_change_nothing(spark, monkeypatch):
     rows = corpus()[:40]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    a = sorted(setjoin.deduplicated(df).collect())
-    monkeypatch.setattr(setjoin, "BROADCAST_LINES", -1)
+    a = sorted(setjoin.deduplicated(df).drop("matches").collect())
     monkeypatch.setattr(setjoin, "FILTER_BYTES", 2)
     monkeypatch.setattr(setjoin, "RARITY_SLOTS", 4)
-    assert sorted(setjoin.deduplicated(df).collect()) == a
+    monkeypatch.setattr(setjoin, "HOT", 1)
+    assert sorted(setjoin.deduplicated(df).drop("matches").collect()) == a
 
 
 def test_empty(spark):

@@ -23,7 +23,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", "")
-        if not named and not sc.master.startswith("local["):
+        if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexigrain-"))
     return df.checkpoint()
@@ -55,3 +55,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         cut(spark.range(0))
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def told_apart(docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """``docs`` with a text in ``key`` that no two rows share: the id, as long as every row has its own.
+
+    Where ids are null or repeat, it is a hash of the whole row and its number among
+    equal rows. Equal rows meet as a count, made where they lie, and are
+    exploded again, so that thousands of copies are never one task's rows.
+    """
+    many = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+    if not many.head(1):
+        return docs.withColumn(key, F.col(id_col).cast("string"))
+    n = free_name(docs, "n")
+    rows = docs.groupBy(docs.columns).agg(F.count("*").alias(n)).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    whole = F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(*docs.columns).cast("string"), F.xxhash64(F.lit(1), *docs.columns).cast("string"), F.col(n).cast("string"))
+    return rows.withColumn(key, whole).drop(n)

@@ -2,8 +2,8 @@
 
 Each source gets a mean repetition rate: target weight x output size / source
 size. A document's count is the inverse of that Poisson distribution at a
-uniform number hashed from the seed and its id, so it needs no state, no second
-pass and no coordination. The row is exploded by its count and all copies are
+uniform number hashed from the seed and its id (where ids don't tell the rows
+apart: from the whole row), so it needs no state and no coordination. The row is exploded by its count and all copies are
 put in a global order by another hash.
 """
 
@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, told_apart
 
-#: Sources whose statistics are broadcast at most; more are joined by a shuffle.
-BROADCAST_SOURCES = 100_000
+#: Bytes of the sources' distributions that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -59,23 +59,25 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     """A row per copy: all columns of ``docs`` and ``rate``, ``copies``, ``copy`` (from 1), ``shuffle_key``.
 
     Rows come in the global order of (``shuffle_key``) within hash partitions;
-    sorting by it gives one total order. Rows that repeat an id get the same
-    count, each; a null id hashes as an empty one; a null source is a source.
-    Columns of those four names in ``docs`` are replaced. An empty table gives
-    an empty one.
+    sorting by it gives one total order. A null source is a source. In a table
+    where ids are null or repeat, each row's draw and key are hashed from all its
+    columns and its number among equal rows, so every row has draws of its own.
+    Null, empty and long texts count by their bytes. Columns of those four names in
+    ``docs`` are replaced. An empty table gives an empty one.
     """
     spread = cut(distribution(rates(docs, weights, alpha, size, source_col, text_col)))
-    few = spread.count() <= BROADCAST_SOURCES
-    key, cdf, rate, copies, copy, order = (free_name(docs, n) for n in ("mix_source", "cdf", "rate_", "copies_", "copy_", "order_"))
+    held = spread.agg(F.sum(F.size("cdf") * 8 + F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    key, cdf, rate, copies, copy, order, row = (free_name(docs, n) for n in ("mix_source", "cdf", "rate_", "copies_", "copy_", "order_", "row_"))
     spread = spread.select(F.col("source").alias(key), F.col("cdf").alias(cdf), F.col("rate").alias(rate))
-    if few:
-        spread = F.broadcast(spread)  # at most BROADCAST_SOURCES rows
-    u = uniform(seed, F.col(id_col))
-    made = docs.join(spread, docs[source_col].eqNullSafe(spread[key]))
-    made = made.withColumn(copies, F.size(F.filter(F.col(cdf), lambda c: c <= u))).filter(F.col(copies) > 0)
-    made = made.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    made = made.withColumn(order, F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy))))
+    if held <= BROADCAST_BYTES:
+        spread = F.broadcast(spread)
     names = {rate: "rate", copies: "copies", copy: "copy", order: "shuffle_key"}
     kept = [c for c in docs.columns if c not in names.values()]
+    u = uniform(seed, F.col(row))
+    made = told_apart(docs.select(kept), id_col, row)
+    made = made.join(spread, made[source_col].eqNullSafe(spread[key]))
+    made = made.withColumn(copies, F.size(F.filter(F.col(cdf), lambda c: c <= u))).filter(F.col(copies) > 0)
+    made = made.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    made = made.withColumn(order, F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.col(row), F.col(copy))))
     out = made.select(*kept, *[F.col(a).alias(b) for a, b in names.items()])
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

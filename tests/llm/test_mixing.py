@@ -10,7 +10,7 @@ from lexigrain.llm import mixing
 
 def rows():
     out = [(i, "x" * (i % 50), "big") for i in range(600)] + [(1000 + i, "y" * 400, "mid") for i in range(90)] + [(2000 + i, "z" * 30, None) for i in range(25)]
-    return out + [(None, None, "mid"), (7, "again", "small"), (7, "again", "small")]
+    return out
 
 
 def slow_count(seed, doc, rate):
@@ -51,6 +51,28 @@ def test_mean_meets_the_rate_and_order_mixes(spark):
     assert all(abs(r["count"] - 500) < 80 for r in first)
 
 
+def test_rows_without_an_id_and_repeats_draw_each_for_itself(spark):
+    data = [(None, "same text", "a")] * 6000 + [(None, f"text {i}", "a") for i in range(2000)] + [(5, "again", "a")] * 3000 + [(i, "w " * 9000, "b") for i in range(3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.replicated(df, {"a": 1.0, "b": 0.5}, size=2.0).cache()
+    rate = {r.source: r.rate for r in got.select("source", "rate").distinct().collect()}
+    for where, n in (("text = 'same text'", 6000), ("text LIKE 'text %'", 2000), ("doc_id = 5", 3000)):
+        mean = got.filter(where).count() / n
+        assert abs(mean - rate["a"]) < 5 * (rate["a"] / n) ** 0.5
+    spread = got.filter("text = 'same text'").groupBy("copies").count().collect()
+    assert len(spread) >= 4
+    assert got.select("shuffle_key").distinct().count() == got.count()
+    key = lambda r: (r.doc_id or -1, r.text, r.source, r.copies, r.copy, r.shuffle_key)
+    assert sorted(map(key, got.collect())) == sorted(map(key, mixing.replicated(df.repartition(7), {"a": 1.0, "b": 0.5}, size=2.0).collect()))
+
+
+def test_shuffled_distributions_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, source string")
+    a = sorted(r.shuffle_key for r in mixing.replicated(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(r.shuffle_key for r in mixing.replicated(df).collect()) == a
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.replicated(df).count() == 0

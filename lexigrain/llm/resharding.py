@@ -5,8 +5,10 @@ costs nothing where it stays and 1 where it moves (or what ``cost`` says). The
 flow that meets all capacities at least cost is solved on the driver; its size
 is the number of shards, never of rows. Each old shard is then a line of bytes,
 large rows first, and the flow cuts the line: its beginning stays, the rest goes
-to the shards that the flow names. Where a row lies on its line comes from block
-totals and a running sum within a block of bounded size.
+to the shards that the flow names. Where a row lies on its line comes from the totals
+of size classes, of blocks within a class, and a running sum within a block; each
+class has as many blocks as its rows need. Within a new shard rows are in the order
+of a hash, so that neighbours of the input, and copies, are not neighbours there.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, told_apart
 
-#: Rows of a block, about, were they spread evenly over blocks.
-BLOCK_ROWS = 4096
+#: Rows of a block, about.
+BLOCK_ROWS = 2048
 
 
 def solve(supply: dict[int, int], capacity: dict[int, int], cost: dict[tuple[int, int], int] | None = None) -> dict[tuple[int, int], int]:
@@ -91,42 +93,51 @@ def row_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def reshard(docs: DataFrame, old: Column, shards: int = 8, capacity: dict[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reshard(docs: DataFrame, old: Column, shards: int = 8, capacity: dict[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: str = "shard") -> DataFrame:
     """``docs`` with ``size``, ``old_shard``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     ``old`` gives the shard where a row lies now (an int; null is 0). Without
     ``capacity`` the new shards share the bytes evenly; sizes miss that by less
-    than a row at each cut, and cuts lie among small rows. The same rows always
-    get the same shards; rows equal in id and text are interchangeable. Columns
-    of those four names in ``docs`` are replaced. An empty table gives an empty
-    one.
+    than a row at each cut, and cuts lie among small rows. Slots are in the order of
+    a hash of ``seed`` and the row. The same rows always get the same shards and
+    slots; equal rows, and rows without an id, are told apart by their number among
+    equal rows and are placed each by itself. A null text has no bytes but its one.
+    Columns of those four names in ``docs`` are replaced. An empty table gives an
+    empty one.
     """
     names = ["size", "old_shard", "shard", "slot"]
-    size, shard_of, kind, block, tie, run, rank, base, place, new, n, first, lo, hi, home = (free_name(docs, f"_{x}") for x in ("size", "old", "class", "block", "tie", "run", "rank", "base", "place", "new", "n", "first", "lo", "hi", "home"))
+    size, shard_of, kind, block, mix, run, rank, base, place, new, n, first, lo, hi, home, many, row, after = (free_name(docs, f"_{x}") for x in ("size", "old", "class", "block", "mix", "run", "rank", "base", "place", "new", "n", "first", "lo", "hi", "home", "many", "row", "after"))
     kept = [c for c in docs.columns if c not in names]
-    rows = docs.withColumn(size, row_bytes(F.col(text_col))).withColumn(shard_of, F.coalesce(old.cast("int"), F.lit(0)))
-    sums = rows.groupBy(shard_of).agg(F.sum(size).alias(n), F.count("*").alias(rank)).collect()  # a row per old shard
-    supply = {r[shard_of]: r[n] for r in sums}
+    spark = docs.sparkSession
+    sized = docs.withColumn(size, row_bytes(F.col(text_col))).withColumn(shard_of, F.coalesce(old.cast("int"), F.lit(0))).select(*kept, size, shard_of)
+    sized = sized.withColumn(kind, -F.floor(2 * F.log2(F.col(size).cast("double"))).cast("int"))
+    sums = sorted(tuple(r) for r in sized.groupBy(shard_of, kind).agg(F.sum(size), F.count("*")).collect())  # a row per old shard and size class, of which there are 130 at most
+    supply: dict[int, int] = {}
+    classes = []
+    for a, k, held, rows_there in sums:
+        classes.append((a, k, supply.get(a, 0), 1 + rows_there // BLOCK_ROWS))
+        supply[a] = supply.get(a, 0) + held
     if not supply:
-        return rows.select(*kept, F.col(size).alias("size"), F.col(shard_of).alias("old_shard"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return sized.select(*kept, F.col(size).alias("size"), F.col(shard_of).alias("old_shard"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     line = cuts(solve(supply, capacity or even(sum(supply.values()), shards)))
-    split = 1 + sum(r[rank] for r in sums) // (BLOCK_ROWS * 8 * len(sums))
-    rows = rows.withColumn(kind, -F.floor(2 * F.log2(F.col(size).cast("double"))).cast("int")).withColumn(block, F.pmod(F.xxhash64(id_col), F.lit(split)).cast("int")).withColumn(tie, F.xxhash64(text_col))
+    starts = F.broadcast(spark.createDataFrame(classes, f"{shard_of} int, {kind} int, {base} long, {many} int"))  # as many rows as sums
+    rows = told_apart(sized, id_col, row).join(starts, [shard_of, kind])
+    rows = rows.withColumn(mix, F.xxhash64(F.lit(seed), row)).withColumn(block, F.pmod(F.xxhash64(F.lit(seed), mix), F.col(many)).cast("int"))
     key = [shard_of, kind, block]
-    totals = cut(rows.groupBy(*key).agg(F.sum(size).alias(n)))
-    before = Window.partitionBy(shard_of).orderBy(kind, block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*key, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
-    inside = Window.partitionBy(*key).orderBy(F.col(size).desc(), id_col, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = cut(rows.groupBy(*key, base).agg(F.sum(size).alias(n)))
+    before = Window.partitionBy(shard_of, kind).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*key, (F.col(base) + F.coalesce(F.sum(n).over(before), F.lit(0))).alias(after))
+    inside = Window.partitionBy(*key).orderBy(F.col(size).desc(), mix, row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn(run, F.sum(size).over(inside)).join(totals, key)
-    rows = rows.withColumn(place, F.col(base) + F.col(run) - F.floor((F.col(size) + 1) / 2))
-    ways = docs.sparkSession.createDataFrame(line, f"{home} int, {lo} long, {hi} long, {new} int")
+    rows = rows.withColumn(place, F.col(after) + F.col(run) - F.floor((F.col(size) + 1) / 2))
+    ways = spark.createDataFrame(line, f"{home} int, {lo} long, {hi} long, {new} int")
     rows = rows.join(F.broadcast(ways), (F.col(shard_of) == F.col(home)) & (F.col(place) >= F.col(lo)) & (F.col(place) < F.col(hi)))  # a row per pair of shards
-    piece = Window.partitionBy(*key, new).orderBy(F.col(size).desc(), id_col, tie)
-    rows = rows.withColumn(rank, F.row_number().over(piece))
-    counts = rows.groupBy(new, *key).agg(F.count("*").alias(n))
-    earlier = Window.partitionBy(new).orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = cut(counts).select(*key, new, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(first))
-    rows = rows.join(firsts, [*key, new])
+    bits = max(1, (sum(x[3] for x in sums) // (BLOCK_ROWS * len({x[3] for x in line}))).bit_length())
+    rows = rows.withColumn(block, F.shiftright(mix, 64 - bits))
+    counts = cut(rows.groupBy(new, block).agg(F.count("*").alias(n)))
+    earlier = Window.partitionBy(new).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(new, block, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(first))  # one row per BLOCK_ROWS rows of a shard
+    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(new, block).orderBy(mix, row))).join(firsts, [new, block])
     return rows.select(*kept, F.col(size).alias("size"), F.col(shard_of).alias("old_shard"), F.col(new).alias("shard"), (F.col(first) + F.col(rank) - 1).alias("slot"))
 
 

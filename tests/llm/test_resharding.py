@@ -91,6 +91,33 @@ def test_rewrite_in_a_folder_that_holds_the_old_shards(spark, tmp_path):
     assert files(0) == kept and not (tmp_path / "shards" / "shard=3").exists()
 
 
+def test_slots_are_shuffled(spark):
+    df = spark.createDataFrame([(i // 4, f"t{i // 4 % 50}" * (1 + i // 4 % 90), "a") for i in range(4000)] + [(None, "none", "a")] * 3000, "doc_id long, text string, source string")
+    got = resharding.reshard(df, F.lit(0), 4).collect()
+    at = {(r.shard, r.slot): r for r in got}
+    assert len(at) == len(got) == 7000
+    rows = [r for r in got if r.doc_id is not None]
+    twins = sum((o := at.get((r.shard, r.slot + 1))) is not None and o.doc_id == r.doc_id for r in rows)
+    assert twins <= 20  # by chance: 4000 x 3 / 7000
+    for n in range(4):
+        own = sorted((r for r in got if r.shard == n), key=lambda r: r.slot)
+        mean = sum(r.size for r in own) / len(own)
+        half = sum(r.size for r in own[: len(own) // 2]) / (len(own) // 2)
+        assert abs(half - mean) < 0.2 * mean
+
+
+def test_very_long_texts_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resharding, "BLOCK_ROWS", 5)
+    df = spark.createDataFrame([(i, "x" * (200_000 if i % 97 == 0 else i % 13), "a") for i in range(700)], "doc_id long, text string, source string")
+    got = resharding.reshard(df, F.col("doc_id") % 3, 5).collect()
+    slots, size = defaultdict(list), defaultdict(int)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        size[r.shard] += r.size
+    assert sorted(r.doc_id for r in got) == list(range(700)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(abs(s - sum(size.values()) / 5) <= 200_001 for s in size.values())
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert resharding.reshard(df, F.lit(0)).count() == 0

@@ -71,3 +71,18 @@ def told_apart(docs: DataFrame, id_col: str, key: str) -> DataFrame:
     rows = docs.groupBy(docs.columns).agg(F.count("*").alias(n)).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
     whole = F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(*docs.columns).cast("string"), F.xxhash64(F.lit(1), *docs.columns).cast("string"), F.col(n).cast("string"))
     return rows.withColumn(key, whole).drop(n)
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner", hot: int = 1000) -> DataFrame:
+    """``rows`` joined to ``table``, which has a row per ``key`` at most, with no key's rows gathered in one task.
+
+    ``counts(key, n)`` says how many of the ``total`` rows a key has. Keys of more than
+    ``hot`` rows, and of more than a 500,000th of all (so there are 500,000 such keys at
+    most), are joined by broadcasting their rows of ``table``; the rest by a shuffle.
+    """
+    often = cut(counts.filter(F.col("n") > max(hot, total // 500_000)).select(key))
+    if not often.head(1):
+        return rows.join(table, key, how)
+    few = cut(table.join(F.broadcast(often), key))
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table, key, how)
+    return rows.join(F.broadcast(few), key).unionByName(rest.select(*rows.columns, *[c for c in table.columns if c != key]))

@@ -3,7 +3,8 @@
 After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014): a
 large star hangs the larger neighbours of each node on its least neighbour, a
 small star hangs the smaller ones there. A star's centre is found by a partial
-aggregate, so a hub with very many neighbours never meets in one task.
+aggregate; what it hangs there is joined to it by a shuffle, and for the few hubs
+with very many neighbours by a broadcast of the hubs.
 """
 
 from __future__ import annotations
@@ -11,19 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, joined
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _hung(edges: DataFrame, centre: DataFrame, total: int) -> DataFrame:
+    return joined(edges, centre.select("a", "m"), "a", centre, total)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    centre = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(centre, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    centre = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return _hung(both.filter("b > a"), centre, 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    centre = down.groupBy("a").agg(F.min("b").alias("m"))
-    hung = down.join(centre, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    centre = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    hung = _hung(down, centre, total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(centre.select("a", F.col("m").alias("b")))
 
 
@@ -43,5 +48,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         seen = total
-        now = cut(_small_star(_large_star(now)).distinct())
+        now = cut(_small_star(_large_star(now, total[0]), total[0]).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -4,7 +4,7 @@ Old shards supply their bytes, new shards take their capacities, and a byte
 costs nothing where it stays and 1 where it moves (or what ``cost`` says). The
 flow that meets all capacities at least cost is solved on the driver; its size
 is the number of shards, never of rows. Each old shard is then a line of bytes,
-large rows first, and the flow cuts the line: its beginning stays, the rest goes
+size classes of large rows first, and the flow cuts the line: its beginning stays, the rest goes
 to the shards that the flow names. Where a row lies on its line comes from the totals
 of size classes, of blocks within a class, and a running sum within a block; each
 class has as many blocks as its rows need. Within a new shard rows are in the order
@@ -127,7 +127,7 @@ def reshard(docs: DataFrame, old: Column, shards: int = 8, capacity: dict[int, i
     totals = cut(rows.groupBy(*key, base).agg(F.sum(size).alias(n)))
     before = Window.partitionBy(shard_of, kind).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*key, (F.col(base) + F.coalesce(F.sum(n).over(before), F.lit(0))).alias(after))
-    inside = Window.partitionBy(*key).orderBy(F.col(size).desc(), mix, row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*key).orderBy(mix, row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn(run, F.sum(size).over(inside)).join(totals, key)
     rows = rows.withColumn(place, F.col(after) + F.col(run) - F.floor((F.col(size) + 1) / 2))
     ways = spark.createDataFrame(line, f"{home} int, {lo} long, {hi} long, {new} int")

@@ -1,15 +1,17 @@
-"""Near-duplicates by whole shingle sets: every pair that reaches a Jaccard similarity is found.
+"""Whole shingle sets behind SimHash: verification of its pairs, and the pairs beyond its bits.
 
 SimHash at few bits finds only the closest copies, and at the 15 % of bits in which
-fingerprints of similar sets differ, no chain of segments is selective. So the sets
-themselves are joined: ordered by rarity, two sets reach the threshold only if they
+fingerprints of sets alike by 0.8 differ, no chain of segments is selective. So a set
+that the fingerprints have linked is verified, and then all sets are
+joined: ordered by rarity, two sets reach the threshold only if they
 share a shingle among their first few (prefix filter), are of like sizes and share as
 many of the first ones as those behind them cannot make up for. Parity maps, of 256 bits and
 then of 2048, bound the symmetric difference; what is left is verified on the whole sets.
 
 Only the classes are wanted, so large groups are not paired whole: first each set
-meets the least and the greatest one of each posting, then all pairs of a posting
-that lie in different classes are joined. No pair that could join two classes is left out.
+meets its fingerprint's neighbours and the least and the greatest set of each posting, then
+all pairs of a posting that lie in different classes are joined. No pair that could join two
+classes is left out.
 
 Shingles and sets are compared by 64-bit hashes.
 """
@@ -24,10 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 from .components import components
 from .setjoin import _need
-from .simhash import one_of_each
+from .simhash import links as close
+from .simhash import voted
 
 #: Words of a shingle, and the Jaccard threshold as a fraction.
 WORDS, THRESHOLD = 5, (4, 5)
@@ -86,10 +89,10 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 
 
 def sketch_udf(classes: np.ndarray, words: int, threshold: tuple[int, int]) -> Callable[[Column], Column]:
-    """``fp`` (hash of the set), ``n``, ``parity`` and ``fine`` (maps) and ``first`` (the prefix, rarest first)."""
+    """``fp`` (hash of the set), ``sim`` (its SimHash), ``n``, ``parity`` and ``fine`` (maps) and ``first`` (the prefix, rarest first)."""
     a, b = threshold
 
-    @F.pandas_udf("fp long, n int, parity array<long>, fine array<long>, first array<long>")
+    @F.pandas_udf("fp long, sim long, n int, parity array<long>, fine array<long>, first array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
@@ -100,8 +103,8 @@ def sketch_udf(classes: np.ndarray, words: int, threshold: tuple[int, int]) -> C
                 flips = np.bincount((s >> np.uint64(20) & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE) & 1
                 fine, parity = _packed(flips), _packed(flips.reshape(-1, LANES).sum(0) & 1)
                 first = s[order[: n + (-n * a) // b + 1]] if n else s
-                out.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), n, parity, fine, _signed(first)))
-            yield pd.DataFrame(out, columns=["fp", "n", "parity", "fine", "first"])
+                out.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), voted([s], n) if n else 0, n, parity, fine, _signed(first)))
+            yield pd.DataFrame(out, columns=["fp", "sim", "n", "parity", "fine", "first"])
 
     return sketch
 
@@ -145,6 +148,21 @@ def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, words: int, th
     return both.filter(F.size(F.array_intersect("x", "y")) >= _need(F.size("x"), F.size("y"), threshold)).select("a", "b")
 
 
+def near_prints(each: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets, the greater one first, whose fingerprints ``sim`` are equal or linked.
+
+    Of the sets that share a fingerprint the least stands for all: each of the others
+    meets it, and it alone meets those of other fingerprints.
+    """
+    least = cut(each.groupBy("sim").agg(F.min("fp").alias("least")))
+    same = each.join(least, "sim").filter("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    there = least.withColumnsRenamed({"sim": "fp"})
+    linked = close(there.select("fp"))
+    for c in ("a", "b"):
+        linked = linked.join(there.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_")), c)
+    return same.unionByName(linked.select(F.greatest("a_", "b_").alias("a"), F.least("a_", "b_").alias("b")))
+
+
 def roots(rows: DataFrame, prints: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``node``, ``root`` of the sets ``fp`` that are linked to others by similarity.
 
@@ -152,6 +170,7 @@ def roots(rows: DataFrame, prints: DataFrame, words: int = WORDS, threshold: tup
     """
     each = cut(prints.dropDuplicates(["fp"]))
     sizes = each.select("fp", "n", "parity")
+    found = cut(near_prints(each.select("fp", "sim")))
     postings = each.select("fp", F.explode("first").alias("word"))
     of_word = Window.partitionBy("word")
     shared = postings.withColumn("lo", F.min("fp").over(of_word)).withColumn("hi", F.max("fp").over(of_word))
@@ -160,7 +179,7 @@ def roots(rows: DataFrame, prints: DataFrame, words: int = WORDS, threshold: tup
     ends = shared.select("fp", F.explode(F.array("lo", "hi")).alias("end")).filter("fp <> end")
     ends = ends.select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b")).distinct()
     ends = ends.join(sizes.alias("x"), F.col("a") == F.col("x.fp")).join(sizes.alias("y"), F.col("b") == F.col("y.fp")).filter(_alike("x", "y", threshold) & (F.col("x.n") <= LARGE) & (F.col("y.n") <= LARGE))
-    links = cut(_verified(cut(ends.select("a", "b")), rows, each, words, threshold))
+    links = cut(_verified(cut(ends.select("a", "b").unionByName(found).distinct()), rows, each, words, threshold))
 
     # Equal labels are in one class; different ones may be, which costs pairs but changes nothing.
     label = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
@@ -178,13 +197,28 @@ def roots(rows: DataFrame, prints: DataFrame, words: int = WORDS, threshold: tup
     return components(links.unionByName(_verified(second, rows, each, words, threshold)))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The documents with one row left of each class: that of the least id.
+def one_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents with one row left of each class: that of the least id, then of the least hash of its text.
 
-    Classes are the components of the links between texts whose sets of shingles have
-    a Jaccard similarity of ``threshold`` or more; texts without a word are one class.
-    A row without an id stays only where its whole class has none.
+    ``prints`` has ``id``, ``h`` (``xxhash64`` of the text) and ``fp`` of each row,
+    ``roots(node, root)`` the classes of those ``fp`` that are linked to others. A
+    row is told by id and text, so rows that repeat an id go or stay each by its own class.
     """
+    own, h = free_name(docs, "id"), free_name(docs, "h")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x")
+    each = prints.groupBy("fp").agg(first).join(roots.withColumnRenamed("node", "fp"), "fp", "left")  # a row per fingerprint: copies are counted out before
+    least = each.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("x").alias("x")).select("x.id", "x.h")
+    again = prints.groupBy("id", "h").count().filter("count > 1").select("id", "h", F.lit(True).alias("again"))
+    kept = cut(least.alias("l").join(again.alias("r"), F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.h") == F.col("r.h")), "left").select("l.id", "l.h", F.coalesce("again", F.lit(False)).alias("again")))
+    kept = kept.select(F.col("id").alias(f"{own}_"), F.col("h").alias(f"{h}_"), "again")
+    told = docs.withColumn(h, F.xxhash64(text_col))
+    match = lambda k: told.join(k, told[id_col].eqNullSafe(k[f"{own}_"]) & (told[h] == k[f"{h}_"]), "left_semi")
+    once = match(kept.filter("NOT again")).unionByName(match(kept.filter("again")).dropDuplicates([id_col, h]))
+    return once.select(docs.columns)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """See ``simhash.keep_one``."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     sketch = sketch_udf(rarity(rows, words), words, threshold)
     prints = cut(rows.select("id", "h", sketch("text").alias("s")).select("id", "h", "s.*"))

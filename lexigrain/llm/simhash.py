@@ -8,11 +8,15 @@ principle, Qin and Xiao 2018). The first two limits become an equi-join on 32
 bits: index rows carry (start, segment, next segment), probe rows also the
 variants with one more bit set in the next segment. The rest of the chain and
 the full Hamming distance are checked on the joined rows only.
+
+Three of 64 bits link the closest copies only. Where documents alike by a Jaccard
+similarity of their shingles are wanted (``keep_one``), the pairs that the fingerprints
+find are verified on the whole sets, and ``shingles`` finds the pairs beyond their bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name
+from .common import cut, joined
 from .components import components
 
 SEGMENTS, WIDTH, BUDGET = 4, 16, 3
@@ -41,18 +45,22 @@ def fingerprint(text: str | None, words: int = 3, block: int = 1 << 16) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     n = max(1, len(split) - words + 1)
+    return voted((np.fromiter((digest(b" ".join(split[i : i + words]), 42) for i in range(at, min(n, at + block))), np.uint64) for at in range(0, n, block)), n)
+
+
+def voted(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The signed 64 bits that are 1 in over half of ``n`` unsigned hashes, given in blocks."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, block):
-        h = np.fromiter((digest(b" ".join(split[i : i + words]), 42) for i in range(at, min(n, at + block))), np.uint64)
+    for h in hashes:
         counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _COLUMN).ravel(), minlength=2048)
         ones += (counts.reshape(8, 256) @ _BITS).ravel()
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
 @F.pandas_udf(T.LongType())
-def fingerprint_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([fingerprint(x) for x in texts], dtype="int64")
+def fingerprint_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, words in batches:
+        yield pd.Series([fingerprint(x, n) for x, n in zip(texts, words, strict=True)], dtype="int64")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -113,9 +121,8 @@ def links(prints: DataFrame, hot: int = 1000) -> DataFrame:
     return pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """``fp``, ``component_id`` for the distinct fingerprints of ``prints(id, fp)``."""
-    each = prints.groupBy("fp").agg(F.min("id").alias("first"))
+def classes(each: DataFrame) -> DataFrame:
+    """``fp``, ``component_id`` for the distinct fingerprints of ``each(fp, first)``; ``first`` is the least id of those that have it."""
     roots = components(links(each.select("fp")))
     linked = cut(each.join(roots.withColumnRenamed("node", "fp"), "fp"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -123,7 +130,7 @@ def classes(prints: DataFrame) -> DataFrame:
     return each.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` (long), ``component_id``.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Equal
@@ -131,34 +138,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no class unless no member has an id (then ``component_id`` is null). Other
     columns are not read. An empty table gives an empty result.
     """
-    prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
-    return prints.join(classes(prints), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col), F.lit(words)).alias("fp")))
+    each = cut(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    found = joined(prints, classes(each.select("fp", "first")), "fp", each, prints.count())
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: tuple[int, int] | None = None) -> DataFrame:
     """The documents with one row left of each class: that of the least id, then of the least hash of its text.
 
-    ``prints`` has ``id``, ``h`` (``xxhash64`` of the text) and ``fp`` of each row,
-    ``roots(node, root)`` the classes of those ``fp`` that are linked to others. A
-    row is told by id and text, so rows that repeat an id go or stay each by its own class.
+    Classes are those of the fingerprints of ``words`` words. With a ``threshold`` (a
+    fraction) they are the components of the links between texts whose sets of shingles
+    have that Jaccard similarity or more; null texts and texts without a word are one class
+    then. Rows that repeat an id go or stay each by its own class. Rows without an id stay
+    only where their whole class has none, again one of them. An empty table gives an empty
+    one; other columns are kept as they are.
     """
-    own, h = free_name(docs, "id"), free_name(docs, "h")
-    rows = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x")).select("x.id", "x.h")
-    again = prints.groupBy("id", "h").count().filter("count > 1").select("id", "h", F.lit(True).alias("again"))
-    kept = cut(least.alias("l").join(again.alias("r"), F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.h") == F.col("r.h")), "left").select("l.id", "l.h", F.coalesce("again", F.lit(False)).alias("again")))
-    kept = kept.select(F.col("id").alias(f"{own}_"), F.col("h").alias(f"{h}_"), "again")
-    told = docs.withColumn(h, F.xxhash64(text_col))
-    match = lambda k: told.join(k, told[id_col].eqNullSafe(k[f"{own}_"]) & (told[h] == k[f"{h}_"]), "left_semi")
-    once = match(kept.filter("NOT again")).unionByName(match(kept.filter("again")).dropDuplicates([id_col, h]))
-    return once.select(docs.columns)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row left of each class: that of the least id.
-
-    Rows that repeat an id go or stay each by its own class. Rows without an id
-    stay only where their whole class has none, again one of them.
-    """
-    prints = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), fingerprint_udf(F.col(text_col)).alias("fp")))
-    return one_of_each(docs, prints, components(links(prints.select("fp").distinct())), id_col, text_col)
+    from . import shingles  # it takes this module's fingerprints
+
+    if threshold is not None:
+        return shingles.keep_one(docs, id_col, text_col, words, threshold)
+    prints = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), fingerprint_udf(F.col(text_col), F.lit(words)).alias("fp")))
+    return shingles.one_of_each(docs, prints, components(links(prints.select("fp").distinct())), id_col, text_col)

@@ -1,12 +1,15 @@
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexigrain.llm import decontam, quality
 from lexigrain.llm.common import saved, shared_folder, table
 
 from .test_decontam import slow_tiles
 from .test_mixing import slow_count
-from .test_simhash import roots, slow_print
+from .test_shingles import slow_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,9 +31,7 @@ def test_every_stage_against_brute_force(spark):
     labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
     assert sum(labels.get(i) == 1 for i in ids[1]) >= 0.95 * sum(labels.get(i) == 1 for i in ids[0])
 
-    prints = {i: slow_print(text[i]) for i in ids[1]}
-    pairs = [(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3]
-    assert sorted(ids[2]) == sorted(set(roots(prints, pairs).values()))
+    assert sorted(ids[2]) == slow_kept({i: text[i] for i in ids[1]})
 
     items = [decontam.words(r.text) for r in table(spark, SF, "benchmark").collect()]
     grams = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in items]
@@ -59,7 +60,44 @@ def test_every_stage_against_brute_force(spark):
     for rows in shards.values():
         assert sorted(r.slot for r in rows) == list(range(len(rows))) and abs(sum(r.size for r in rows) - total / 8) <= row
 
+    at = {(r.shard, r.slot): r.doc_id for r in kept[5]}
+    twins = sum(at.get((s, n + 1)) == i for (s, n), i in at.items())
+    there = Counter((s, i) for (s, _), i in at.items())
+    chance = sum(n * (n - 1) / len(shards[s]) for (s, _), n in there.items())
+    assert twins <= chance + 4 * chance**0.5 + 1
+
 
 def test_run_equals_stages(spark):
     a = corpus_pipeline.run(spark, SF)
     assert a.count() > 50 and {"shard", "slot", *table(spark, SF, "documents").columns} <= set(a.columns)
+
+
+HARD = [(1, None, "en", "a", None), (2, "", None, None, 0), (2, "", None, None, 0), (None, "some words of a text without an id", "en", "a", 3), (None, "some words of a text without an id", "en", "a", 3), (None, "quite other words that nobody else has said", "en", "b", 3),
+        (7, "an id that repeats with a text of its own kind", "de", "b", 1), (7, "an id that repeats, and this is another text", "de", "b", 1), (8, "same " * 30_000, "fr", "b", 9), (9, " \n ", "fr", None, 9)]
+
+
+def hard(spark, n=None):
+    return spark.createDataFrame(HARD[:n], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(4) for c in EXTRA})
+
+
+EXTRA = ("shard", "slot", "size", "copies", "h", "id", "fp", "key", "_new", "score")
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_stages_with_hard_rows(spark, step):
+    name, stage = corpus_pipeline.STAGES[step]
+    docs = hard(spark)
+    got = stage(spark, docs, SF)
+    rows = got.collect()
+    last = step == len(corpus_pipeline.STAGES) - 1
+    assert got.columns == docs.columns or last and set(docs.columns) <= set(got.columns)
+    assert stage(spark, hard(spark, 0), SF).count() == 0
+    texts = Counter((r.doc_id, r.text) for r in rows)
+    assert set(texts) <= {(x[0], x[1]) for x in HARD}
+    if name == "SimHash near-dedup":
+        assert texts == Counter({(1, None): 1, (7, HARD[6][1]): 1, (7, HARD[7][1]): 1, (8, HARD[8][1]): 1, (None, HARD[3][1]): 1, (None, HARD[5][1]): 1})
+    if name == "benchmark decontamination" or last:
+        assert sum(texts.values()) == len(HARD)
+    if last:
+        assert Counter(r["size"] for r in rows) == Counter(len((x[1] or "").encode()) + 1 for x in HARD)
+        assert len({(r["shard"], r["slot"]) for r in rows}) == len(HARD)

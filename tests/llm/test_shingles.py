@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from lexigrain.llm import shingles
+from lexigrain.llm import shingles, simhash
 from lexigrain.llm.common import table
 
 from .test_simhash import roots
@@ -46,12 +46,23 @@ def test_groups_of_near_copies(spark):
     for order in range(2):
         rng.shuffle(texts)
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        assert sorted(r.doc_id for r in shingles.keep_one(df).collect()) == slow_kept(dict(enumerate(texts)))
+        assert sorted(r.doc_id for r in simhash.keep_one(df, words=5, threshold=(4, 5)).collect()) == slow_kept(dict(enumerate(texts)))
 
 
 def test_rows_that_repeat_an_id_and_empty(spark):
     data = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words than these ones here"), (2, "other words than these ones here"), (None, "a b c d e f"), (None, "lone"), (None, "lone")]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = sorted((r.doc_id or 0, r.text) for r in shingles.keep_one(df).collect())
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(df, words=5, threshold=(4, 5)).collect())
     assert got == [(0, "lone"), (1, "a b c d e f"), (1, "other words than these ones here")]
-    assert shingles.keep_one(df.limit(0)).count() == 0
+    assert simhash.keep_one(df.limit(0), words=5, threshold=(4, 5)).count() == 0
+
+
+def test_fingerprints_find_the_close_pairs(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(30)]
+    texts += [t + " and a tail" for t in texts] + texts[:5]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    made = df.select(shingles.sketch_udf(shingles.rarity(df), 5, (4, 5))("text").alias("s")).select("s.fp", "s.sim").distinct()
+    pairs = {tuple(r) for r in shingles.near_prints(made).collect()}
+    assert len(pairs) >= 25 and all(a > b for a, b in pairs)

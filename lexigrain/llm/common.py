@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -86,3 +87,9 @@ def joined(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total
     few = cut(table.join(F.broadcast(often), key))
     rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table, key, how)
     return rows.join(F.broadcast(few), key).unionByName(rest.select(*rows.columns, *[c for c in table.columns if c != key]))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that earlier steps' shuffle files and checkpoints are no longer needed; else they stay until it happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -10,10 +10,11 @@ Survivors are verified on the words themselves; of two similar lines the later
 one goes.
 
 A later line needs one earlier match, not all of them, so a group of near copies is
-not paired whole. First each line meets a few neighbours in the order of places
-under each of its rarest words: that finds a match for nearly every line that has
-one. Lines without such a candidate, and then those whose candidates have failed,
-meet every line of their prefix words. No line goes unmatched that has a match.
+not paired whole. Under each of its prefix words a line looks at a few earlier lines, the
+next ones in the order of places; the likeliest match among them, if there is one, is
+its candidate there. Without one it meets every earlier line of the word. Lines whose
+candidates have all failed meet the lines of all their words in the end. So no line goes
+unmatched that has a match.
 
 Words are ordered by 51 bits of a 64-bit hash, whose high bits then hold the
 word's rarity class. The classes are a table of fixed size (a word shares its
@@ -27,16 +28,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name
+from .common import cut, free_name, release, saved, shared_folder
 
 #: Jaccard threshold as a fraction.
 THRESHOLD = (4, 5)
 #: Bytes of the rarity table and of the candidate filter: bounds of what goes to the driver and to each task.
 RARITY_SLOTS, FILTER_BYTES = 1 << 16, 1 << 17
-#: Rarest words under which a line meets its neighbours first, and how many places back.
-KEYS, BACK = 4, (1, 2, 3)
-#: A word said more often than 2 to this power is dealt over several tasks when neighbours meet.
-HOT = 13
+#: Earlier lines that a line looks at under each word, besides the first of all.
+BACK = 14
+#: A word said more often than 2 to this power is dealt over 2, 4, ... or 2 to the power PIECES tasks.
+HOT, PIECES = 14, 6
 _WORD, _ODD = "[^\\x20\\x09-\\x0D]", "[\\x09\\x0B\\x0C\\x0D]"
 #: The rarity class of a word said once (it has no match), and the place of the class in a word's code.
 _ONCE, _CLASS = 4, 51
@@ -124,58 +125,81 @@ def _hashed() -> list[Column]:
 
 
 def heads(docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
-    """Each different line's first place, how many rows it has, its hash and what candidates are found by: size, parity map and prefix."""
+    """Each different line's first place and what candidates are found by: size, parity map and prefix; ``h1``, ``h2`` where it has copies."""
     a, b = threshold
     classes = F.lit(rarity(docs))  # of RARITY_SLOTS bytes
     rank = lambda h: F.ascii(F.substring(classes, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
     code = lambda h: F.shiftleft(rank(h).cast("long"), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 64 - _CLASS))
-    first = _lines(docs, p).select(*p.line, "line", *_hashed()).groupBy("h1", "h2").agg(F.min(F.struct(*p.line, "line")).alias("f"), F.count("*").alias("copies"))
-    sets = first.select("h1", "h2", "copies", *[F.col(f"f.{c}") for c in p.line], F.sort_array(F.transform(_hashes(F.col("f.line")), code)).alias("words")).withColumn("n", F.size("words"))
+    sets = _lines(docs, p).select(*p.line, *_hashed(), F.sort_array(F.transform(_hashes(F.col("line")), code)).alias("words")).withColumn("n", F.size("words"))
     prefix = F.slice("words", F.lit(1), F.col("n") - F.floor((F.col("n") * a + (b - 1)) / b).cast("int") + 1)
     parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_shift(w.bitwiseAND(F.lit(63)))))  # by the word's last six bits
-    return sets.select("h1", "h2", "copies", *p.line, "n", parity.alias("parity"), prefix.alias("first"))
+    first = sets.groupBy("h1", "h2").agg(F.min(F.struct(*p.line, "n", parity.alias("parity"), prefix.alias("first"))).alias("f"), F.count("*").alias("copies"))
+    return first.select(*[F.when(F.col("copies") > 1, F.col(h)).alias(h) for h in ("h1", "h2")], "f.*")
 
 
 def copies(docs: DataFrame, first: DataFrame, p: _Place) -> DataFrame:
     """The places of lines that equal an earlier one."""
-    again = first.filter("copies > 1").select("h1", "h2", *[F.col(c).alias(o) for c, o in zip(p.line, p.other, strict=True)])
+    again = first.filter("h1 IS NOT NULL").select("h1", "h2", *[F.col(c).alias(o) for c, o in zip(p.line, p.other, strict=True)])
     lines = _lines(docs, p).select(*p.line, *_hashed())
     differ = [F.col(c) != F.col(o) for c, o in zip(p.line, p.other, strict=True)]
     return lines.join(again, ["h1", "h2"]).filter(F.array_contains(F.array(*differ), True)).select(*p.line).distinct()
 
 
-def _alike(n: Column, m: Column, x: Column, y: Column, threshold: tuple[int, int]) -> Column:
+def _flips(x: Column, y: Column) -> Column:
+    return F.bit_count(x.bitwiseXOR(y))
+
+
+def _alike(n: Column, m: Column, flips: Column, threshold: tuple[int, int]) -> Column:
     """What sizes and parity maps must fulfil."""
     a, b = threshold
-    return (n * b >= m * a) & (m * b >= n * a) & (F.bit_count(x.bitwiseXOR(y)) <= n + m - 2 * _need(n, m, threshold))
+    return (n * b >= m * a) & (m * b >= n * a) & (flips <= n + m - 2 * _need(n, m, threshold))
 
 
-def neighbours(first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of lines, the later one first, that stand close to each other under one of their rarest words."""
+def _likeliest(rows: DataFrame, p: _Place, by: list[str], threshold: tuple[int, int]) -> DataFrame:
+    """``rows`` with ``best``: of the few lines before one under its word, that which differs least, if its parity map allows a match."""
+    order = Window.partitionBy(*by).orderBy(*p.line)
     own = F.struct(*p.line, "n", "parity")
-    rows = first.select(*p.line, "n", "parity", F.explode(F.slice("first", 1, KEYS)).alias("word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
-    often = F.floor(F.shiftright("word", _CLASS) / 4).cast("int")
-    rows = rows.withColumn("piece", F.pmod(F.xxhash64(*p.line), _shift(F.greatest(F.lit(0), often - HOT))))
-    order = Window.partitionBy("word", "piece").orderBy(*p.line)
-    met = [f"o{k}" for k in (0, *BACK)]
-    rows = rows.select(*p.line, "n", "parity", F.first(own).over(order).alias(met[0]), *[F.lag(own, k).over(order).alias(f"o{k}") for k in BACK])
-    fits = {o: F.coalesce(_alike(F.col("n"), F.col(f"{o}.n"), F.col("parity"), F.col(f"{o}.parity"), threshold), F.lit(False)) for o in met}
-    fits[met[0]] = fits[met[0]] & ~F.coalesce(F.col(met[0]) == own, F.lit(False))
-    any_fits = F.lit(False)
-    for f in fits.values():
-        any_fits = any_fits | f
-    pairs = rows.filter(any_fits).select(*p.line, F.explode(F.array(*[F.when(f, F.struct(*[F.col(f"{o}.{c}").alias(d) for c, d in zip(p.line, p.other, strict=True)])) for o, f in fits.items()])).alias("o"))
-    return pairs.filter("o IS NOT NULL").select(*p.line, "o.*").distinct()
-
-
-def met(some: DataFrame, first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of a line of ``some`` and an earlier one of ``first`` that pass the prefix, length and positional filters and the parity map."""
+    some = {"o0": F.when(F.row_number().over(order) > 1, F.first(own).over(order))} | {f"o{k}": F.lag(own, k).over(order) for k in range(1, BACK + 1)}
+    seen = rows.select("*", *[v.alias(o) for o, v in some.items()])
+    fits = []
+    for o in some:
+        flips = _flips(F.col("parity"), F.col(f"{o}.parity"))
+        there = F.struct(flips.alias("flips"), *[F.col(f"{o}.{c}").alias(c) for c in p.line])
+        fits.append(F.when(_alike(F.col("n"), F.col(f"{o}.n"), flips, threshold), there))
+    return seen.select(*rows.columns, F.least(*fits).alias("best"))
+
+
+def met(some: DataFrame, first: DataFrame, p: _Place, threshold: tuple[int, int], whole: bool = False) -> DataFrame:
+    """Pairs of a line of ``some`` and an earlier one of ``first`` that pass the prefix, length and positional filters and the parity map.
+
+    Unless ``whole``, a line has only its likeliest match of a word where there is one (``near``).
+    """
     posted = lambda rows: rows.select(*p.line, "n", "parity", F.posexplode("first").alias("i", "word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
-    x, y = posted(some).alias("x"), posted(first).alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    places = F.least(n - F.col("x.i"), m - F.col("y.i")) >= _need(n, m, threshold)  # i counts from 0: the shared word and what follows it
-    fits = (F.col("x.word") == F.col("y.word")) & p.later("x", "y") & places & _alike(n, m, F.col("x.parity"), F.col("y.parity"), threshold)
-    return x.join(y, fits).select(*[F.col(f"x.{c}") for c in p.line], *[F.col(f"y.{c}").alias(d) for c, d in zip(p.line, p.other, strict=True)]).distinct()
+    often = F.floor(F.shiftright("word", _CLASS) / 4).cast("int")
+    pieces = _shift(F.least(F.lit(PIECES), F.greatest(F.lit(0), often - HOT)))
+    out = None
+    for hot in (False, True):
+        part = (often > HOT) if hot else (often <= HOT)
+        left, right, by = posted(some).filter(part), posted(first).filter(part), ["word"]
+        if hot:
+            by = ["word", "piece"]
+            left = left.withColumn("piece", F.pmod(F.xxhash64(*p.line), pieces))
+            right = right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+        left = left.withColumn("best", F.lit(None)) if whole else _likeliest(left, p, by, threshold)
+        x, y = left.alias("x"), right.alias("y")
+        n, m = F.col("x.n"), F.col("y.n")
+        places = F.least(n - F.col("x.i"), m - F.col("y.i")) >= _need(n, m, threshold)  # i counts from 0: the shared word and what follows it
+        fits = p.later("x", "y") & places & _alike(n, m, _flips(F.col("x.parity"), F.col("y.parity")), threshold)
+        for c in by:
+            fits = (F.col(f"x.{c}") == F.col(f"y.{c}")) & fits
+        if whole:
+            pairs = x.join(y, fits).select(*[F.col(f"x.{c}") for c in p.line], *[F.col(f"y.{c}").alias(d) for c, d in zip(p.line, p.other, strict=True)], F.lit(False).alias("near"))
+        else:  # a line with a likeliest match stays with that
+            both = x.join(y, F.col("x.best").isNull() & fits, "left")
+            pairs = both.select(*[F.col(f"x.{c}") for c in p.line], *[F.coalesce(F.col(f"x.best.{c}"), F.col(f"y.{c}")).alias(d) for c, d in zip(p.line, p.other, strict=True)], F.col("x.best").isNotNull().alias("near"))
+            pairs = pairs.filter(F.col(p.other[0]).isNotNull())
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.groupBy(*p.line, *p.other).agg(F.max("near").alias("near"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
@@ -191,13 +215,12 @@ def verified(pairs: DataFrame, docs: DataFrame, p: _Place, threshold: tuple[int,
 
 def matches(docs: DataFrame, first: DataFrame, p: _Place, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``p.line`` and ``of``: each line of ``first`` that is similar to an earlier one, and one such line."""
-    close = cut(neighbours(first, p, threshold))
-    tried = close.select(*p.line).distinct()
-    pairs = cut(close.unionByName(met(first.join(tried, p.line, "left_anti"), first, p, threshold)))
+    pairs = cut(met(first, first, p, threshold))
+    release(docs.sparkSession)
     found = cut(verified(pairs, docs, p, threshold))
-    failed = cut(first.join(tried.join(found, p.line, "left_anti"), p.line, "left_semi"))
-    if failed.head(1):
-        more = cut(met(failed, first, p, threshold).join(close, [*p.line, *p.other], "left_anti"))
+    left = cut(pairs.filter("near").select(*p.line).distinct().join(found, p.line, "left_anti"))
+    if left.head(1):
+        more = cut(met(first.join(left, p.line, "left_semi"), first, p, threshold, whole=True).join(pairs, [*p.line, *p.other], "left_anti"))
         if more.head(1):
             found = cut(found.unionByName(verified(more, docs, p, threshold)))
     return found
@@ -221,8 +244,10 @@ def deduplicated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col
     kept = [c for c in docs.columns if c not in names]
     p = _Place(docs, id_col, text_col)
     slim = docs.select(*[v.alias(c) for c, v in p.row.items()], F.col(text_col).alias("text"))
-    first = cut(heads(slim, p, threshold))
+    first = saved(heads(slim, p, threshold), shared_folder(docs.sparkSession, "lines"))
+    release(docs.sparkSession)
     near = matches(slim, first, p, threshold)
+    release(docs.sparkSession)
     gone = copies(slim, first, p).select(*p.line, F.lit(None).alias("of")).unionByName(near)
     own, gone_, near_, lines = (free_name(docs, x) for x in ("key", "gone_", "near_", "lines_"))
     names_own = [f"{own}_{c}" for c in p.doc]

@@ -117,6 +117,7 @@ def test_small_tables_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "FILTER_BYTES", 2)
     monkeypatch.setattr(setjoin, "RARITY_SLOTS", 4)
     monkeypatch.setattr(setjoin, "HOT", 1)
+    monkeypatch.setattr(setjoin, "BACK", 1)
     assert sorted(setjoin.deduplicated(df).drop("matches").collect()) == a
 
 

@@ -10,11 +10,10 @@ Survivors are verified on the words themselves; of two similar lines the later
 one goes.
 
 A later line needs one earlier match, not all of them, so a group of near copies is
-not paired whole. Under each of its prefix words a line looks at a few earlier lines, the
-next ones in the order of places; the likeliest match among them, if there is one, is
-its candidate there. Without one it meets every earlier line of the word. Lines whose
-candidates have all failed meet the lines of all their words in the end. So no line goes
-unmatched that has a match.
+not paired whole. Lines that share one of a few prefix words with very many others meet
+some of these first; that finds a match for nearly every line of a large group. What has
+none yet meets every earlier line of all its prefix words, so no line goes unmatched that
+has a match.
 
 Words are ordered by 51 bits of a 64-bit hash, whose high bits then hold the
 word's rarity class. The classes are a table of fixed size (a word shares its
@@ -24,7 +23,7 @@ results, it only has to be one order for all sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,18 +33,17 @@ from .common import cut, free_name, release, saved, shared_folder
 THRESHOLD = (4, 5)
 #: Bytes of the rarity table and of the candidate filter: bounds of what goes to the driver and to each task.
 RARITY_SLOTS, FILTER_BYTES = 1 << 16, 1 << 17
-#: Earlier lines that a line looks at under each word, besides the first of all.
-BACK = 14
-#: A word said more often than 2 to this power is dealt over 2, 4, ... or 2 to the power PIECES tasks.
-HOT, PIECES = 14, 6
-_WORD, _ODD = "[^\\x20\\x09-\\x0D]", "[\\x09\\x0B\\x0C\\x0D]"
+#: Prefix words of a line that are looked at for crowds; a crowd's least size, and how many of it meet at once.
+KEYS, CROWD, TABLE = 4, 32, 16
+_WORD = "[^\\x20\\x09-\\x0D]"
 #: The rarity class of a word said once (it has no match), and the place of the class in a word's code.
 _ONCE, _CLASS = 4, 51
 
 
 def _parts(line: Column) -> Column:
     """What lies between white space (five ASCII characters and the line's end); some of it is empty."""
-    return F.split(F.when(line.rlike(_ODD), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " ")
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    return F.split(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " ")
 
 
 def _words(line: Column) -> Column:
@@ -75,14 +73,14 @@ def _said(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.split("text", "\n")).alias("line"))
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """The rarity class (0 to 127, rarest first) of each slot, a byte each, from all words of the documents."""
+def rarity(docs: DataFrame) -> Column:
+    """The rarity class (0 to 89, rarest first) of each slot, a character each from "!" on, from all words of the documents."""
     words = _said(docs).select(F.explode(_parts(F.col("line"))).alias("w"))
     slots = words.select(F.xxhash64("w").bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int").alias("slot"))
-    table = bytearray(RARITY_SLOTS)
-    for r in slots.groupBy("slot").agg(F.least(F.lit(127), F.floor(F.log2(F.count("*") + 1) * 4)).cast("int").alias("c")).collect():  # one row per slot at most
-        table[r.slot] = r.c
-    return bytes(table)
+    table = ["!"] * RARITY_SLOTS
+    for r in slots.groupBy("slot").agg(F.least(F.lit(89), F.floor(F.log2(F.count("*") + 1) * 4)).cast("int").alias("c")).collect():  # one row per slot at most
+        table[r.slot] = chr(33 + r.c)
+    return F.split(F.lit("".join(table)), "")  # folded to a constant
 
 
 def _need(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
@@ -127,8 +125,8 @@ def _hashed() -> list[Column]:
 def heads(docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
     """Each different line's first place and what candidates are found by: size, parity map and prefix; ``h1``, ``h2`` where it has copies."""
     a, b = threshold
-    classes = F.lit(rarity(docs))  # of RARITY_SLOTS bytes
-    rank = lambda h: F.ascii(F.substring(classes, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    classes = rarity(docs)
+    rank = lambda h: F.ascii(F.get(classes, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"))) - 33
     code = lambda h: F.shiftleft(rank(h).cast("long"), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 64 - _CLASS))
     sets = _lines(docs, p).select(*p.line, *_hashed(), F.sort_array(F.transform(_hashes(F.col("line")), code)).alias("words")).withColumn("n", F.size("words"))
     prefix = F.slice("words", F.lit(1), F.col("n") - F.floor((F.col("n") * a + (b - 1)) / b).cast("int") + 1)
@@ -155,51 +153,39 @@ def _alike(n: Column, m: Column, flips: Column, threshold: tuple[int, int]) -> C
     return (n * b >= m * a) & (m * b >= n * a) & (flips <= n + m - 2 * _need(n, m, threshold))
 
 
-def _likeliest(rows: DataFrame, p: _Place, by: list[str], threshold: tuple[int, int]) -> DataFrame:
-    """``rows`` with ``best``: of the few lines before one under its word, that which differs least, if its parity map allows a match."""
-    order = Window.partitionBy(*by).orderBy(*p.line)
-    own = F.struct(*p.line, "n", "parity")
-    some = {"o0": F.when(F.row_number().over(order) > 1, F.first(own).over(order))} | {f"o{k}": F.lag(own, k).over(order) for k in range(1, BACK + 1)}
-    seen = rows.select("*", *[v.alias(o) for o, v in some.items()])
-    fits = []
-    for o in some:
-        flips = _flips(F.col("parity"), F.col(f"{o}.parity"))
-        there = F.struct(flips.alias("flips"), *[F.col(f"{o}.{c}").alias(c) for c in p.line])
-        fits.append(F.when(_alike(F.col("n"), F.col(f"{o}.n"), flips, threshold), there))
-    return seen.select(*rows.columns, F.least(*fits).alias("best"))
+def _pairs(p: _Place) -> list[Column]:
+    return [F.col(f"x.{c}") for c in p.line] + [F.col(f"y.{c}").alias(d) for c, d in zip(p.line, p.other, strict=True)]
 
 
-def met(some: DataFrame, first: DataFrame, p: _Place, threshold: tuple[int, int], whole: bool = False) -> DataFrame:
-    """Pairs of a line of ``some`` and an earlier one of ``first`` that pass the prefix, length and positional filters and the parity map.
+def crowds(first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame | None:
+    """Pairs of lines, the later one first, that meet within a crowd and may be similar; None if no word has a crowd.
 
-    Unless ``whole``, a line has only its likeliest match of a word where there is one (``near``).
+    Each crowd is dealt by hash to tables of TABLE lines about, and all of a table meet.
     """
-    posted = lambda rows: rows.select(*p.line, "n", "parity", F.posexplode("first").alias("i", "word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
-    often = F.floor(F.shiftright("word", _CLASS) / 4).cast("int")
-    pieces = _shift(F.least(F.lit(PIECES), F.greatest(F.lit(0), often - HOT)))
-    out = None
-    for hot in (False, True):
-        part = (often > HOT) if hot else (often <= HOT)
-        left, right, by = posted(some).filter(part), posted(first).filter(part), ["word"]
-        if hot:
-            by = ["word", "piece"]
-            left = left.withColumn("piece", F.pmod(F.xxhash64(*p.line), pieces))
-            right = right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
-        left = left.withColumn("best", F.lit(None)) if whole else _likeliest(left, p, by, threshold)
-        x, y = left.alias("x"), right.alias("y")
-        n, m = F.col("x.n"), F.col("y.n")
-        places = F.least(n - F.col("x.i"), m - F.col("y.i")) >= _need(n, m, threshold)  # i counts from 0: the shared word and what follows it
-        fits = p.later("x", "y") & places & _alike(n, m, _flips(F.col("x.parity"), F.col("y.parity")), threshold)
-        for c in by:
-            fits = (F.col(f"x.{c}") == F.col(f"y.{c}")) & fits
-        if whole:
-            pairs = x.join(y, fits).select(*[F.col(f"x.{c}") for c in p.line], *[F.col(f"y.{c}").alias(d) for c, d in zip(p.line, p.other, strict=True)], F.lit(False).alias("near"))
-        else:  # a line with a likeliest match stays with that
-            both = x.join(y, F.col("x.best").isNull() & fits, "left")
-            pairs = both.select(*[F.col(f"x.{c}") for c in p.line], *[F.coalesce(F.col(f"x.best.{c}"), F.col(f"y.{c}")).alias(d) for c, d in zip(p.line, p.other, strict=True)], F.col("x.best").isNotNull().alias("near"))
-            pairs = pairs.filter(F.col(p.other[0]).isNotNull())
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.groupBy(*p.line, *p.other).agg(F.max("near").alias("near"))
+    size = F.size("first")
+    picked = F.array_distinct(F.array(*[F.get("first", F.floor((size - 1) * k / (KEYS - 1)).cast("int")) for k in range(KEYS)]))
+    rows = first.select(*p.line, "n", "parity", F.explode(picked).alias("word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
+    counts = cut(rows.groupBy("word").agg(F.count("*").alias("held")).filter(F.col("held") > CROWD))
+    most = counts.agg(F.sum("held")).first()[0]
+    if not most:
+        return None
+    crowded = counts.filter(F.col("held") > most // 500_000)  # so there are 500,000 at most
+    dealt = rows.join(F.broadcast(crowded), "word").withColumn("table", F.pmod(F.xxhash64(*p.line), F.ceil(F.col("held") / TABLE)))
+    dealt = saved(dealt.drop("held"), shared_folder(first.sparkSession, "crowds"))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    fits = p.later("x", "y") & _alike(F.col("x.n"), F.col("y.n"), _flips(F.col("x.parity"), F.col("y.parity")), threshold)
+    return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.table") == F.col("y.table")) & fits).select(*_pairs(p)).distinct()
+
+
+def met(first: DataFrame, done: DataFrame | None, p: _Place, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of a line that is not ``done`` and an earlier one that pass the prefix, length and positional filters and the parity map."""
+    flagged = first.withColumn("done", F.lit(False)) if done is None else first.join(done.select(*p.line, F.lit(True).alias("done")), p.line, "left")
+    posted = flagged.select(*p.line, "n", "parity", "done", F.posexplode("first").alias("i", "word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
+    x, y = posted.alias("x"), posted.alias("y")  # one exchange serves both
+    n, m = F.col("x.n"), F.col("y.n")
+    places = F.least(n - F.col("x.i"), m - F.col("y.i")) >= _need(n, m, threshold)  # i counts from 0: the shared word and what follows it
+    fits = ~F.coalesce(F.col("x.done"), F.lit(False)) & p.later("x", "y") & places & _alike(n, m, _flips(F.col("x.parity"), F.col("y.parity")), threshold)
+    return x.join(y, (F.col("x.word") == F.col("y.word")) & fits).select(*_pairs(p)).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
@@ -215,15 +201,14 @@ def verified(pairs: DataFrame, docs: DataFrame, p: _Place, threshold: tuple[int,
 
 def matches(docs: DataFrame, first: DataFrame, p: _Place, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``p.line`` and ``of``: each line of ``first`` that is similar to an earlier one, and one such line."""
-    pairs = cut(met(first, first, p, threshold))
-    release(docs.sparkSession)
-    found = cut(verified(pairs, docs, p, threshold))
-    left = cut(pairs.filter("near").select(*p.line).distinct().join(found, p.line, "left_anti"))
-    if left.head(1):
-        more = cut(met(first.join(left, p.line, "left_semi"), first, p, threshold, whole=True).join(pairs, [*p.line, *p.other], "left_anti"))
-        if more.head(1):
-            found = cut(found.unionByName(verified(more, docs, p, threshold)))
-    return found
+    spark, found = docs.sparkSession, None
+    some = crowds(first, p, threshold)
+    if some is not None:
+        found = saved(verified(cut(some), docs, p, threshold), shared_folder(spark, "found"))
+        release(spark)
+    rest = verified(cut(met(first, found, p, threshold)), docs, p, threshold)
+    rest = rest if found is None else rest.unionByName(found)
+    return saved(rest, shared_folder(spark, "matches"))
 
 
 def deduplicated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -116,8 +116,8 @@ def test_small_tables_change_nothing(spark, monkeypatch):
     a = sorted(setjoin.deduplicated(df).drop("matches").collect())
     monkeypatch.setattr(setjoin, "FILTER_BYTES", 2)
     monkeypatch.setattr(setjoin, "RARITY_SLOTS", 4)
-    monkeypatch.setattr(setjoin, "HOT", 1)
-    monkeypatch.setattr(setjoin, "BACK", 1)
+    monkeypatch.setattr(setjoin, "CROWD", 1)
+    monkeypatch.setattr(setjoin, "TABLE", 2)
     assert sorted(setjoin.deduplicated(df).drop("matches").collect()) == a
 
 

@@ -4,14 +4,19 @@ A word has hashed features: the word, its beginnings, its character n-grams. A
 text is their mean over its words, so its length doesn't matter. The features
 that tell the classes apart best are chosen by their likelihood ratio over the
 labelled sample. Training then swaps identity
-terms in the labelled texts for others of their group and penalises the squared
+terms in the labelled texts for others of their kind and penalises the squared
 change of the logit (counterfactual logit pairing, Garg et al. 2019), so that a
 group's name can't carry the score that its contexts have earned.
+
+Which terms are swapped: a list of names of groups, and what the labelled texts
+themselves show to be neutral, terms that both classes use alike and often. Terms are
+of one kind if they stand between the same neighbours, so that one can replace the other.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import labelled
+from .common import cut
 
 FOLD = (4, 2)
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -31,6 +37,11 @@ ROWS = 3000
 THRESHOLD = 0.3
 SPACE, CHOSEN = 1 << 18, 2048
 PENALTY = 4.0
+#: Swaps of a text that training sees, at most: those of the least hashes.
+SWAPS = 6
+#: Neutral terms, and frequent neighbours by which they are compared, at most; the share of each class's texts that must
+#: have the term, how far its shares in the classes may differ (as a log), and how like the neighbours of a kind must be.
+TERMS, SIGNPOSTS, SPREAD, NEUTRAL, LIKE = 64, 256, 0.05, 0.15, 0.6
 #: A feature of this share of a long text's words has the value 1; a text counts as so many words longer.
 SHARE, GROWN = 0.02, 20
 _WORD = re.compile(r"\w+")
@@ -93,6 +104,26 @@ def swaps(found: list[str], identity: Iterable[tuple[str, ...]] = IDENTITY) -> l
     return out
 
 
+def options(counts: dict[str, int], kinds: Iterable[tuple[str, ...]], seed: str) -> list[tuple[list[str], str]]:
+    """(terms of the text, their replacement) of each swap of ``swaps``, in the order of a hash; SWAPS of them at most."""
+    out = []
+    for kind in kinds:
+        mine = [w for w in kind if w in counts]
+        out += [(mine, new) for new in kind if mine and mine != [new]]
+    return sorted(out, key=lambda s: xxhash.xxh64_intdigest(f"{seed}:{s[1]}"))[:SWAPS]
+
+
+def change(counts: dict[str, int], swap: tuple[list[str], str], cache: _Words, n_words: int) -> dict[int, float]:
+    """By how much each feature's value changes if ``swap`` is made."""
+    mine, new = swap
+    out: dict[int, float] = {}
+    for old in mine:
+        for word, sign in ((new, 1), (old, -1)):
+            for slot in cache[word]:
+                out[slot] = out.get(slot, 0.0) + sign * counts[old] / (SHARE * (GROWN + n_words))
+    return {k: v for k, v in out.items() if v}
+
+
 def _values(found: list[str], cache: _Words, n: int) -> np.ndarray:
     x = np.zeros(n, np.float32)
     for w in found:
@@ -106,6 +137,10 @@ class Model:
     slots: np.ndarray
     weights: np.ndarray
     bias: float
+    kinds: tuple[tuple[str, ...], ...] = ()
+    #: Swapped texts of the sample, and by how much a swap changes the logit, in the mean.
+    swapped: int = 0
+    moved: float = 0.0
 
     def word_weights(self) -> _Words:
         own = {int(f): float(self.weights[s]) for f, s in enumerate(self.slots) if s >= 0}
@@ -118,8 +153,25 @@ class Model:
         return float(1 / (1 + np.exp(-min(30, max(-30, x)))))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, change: np.ndarray, penalty: float = PENALTY, steps: int = 300, decay: float = 2e-3) -> tuple[np.ndarray, float]:
-    """Logistic weights by Adam; ``change`` holds the feature differences of swapped texts."""
+@dataclass
+class Changes:
+    """Feature changes of ``n`` swapped texts: the value at feature ``at`` of text ``row``."""
+
+    n: int
+    row: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.at], minlength=self.n)
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        """Of the mean squared change of the logit."""
+        return 2 / self.n * np.bincount(self.at, self.value * self.logits(w)[self.row], minlength=len(w))
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, changes: Changes, penalty: float = PENALTY, steps: int = 300, decay: float = 2e-3) -> tuple[np.ndarray, float]:
+    """Logistic weights by Adam; ``penalty`` weighs the swapped texts' changes of the logit."""
     w, b = np.zeros(x.shape[1]), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     share = float(y.mean())
@@ -127,14 +179,64 @@ def fit_weights(x: np.ndarray, y: np.ndarray, change: np.ndarray, penalty: float
     for t in range(1, steps + 1):
         d = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * cost
         g, gb = x.T @ d + decay * w, d.sum()
-        if len(change):
-            g = g + 2 * penalty / len(change) * (change.T @ (change @ w))
+        if changes.n and penalty:
+            g = g + penalty * changes.gradient(w)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = w - 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b = b - 0.05 * mb / (1 - 0.9**t) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     return w, float(b)
 
 
+def neutral_kinds(chosen: DataFrame) -> tuple[tuple[str, ...], ...]:
+    """Kinds of terms that both classes of ``chosen(text, y)`` use alike and often; a kind's terms have like neighbours."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: dict[str, list[int]] = {}
+        for part in batches:
+            for text, y in zip(part["text"], part["y"], strict=True):
+                for w in set(words(text)):
+                    n.setdefault(w, [0, 0])[y] += 1
+        yield pd.DataFrame([(w, *v) for w, v in n.items()], columns=["word", "n0", "n1"])
+
+    totals = {r.y: r["count"] for r in chosen.groupBy("y").count().collect()}  # two rows
+    if len(totals) < 2:
+        return ()
+    known = chosen.mapInPandas(spread, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    known = known.withColumn("n", F.col("n0") + F.col("n1")).withColumn("apart", F.abs(F.log((F.col("n1") + 0.5) / totals[1] / ((F.col("n0") + 0.5) / totals[0]))))
+    alike = (F.col("n0") >= SPREAD * totals[0]) & (F.col("n1") >= SPREAD * totals[1]) & (F.col("apart") <= NEUTRAL) & (F.length("word") > 1)
+    known = cut(known)
+    terms = [r.word for r in known.filter(alike).orderBy(F.desc("n"), "word").limit(TERMS).collect()]
+    posts = [r.word for r in known.orderBy(F.desc("n"), "word").limit(SIGNPOSTS).collect()]
+    place, post = {w: i for i, w in enumerate(terms)}, {w: i for i, w in enumerate(posts)}
+
+    def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((len(terms), 2 * len(posts)), np.int64)
+        for part in batches:
+            for text in part["text"]:
+                found = words(text)
+                for left, right in zip(found, found[1:]):
+                    if right in place and left in post:
+                        n[place[right], post[left]] += 1
+                    if left in place and right in post:
+                        n[place[left], len(posts) + post[right]] += 1
+        term, at = np.nonzero(n)
+        yield pd.DataFrame({"term": term, "at": at, "n": n[term, at]})
+
+    seen = np.zeros((len(terms), 2 * len(posts)))
+    for r in chosen.select("text").mapInPandas(beside, "term int, at int, n long").groupBy("term", "at").agg(F.sum("n").alias("n")).collect():  # TERMS x 2 SIGNPOSTS at most
+        seen[r.term, r.at] = r.n
+    seen = np.sqrt(seen / np.maximum(seen.sum(1, keepdims=True), 1))
+    kinds: list[list[int]] = []
+    for i in range(len(terms)):
+        near = [(float(seen[i] @ seen[k[0]]), k) for k in kinds]
+        best = max(near, key=lambda x: x[0], default=(0.0, None))
+        if best[0] >= LIKE:
+            best[1].append(i)
+        else:
+            kinds.append([i])
+    return tuple(tuple(terms[i] for i in k) for k in kinds if len(k) > 1)
+
+
 def _choose(chosen: DataFrame, most: int) -> np.ndarray:
     """Slot of each feature, -1 where it is not among the ``most`` that tell the classes apart best."""
 
@@ -164,13 +266,16 @@ def _choose(chosen: DataFrame, most: int) -> np.ndarray:
     return slots
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = FOLD, rows: int = ROWS, penalty: float = PENALTY, identity: Iterable[tuple[str, ...]] = IDENTITY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = FOLD, rows: int = ROWS, penalty: float = PENALTY, identity: Iterable[tuple[str, ...]] = IDENTITY, neutral: bool = True) -> Model:
     """A model of ``label``, fitted on at most ``rows`` documents of each class outside the held-out fold.
 
-    Without both classes among the labels every text scores 0.5.
+    ``identity`` are kinds of terms to swap; with ``neutral`` those that the sample itself
+    shows are swapped too. What goes to the driver is bounded: 2 x ``rows`` texts of CHOSEN
+    values, and SWAPS sparse changes of each. Without both classes among the labels
+    every text scores 0.5.
     """
-    identity = tuple(map(tuple, identity))
     chosen = labelled.sample(docs, labels, label, fold, rows)
+    kinds = tuple(map(tuple, identity)) + (neutral_kinds(chosen) if neutral else ())
     slots = _choose(chosen, CHOSEN)
     n = int(slots.max()) + 1
     if not n:
@@ -182,20 +287,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[in
         for part in batches:
             for text, y in zip(part["text"], part["y"], strict=True):
                 found = words(text)
+                counts = Counter(found)
                 x = _values(found, cache, n)
-                rows_ = [(y, x)] + [(-1, _values(s, cache, n) - x) for s in swaps(found, identity)]
-                at = [np.nonzero(r)[0] for _, r in rows_]
-                yield pd.DataFrame({"y": [c for c, _ in rows_], "at": at, "value": [r[i] for i, (_, r) in zip(at, rows_, strict=True)]})
+                at = np.nonzero(x)[0]
+                swapped = [change(counts, o, cache, len(found)) for o in options(counts, kinds, str(xxhash.xxh64_intdigest(text)))]
+                swapped = [c for c in swapped if c]
+                yield pd.DataFrame({"y": [y] + [-1] * len(swapped), "at": [at.tolist(), *map(list, swapped)], "value": [x[at].tolist(), *[list(c.values()) for c in swapped]]})
 
     got = chosen.mapInPandas(featured, "y int, at array<int>, value array<float>").toPandas()
     shared.unpersist()
-    x = np.zeros((len(got), n), np.float32)
-    for i, (at, value) in enumerate(zip(got["at"], got["value"], strict=True)):
+    own, swapped = got[got["y"] >= 0], got[got["y"] < 0]
+    x = np.zeros((len(own), n), np.float32)
+    for i, (at, value) in enumerate(zip(own["at"], own["value"], strict=True)):
         x[i, at] = value
-    y = got["y"].to_numpy()
-    change = x[y < 0]
-    w, b = fit_weights(x[y >= 0], y[y >= 0], change[change.any(1)], penalty)
-    return Model(slots, w, b)
+    flat = lambda c, kind: np.concatenate([np.asarray(v, kind) for v in swapped[c]]) if len(swapped) else np.zeros(0, kind)
+    changes = Changes(len(swapped), np.repeat(np.arange(len(swapped)), [len(v) for v in swapped["at"]]), flat("at", np.int64), flat("value", np.float64))
+    w, b = fit_weights(x, own["y"].to_numpy(), changes, penalty)
+    return Model(slots, w, b, kinds, changes.n, float(np.abs(changes.logits(w)).mean()) if changes.n else 0.0)
 
 
 def score_udf(docs: DataFrame, model: Model):

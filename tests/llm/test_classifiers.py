@@ -1,8 +1,11 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from lexigrain.llm import labelled, quality, toxicity
 
@@ -108,3 +111,60 @@ def test_counterfactual_penalty_spares_groups(spark):
     assert score[0.0][0] - score[0.0][1] > 0.15
     assert max(score[50.0]) - min(score[50.0]) < 0.05 and score[50.0][0] < 0.3
     assert toxicity.swaps(["a", "men", "men"])[0] == ["a", "women", "women"]
+
+
+def test_neutral_terms_and_their_kinds(spark):
+    """Terms that stand in for each other in both classes are found, and a swap of them changes the score less with the penalty."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        y = i % 2
+        ws = []
+        for _ in range(40):
+            ws += ["the", rng.choice(["reds", "blues", "greens"]), "came", rng.choice(["zumpf", "zumpe"]) if y and rng.random() < 0.2 else rng.choice(["today", "often", "then"])]
+        rows.append((i, " ".join(ws), y))
+    docs, labels = frames(spark, rows, "toxic")
+    sample = labelled.sample(docs, labels, "toxic", (4, 2), 300)
+    kinds = [set(k) for k in toxicity.neutral_kinds(sample)]
+    assert {"reds", "blues", "greens"} in kinds and not any("zumpf" in k for k in kinds)
+    free, held = (toxicity.fit(docs, labels, rows=300, penalty=p) for p in (0.0, 20.0))
+    assert free.swapped == held.swapped > 300 and held.moved < 0.5 * free.moved
+    assert held.score("the reds came zumpf " * 5) > 0.6 > 0.3 > held.score("the reds came today " * 5)
+
+
+def test_swaps_of_a_text_are_bounded():
+    kinds = (tuple(f"t{i}" for i in range(30)),)
+    counts = {"t1": 2, "t5": 1}
+    some = toxicity.options(counts, kinds, "x")
+    assert len(some) == toxicity.SWAPS and some == toxicity.options(counts, kinds, "x") != toxicity.options(counts, kinds, "y")
+    cache = toxicity._Words(lambda w: [int(w[1:])])
+    assert toxicity.change(counts, (["t1", "t5"], "t9"), cache, 10) == pytest.approx({9: 3 / 0.6, 1: -2 / 0.6, 5: -1 / 0.6})
+
+
+@pytest.mark.parametrize("kind", [quality, toxicity])
+def test_scores_equal_brute_force(spark, kind):
+    """The query's scores, by a plain reading of the model: equal texts alike, word order and repeats as stated."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = kind.fit(docs, labels)
+    got = kind.scored(docs, model, name="p").select("doc_id", "text", "p").collect()
+    for r in got:
+        if kind is toxicity:
+            found = [w for i, w in enumerate(ws) if not i or ws[i - 1] != w] if (ws := re.findall(r"\w+", r.text.lower())) else []
+            x = model.bias
+            for w in found:
+                x += sum(model.weights[model.slots[f]] for f in toxicity.word_features(w) if model.slots[f] >= 0) / (toxicity.SHARE * (toxicity.GROWN + len(found)))
+            want = 1 / (1 + math.exp(-max(-30, min(30, x))))
+        else:
+            tokens = re.findall(r"\w+|[^\w\s]+", r.text)
+            ids = []
+            for t in tokens:
+                b = xxhash.xxh32_intdigest(("\x00loud" if len(t) > 1 and t.isupper() else t.lower()).encode()) % quality.BUCKETS
+                again = bool(ids) and ids[-1][0] == b
+                ids.append((b, again))
+            flat = [v for b, again in ids for v in ([b, xxhash.xxh32_intdigest(b"\x00same") % quality.BUCKETS] if again else [b])]
+            mean = model.vectors[flat].astype(float).sum(0) / max(1, len(flat)) if flat else np.zeros(quality.DIM)
+            h = np.tanh((mean - model.mean) / model.scale @ model.w1 + model.b1)
+            want = 1 / (1 + math.exp(-max(-30, min(30, float(h @ model.w2 + model.b2) / model.temperature))))
+        assert r.p == pytest.approx(want, abs=2e-4), r.doc_id
+    assert len({(r.text, r.p) for r in got}) == len({r.text for r in got})

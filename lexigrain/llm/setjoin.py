@@ -158,7 +158,7 @@ def _pairs(p: _Place) -> list[Column]:
 
 
 def crowds(first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame | None:
-    """Pairs of lines, the later one first, that meet within a crowd and may be similar; None if no word has a crowd.
+    """For a line of a crowd the likeliest match of those that it meets there, if any; None if no word has a crowd.
 
     Each crowd is dealt by hash to tables of TABLE lines about, and all of a table meet.
     """
@@ -173,8 +173,10 @@ def crowds(first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame
     dealt = rows.join(F.broadcast(crowded), "word").withColumn("table", F.pmod(F.xxhash64(*p.line), F.ceil(F.col("held") / TABLE)))
     dealt = saved(dealt.drop("held"), shared_folder(first.sparkSession, "crowds"))
     x, y = dealt.alias("x"), dealt.alias("y")
-    fits = p.later("x", "y") & _alike(F.col("x.n"), F.col("y.n"), _flips(F.col("x.parity"), F.col("y.parity")), threshold)
-    return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.table") == F.col("y.table")) & fits).select(*_pairs(p)).distinct()
+    flips = _flips(F.col("x.parity"), F.col("y.parity"))
+    fits = p.later("x", "y") & _alike(F.col("x.n"), F.col("y.n"), flips, threshold)
+    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.table") == F.col("y.table")) & fits).select(*_pairs(p), (flips - F.col("x.n")).alias("apart"))
+    return pairs.groupBy(*p.line).agg(F.min(F.struct("apart", *p.other)).alias("y")).select(*p.line, *[F.col(f"y.{c}") for c in p.other])
 
 
 def met(first: DataFrame, done: DataFrame | None, p: _Place, threshold: tuple[int, int]) -> DataFrame:
@@ -192,8 +194,9 @@ def verified(pairs: DataFrame, docs: DataFrame, p: _Place, threshold: tuple[int,
     """The least match of each line that has one among ``pairs``, by the words of the lines, which are read again."""
     named = pairs.select(*p.line).unionByName(pairs.select(*[F.col(d).alias(c) for c, d in zip(p.line, p.other, strict=True)])).distinct()
     there = _lines(docs, p).filter(_marked(named, p.slot())).join(named, p.line, "left_semi")
-    whole = cut(there.select(*p.line, _words(F.col("line")).alias("words")).dropDuplicates(p.line))
-    both = pairs.join(whole, p.line).join(whole.select(*[F.col(c).alias(d) for c, d in zip(p.line, p.other, strict=True)], F.col("words").alias("words2")), p.other)
+    there = saved(there.dropDuplicates(p.line), shared_folder(docs.sparkSession, "there"))
+    both = pairs.join(there, p.line).join(there.select(*[F.col(c).alias(d) for c, d in zip(p.line, p.other, strict=True)], F.col("line").alias("line2")), p.other)
+    both = both.select(*p.line, *p.other, _words(F.col("line")).alias("words"), _words(F.col("line2")).alias("words2"))
     shared = F.size(F.array_intersect("words", "words2"))
     good = both.filter(shared >= _need(F.size("words"), F.size("words2"), threshold))
     return good.groupBy(*p.line).agg(F.min(F.struct(*p.other)).alias("of"))

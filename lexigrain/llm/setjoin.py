@@ -59,9 +59,10 @@ def _shift(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
 
-def _marked(rows: DataFrame, slot: Column) -> Column:
-    """Whether a row's ``slot`` is one of those of ``rows``: a bit map of fixed size, so a few others pass too."""
-    marks = rows.select(slot.alias("s")).select(F.floor(F.col("s") / 8).cast("int").alias("at"), (F.col("s") % 8).alias("bit"))
+def _marked(rows: DataFrame, key: list[str]) -> Column:
+    """Whether ``key`` is one of those of ``rows``: a bit map of fixed size, so a few others pass too."""
+    slot = F.pmod(F.xxhash64(*key), F.lit(FILTER_BYTES * 8))
+    marks = rows.select(F.floor(slot / 8).cast("int").alias("at"), (slot % 8).alias("bit"))
     table = bytearray(FILTER_BYTES)
     for r in marks.groupBy("at").agg(F.bit_or(_shift(F.col("bit"))).alias("v")).collect():  # one row per byte at most
         table[r["at"]] = r.v
@@ -69,18 +70,14 @@ def _marked(rows: DataFrame, slot: Column) -> Column:
     return F.getbit(byte, (slot % 8).cast("int")) == 1
 
 
-def _said(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.split("text", "\n")).alias("line"))
-
-
 def rarity(docs: DataFrame) -> Column:
-    """The rarity class (0 to 89, rarest first) of each slot, a character each from "!" on, from all words of the documents."""
-    words = _said(docs).select(F.explode(_parts(F.col("line"))).alias("w"))
+    """The rarity class (0 to 127, rarest first) of each slot, as an array, from all words of the documents."""
+    words = docs.select(F.explode(_parts(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
     slots = words.select(F.xxhash64("w").bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int").alias("slot"))
-    table = ["!"] * RARITY_SLOTS
-    for r in slots.groupBy("slot").agg(F.least(F.lit(89), F.floor(F.log2(F.count("*") + 1) * 4)).cast("int").alias("c")).collect():  # one row per slot at most
-        table[r.slot] = chr(33 + r.c)
-    return F.split(F.lit("".join(table)), "")  # folded to a constant
+    table = [0] * RARITY_SLOTS
+    for r in slots.groupBy("slot").agg(F.least(F.lit(127), F.floor(F.log2(F.count("*") + 1) * 4)).cast("int").alias("c")).collect():  # one row per slot at most
+        table[r.slot] = r.c
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")  # folded to a constant
 
 
 def _need(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
@@ -109,9 +106,6 @@ class _Place:
             out, same = out | (same & (a > b)), same & (a == b)
         return out
 
-    def slot(self) -> Column:
-        return F.pmod(F.xxhash64(*self.line), F.lit(FILTER_BYTES * 8))
-
 
 def _lines(docs: DataFrame, p: _Place) -> DataFrame:
     """Each line that has a word."""
@@ -126,8 +120,8 @@ def heads(docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
     """Each different line's first place and what candidates are found by: size, parity map and prefix; ``h1``, ``h2`` where it has copies."""
     a, b = threshold
     classes = rarity(docs)
-    rank = lambda h: F.ascii(F.get(classes, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"))) - 33
-    code = lambda h: F.shiftleft(rank(h).cast("long"), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 64 - _CLASS))
+    rank = lambda h: F.get(classes, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"))
+    code = lambda h: F.shiftleft(rank(h), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 64 - _CLASS))
     sets = _lines(docs, p).select(*p.line, *_hashed(), F.sort_array(F.transform(_hashes(F.col("line")), code)).alias("words")).withColumn("n", F.size("words"))
     prefix = F.slice("words", F.lit(1), F.col("n") - F.floor((F.col("n") * a + (b - 1)) / b).cast("int") + 1)
     parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_shift(w.bitwiseAND(F.lit(63)))))  # by the word's last six bits
@@ -181,19 +175,24 @@ def crowds(first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame
 
 def met(first: DataFrame, done: DataFrame | None, p: _Place, threshold: tuple[int, int]) -> DataFrame:
     """Pairs of a line that is not ``done`` and an earlier one that pass the prefix, length and positional filters and the parity map."""
-    flagged = first.withColumn("done", F.lit(False)) if done is None else first.join(done.select(*p.line, F.lit(True).alias("done")), p.line, "left")
-    posted = flagged.select(*p.line, "n", "parity", "done", F.posexplode("first").alias("i", "word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
+    flagged = first if done is None else first.join(done.select(*p.line, F.lit(True).alias("done")), p.line, "left")
+    asks = F.lit(True) if done is None else F.col("done").isNull()
+    size = F.when(asks, F.col("n")).otherwise(-F.col("n")).cast("long") * (1 << 32)  # with the place in the prefix, one number
+    posted = flagged.select(*p.line, "parity", size.alias("size"), F.posexplode("first").alias("i", "word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
+    posted = posted.select(*p.line, "parity", "word", (F.col("size") + F.col("i")).alias("n_i"))
     x, y = posted.alias("x"), posted.alias("y")  # one exchange serves both
-    n, m = F.col("x.n"), F.col("y.n")
-    places = F.least(n - F.col("x.i"), m - F.col("y.i")) >= _need(n, m, threshold)  # i counts from 0: the shared word and what follows it
-    fits = ~F.coalesce(F.col("x.done"), F.lit(False)) & p.later("x", "y") & places & _alike(n, m, _flips(F.col("x.parity"), F.col("y.parity")), threshold)
+    n, m = (F.abs(F.shiftright(f"{t}.n_i", 32)) for t in "xy")
+    i, j = (F.col(f"{t}.n_i").bitwiseAND(F.lit((1 << 32) - 1)) for t in "xy")
+    need = _need(n, m, threshold)
+    places = F.least(n - i, m - j) >= need  # i counts from 0: the shared word and what follows it
+    fits = (F.col("x.n_i") > 0) & p.later("x", "y") & places & _alike(n, m, _flips(F.col("x.parity"), F.col("y.parity")), threshold)
     return x.join(y, (F.col("x.word") == F.col("y.word")) & fits).select(*_pairs(p)).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
     """The least match of each line that has one among ``pairs``, by the words of the lines, which are read again."""
-    named = pairs.select(*p.line).unionByName(pairs.select(*[F.col(d).alias(c) for c, d in zip(p.line, p.other, strict=True)])).distinct()
-    there = _lines(docs, p).filter(_marked(named, p.slot())).join(named, p.line, "left_semi")
+    named = cut(pairs.select(*p.line).unionByName(pairs.select(*[F.col(d).alias(c) for c, d in zip(p.line, p.other, strict=True)])).distinct())
+    there = _lines(docs.filter(_marked(named, p.doc)), p).filter(_marked(named, p.line)).join(named, p.line, "left_semi")
     there = saved(there.dropDuplicates(p.line), shared_folder(docs.sparkSession, "there"))
     both = pairs.join(there, p.line).join(there.select(*[F.col(c).alias(d) for c, d in zip(p.line, p.other, strict=True)], F.col("line").alias("line2")), p.other)
     both = both.select(*p.line, *p.other, _words(F.col("line")).alias("words"), _words(F.col("line2")).alias("words2"))
@@ -205,13 +204,14 @@ def verified(pairs: DataFrame, docs: DataFrame, p: _Place, threshold: tuple[int,
 def matches(docs: DataFrame, first: DataFrame, p: _Place, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``p.line`` and ``of``: each line of ``first`` that is similar to an earlier one, and one such line."""
     spark, found = docs.sparkSession, None
-    some = crowds(first, p, threshold)
-    if some is not None:
-        found = saved(verified(cut(some), docs, p, threshold), shared_folder(spark, "found"))
-        release(spark)
-    rest = verified(cut(met(first, found, p, threshold)), docs, p, threshold)
-    rest = rest if found is None else rest.unionByName(found)
-    return saved(rest, shared_folder(spark, "matches"))
+    pairs = crowds(first, p, threshold)
+    if pairs is not None:
+        pairs = cut(pairs)
+        found = saved(verified(pairs, docs, p, threshold), shared_folder(spark, "found"))
+    pairs = cut(met(first, found, p, threshold))
+    release(spark)
+    rest = verified(pairs, docs, p, threshold)
+    return saved(rest if found is None else rest.unionByName(found), shared_folder(spark, "matches"))
 
 
 def deduplicated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,11 +105,11 @@ def swaps(found: list[str], identity: Iterable[tuple[str, ...]] = IDENTITY) -> l
 
 
 def options(counts: dict[str, int], kinds: Iterable[tuple[str, ...]], seed: str) -> list[tuple[list[str], str]]:
-    """(terms of the text, their replacement) of each swap of ``swaps``, in the order of a hash; SWAPS of them at most."""
+    """(terms of the text, their replacement) of each swap of ``swaps`` and of leaving a kind out (""), in the order of a hash; SWAPS of them at most."""
     out = []
     for kind in kinds:
         mine = [w for w in kind if w in counts]
-        out += [(mine, new) for new in kind if mine and mine != [new]]
+        out += [(mine, new) for new in (*kind, "") if mine and mine != [new]]
     return sorted(out, key=lambda s: xxhash.xxh64_intdigest(f"{seed}:{s[1]}"))[:SWAPS]
 
 
@@ -119,7 +119,7 @@ def change(counts: dict[str, int], swap: tuple[list[str], str], cache: _Words, n
     out: dict[int, float] = {}
     for old in mine:
         for word, sign in ((new, 1), (old, -1)):
-            for slot in cache[word]:
+            for slot in cache[word] if word else ():
                 out[slot] = out.get(slot, 0.0) + sign * counts[old] / (SHARE * (GROWN + n_words))
     return {k: v for k, v in out.items() if v}
 
@@ -237,8 +237,11 @@ def neutral_kinds(chosen: DataFrame) -> tuple[tuple[str, ...], ...]:
     return tuple(tuple(terms[i] for i in k) for k in kinds if len(k) > 1)
 
 
-def _choose(chosen: DataFrame, most: int) -> np.ndarray:
-    """Slot of each feature, -1 where it is not among the ``most`` that tell the classes apart best."""
+def _choose(chosen: DataFrame, most: int, kinds: Iterable[tuple[str, ...]] = ()) -> np.ndarray:
+    """Slot of each feature, -1 where it is neither among the ``most`` that tell the classes apart best nor one of a term of ``kinds``."""
+    swapped = np.zeros(SPACE, bool)
+    for term in {w for kind in kinds for w in kind}:
+        swapped[list(word_features(term))] = True
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, seen = np.zeros((2, SPACE), np.int64), _Words(word_features)
@@ -261,8 +264,10 @@ def _choose(chosen: DataFrame, most: int) -> np.ndarray:
     both = (a + b) / (na + nb)
     gain = a * np.log(a / na / both) + b * np.log(b / nb / both)
     gain = np.where(a / na > b / nb, gain, gain / 4)  # what marks label 1 comes first
-    best = np.lexsort((got["feature"], -gain))[:most]
-    slots[got["feature"].to_numpy()[best]] = np.arange(len(best))
+    feature = got["feature"].to_numpy()
+    best = np.lexsort((feature, -gain))
+    best = best[(np.arange(len(best)) < most) | swapped[feature[best]]]
+    slots[feature[best]] = np.arange(len(best))
     return slots
 
 
@@ -270,13 +275,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[in
     """A model of ``label``, fitted on at most ``rows`` documents of each class outside the held-out fold.
 
     ``identity`` are kinds of terms to swap; with ``neutral`` those that the sample itself
-    shows are swapped too. What goes to the driver is bounded: 2 x ``rows`` texts of CHOSEN
-    values, and SWAPS sparse changes of each. Without both classes among the labels
+    shows are swapped too, and their features are in the model in any case. What goes to the
+    driver is bounded: 2 x ``rows`` texts of CHOSEN values and those of the terms, and SWAPS
+    sparse changes of each. Without both classes among the labels
     every text scores 0.5.
     """
     chosen = labelled.sample(docs, labels, label, fold, rows)
     kinds = tuple(map(tuple, identity)) + (neutral_kinds(chosen) if neutral else ())
-    slots = _choose(chosen, CHOSEN)
+    slots = _choose(chosen, CHOSEN, kinds)
     n = int(slots.max()) + 1
     if not n:
         return Model(slots, np.zeros(1), 0.0)

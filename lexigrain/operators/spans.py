@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -57,43 +59,51 @@ def disagreements(a: DataFrame, b: DataFrame, gold: DataFrame, keys: list[str])
 _TOKEN = regex.compile(r"\p{L}+|\d+(?:['’.,]\d+)*|\s+|.", regex.S)
 
 
-def changes(old: str, new: str, run: int = 3, reach: int = 40) -> list[tuple[int, int, str, str]]:
-    """Edits (start, end, from, to) on ``new``: where the texts part, they meet again at the nearest run of ``run`` equal tokens.
+def partings(a: list[str], b: list[str], run: int = 3, reach: int = 40) -> list[tuple[int, int, int, int]]:
+    """(i0, i1, j0, j1) of each stretch where two token lists part until the nearest run of ``run`` tokens that they share.
 
-    The nearest skips fewest tokens in all, at most ``reach`` on a side. A bare
-    insertion or deletion takes the word before it along, so that each edit shows
-    what was changed.
+    Nearest is what skips fewest tokens in all, ``reach`` at most on a side, and fewest of
+    ``a`` among those. Both lists end in ``run`` equal marks, so that a common end is a run too.
     """
-    a, b = _TOKEN.findall(old), _TOKEN.findall(new)
-    i = j = at = 0
-    out: list[tuple[int, int, str, str]] = []
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            at += len(b[j])
+    ends = [None] * run
+    grams = lambda x: [tuple(x[k : k + run]) for k in range(len(x) - run + 1)]
+    left, right = grams(a + ends), grams(b + ends)
+    places: dict[tuple, list[int]] = {}
+    for k, g in enumerate(right):
+        places.setdefault(g, []).append(k)
+    out, i, j = [], 0, 0
+    while True:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
             i, j = i + 1, j + 1
-            continue
-        skip = next(((x, total - x) for total in range(1, 2 * reach + 1) for x in range(max(0, total - reach), min(reach, total) + 1) if _meets(a, b, i + x, j + total - x, run)), None)
-        x, y = skip if skip else (len(a) - i, len(b) - j)
-        source, target, start = "".join(a[i : i + x]), "".join(b[j : j + y]), at
-        if not source.strip() or not target.strip():
-            k = 1
-            while k <= min(i, j) and a[i - k] == b[j - k]:
-                word = b[j - k]
-                source, target, start = word + source, word + target, start - len(word)
-                if word.strip():
-                    break
-                k += 1
-        out.append((start, at + sum(map(len, b[j : j + y])), source, target))
-        at += sum(map(len, b[j : j + y]))
-        i, j = i + x, j + y
-    return out
+        if i == len(a) and j == len(b):
+            return out
+        shared = []
+        for x, g in enumerate(left[i : i + reach + 1]):
+            there = places.get(g, [])
+            k = bisect_left(there, j)
+            if k < len(there) and there[k] - j <= reach:
+                shared.append((x + there[k] - j, i + x, there[k]))
+        _, i1, j1 = min(shared, default=(0, len(a), len(b)))
+        out.append((i, i1, j, j1))
+        i, j = i1, j1
 
 
-def _meets(a: list[str], b: list[str], i: int, j: int, run: int) -> bool:
-    if i > len(a) or j > len(b):
-        return False
-    left, right = a[i : i + run], b[j : j + run]
-    return left == right and (len(left) == run or (i + len(left) == len(a) and j + len(right) == len(b)))
+def changes(old: str, new: str, run: int = 3, reach: int = 40) -> list[tuple[int, int, str, str]]:
+    """Edits (start, end, from, to) on ``new``, one for each stretch where the texts part.
+
+    A bare insertion or deletion takes the equal tokens before it along, back to the
+    nearest that is no white space, so that each edit shows what was changed.
+    """
+    a, b = _TOKEN.findall(old), _TOKEN.findall(new)
+    place = [0, *accumulate(map(len, b))]
+    out = []
+    for i0, i1, j0, j1 in partings(a, b, run, reach):
+        if not "".join(a[i0:i1]).strip() or not "".join(b[j0:j1]).strip():
+            equal = next((k for k in range(min(i0, j0)) if a[i0 - 1 - k] != b[j0 - 1 - k]), min(i0, j0))
+            back = next((k + 1 for k in range(equal) if b[j0 - 1 - k].strip()), equal)
+            i0, j0 = i0 - back, j0 - back
+        out.append((place[j0], place[j1], "".join(a[i0:i1]), "".join(b[j0:j1])))
+    return out
 
 
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())]))
@@ -135,67 +145,77 @@ def agreement(truth: list[str], guess: list[str]) -> list[tuple[int, int]]:
     return [(m.a + k, m.b + k) for m in blocks for k in range(m.size)]
 
 
+#: Letters that link the parts of a compound.
 LINKS = ("", "s", "es", "n", "en", "e")
 
 
 def decomposes(rest: str, words: set[str], least: int = 3) -> bool:
     """Whether a remainder is made of listed words with linking letters between, before or after them."""
-    n = len(rest)
-    good = [False] * (n + 1)
-    good[n] = True
-    for i in range(n - least, -1, -1):
-        good[i] = any(rest[i:j] in words and any(rest.startswith(x, j) and good[min(n, j + len(x))] for x in LINKS if j + len(x) <= n) for j in range(i + least, n + 1))
-    return good[0] or any(x and rest.startswith(x) and good[len(x)] for x in LINKS if len(x) <= n)
-
+    reached = {len(x) for x in LINKS if rest.startswith(x)}  # where a word may begin
+    for at in range(len(rest)):
+        if at in reached:
+            for end in range(at + least, len(rest) + 1):
+                if rest[at:end] in words:
+                    reached.update(end + len(x) for x in LINKS if rest.startswith(x, end))
+    return len(rest) in reached
 
-def decomposable(remainders: DataFrame, words: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Distinct ``word`` of ``remainders`` that decompose into words of ``words(word)``; the list may have ``most`` entries."""
-    listed = [r.word for r in words.select("word").distinct().limit(most + 1).collect()]
-    if len(listed) > most:
-        raise ValueError(f"more than {most} words: shorten the list")
-    shared = remainders.sparkSession.sparkContext.broadcast(set(listed))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            yield part[[decomposes(w.lower(), shared.value) for w in part["word"]]]
+def decomposable(remainders: DataFrame, words: DataFrame, least: int = 3) -> DataFrame:
+    """Distinct ``word`` of ``remainders`` that decompose into words of ``words(word)``, by joins.
 
-    return remainders.select("word").distinct().mapInPandas(keep, "word string")
+    Each stretch of a remainder that may be a listed word is joined to the list; the
+    stretches that are listed are then followed from the beginning to the end.
+    """
+    listed = words.select(F.lower("word").alias("part")).filter(F.length("part") >= least).distinct()
+    longest = listed.agg(F.max(F.length("part"))).first()[0]
+    asked = remainders.select("word").distinct()
+    if not longest:
+        return asked.filter(F.lower("word").isin(*LINKS))
+    low = F.lower("word")
+    starts = asked.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("word") - least))))
+    room = F.least(F.lit(longest), F.length("word") - F.col("at"))
+    parts = starts.filter(room >= least).withColumn("n", F.explode(F.sequence(F.lit(least), room))).select("word", "at", (F.col("at") + F.col("n")).alias("end"), F.substring(low, F.col("at") + 1, F.col("n")).alias("part"))
+    steps = parts.join(listed, "part", "left_semi").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("steps"))
+    follows = lambda end: F.filter(F.array(*[F.when(F.substring(low, end + 1, F.lit(len(x))) == x, end + len(x)) for x in LINKS]), lambda v: v.isNotNull())
+    reached = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<at:int,end:int>>")), follows(F.lit(0)), lambda seen, step: F.when(F.array_contains(seen, step["at"]), F.array_union(seen, follows(step["end"]))).otherwise(seen))
+    return asked.join(steps, "word", "left").filter(F.array_contains(reached, F.length("word"))).select("word")
+
+
+def lattice(letters: str, cost: dict[str, float], common: float, longest: int, least: int = 2, short: int = 4) -> list[tuple[int, int, float, bool]]:
+    """(start, end, price, rare) of the listed words in run-together letters, in the order of their ends; of short ones the common only."""
+    low = letters.lower()
+    out = []
+    for end in range(least, len(letters) + 1):
+        for start in range(max(0, end - longest), end - least + 1):
+            price = cost.get(low[start:end])
+            if price is not None and (end - start >= short or price <= common):
+                out.append((start, end, price, price > common))
+    return out
 
 
 def segment(letters: str, cost: dict[str, float], common: float = 3.5, longest: int = 30, gap: float = 2.0, unlisted: float = 1.6, oov: float = 8.0) -> list[str]:
-    """Run-together letters cut into the cheapest words (Viterbi).
+    """Run-together letters cut into the cheapest words: the least path through the lattice of listed ones.
 
     A listed word costs what ``cost`` says; the whole may also stay one unlisted
     word, which pays for its length. A word that begins small after another pays
-    ``gap``; after a noun only a common one may; short words must be common.
+    ``gap``; after a noun that is not common only a common one may; short words must be common.
     """
     if len(letters) < 4:
         return [letters]
-    price = lambda w: cost.get(w.lower(), oov + unlisted * len(w))
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * len(letters)
-    for j in range(1, len(letters) + 1):
-        for i in range(max(0, j - longest), j):
-            piece = letters[i:j]
-            whole = i == 0 and j == len(letters)
-            if best[i][0] == float("inf") or (not whole and (len(piece) < 2 or piece.lower() not in cost or (len(piece) < 4 and price(piece) > common))):
-                continue
-            extra = 0.0
-            if i and not letters[i].isupper():
-                before = letters[best[i][1] : i]
-                if before[0].isupper() and price(before) > common and price(piece) > common:
-                    continue
-                extra = gap
-            total = best[i][0] + extra + price(piece)
-            if total < best[j][0]:
-                best[j] = (total, i)
-    if best[-1][0] == float("inf"):
-        return [letters]
-    out, j = [], len(letters)
-    while j:
-        i = best[j][1]
-        out.append(letters[i:j])
-        j = i
-    return out[::-1]
+    n = len(letters)
+    paths: dict[int, tuple[float, list[str], bool]] = {0: (0.0, [], False)}  # to a place: price, words, whether the last is a rare noun
+    for start, end, price, rare in lattice(letters, cost, common, longest):
+        if start not in paths or (start, end) == (0, n):
+            continue
+        total, words, after_noun = paths[start]
+        small = start > 0 and not letters[start].isupper()
+        if small and after_noun and rare:
+            continue
+        total += price + gap * small
+        if end not in paths or total < paths[end][0]:
+            paths[end] = total, [*words, letters[start:end]], rare and letters[start].isupper()
+    whole = cost.get(letters.lower(), oov + unlisted * n) if n <= longest else float("inf")
+    return paths[n][1] if n in paths and paths[n][0] < whole else [letters]
 
 
 def word_spans(texts: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -49,8 +49,14 @@ def test_procedures():
 
 
 def test_decomposable(spark):
-    rest = spark.createDataFrame([("wegnetz",), ("wegory",)], "word string")
-    assert [r.word for r in S.decomposable(rest, spark.createDataFrame([("weg",), ("netz",)], "word string")).collect()] == ["wegnetz"]
+    rng = random.Random(2)
+    listed = {"weg", "netz", "anfrage", "eis", "eisen", "bahn", "hof", "ens", "sen", "nee"}
+    asked = {"wegnetz", "wegory", "Wegsnetz", "enanfrage", "s", "en", "x", "eisenbahnhofs", "wegx"} | {"".join(rng.choice(["weg", "eis", "en", "s", "bahn", "e", "n", "hof", "q"]) for _ in range(rng.randrange(1, 7))) for _ in range(150)}
+    rest = spark.createDataFrame([(w,) for w in asked], "word string")
+    words = spark.createDataFrame([(w,) for w in listed], "word string")
+    want = {w for w in asked if S.decomposes(w.lower(), listed)}
+    assert {r.word for r in S.decomposable(rest, words).collect()} == want and {"wegnetz", "eisenbahnhofs"} <= want
+    assert {r.word for r in S.decomposable(rest, words.limit(0)).collect()} == {w for w in asked if S.decomposes(w, set())}
 
 
 def test_language_detection(spark):
@@ -95,11 +101,19 @@ def test_best_kind(spark):
     assert S.best_kind(spans, marks.limit(0), "k").agg(F.count("*")).first()[0] == 0
 
 
-def test_foreign_runs():
+def test_foreign_runs(spark):
     w = lambda text, best="de", margin=20, held=False: (text, best, margin, held)
     gap = lambda s=" ": (s, None, 0, False)
     line = [w("eine"), gap(), w("Mass", "de", 2, True), gap(), w("effect", "en"), gap(), w("game", "en", 15), gap(), w("ist"), gap(), w("store", "en", 30), gap("."), w("nice", "en", 12), gap("\n"), w("day", "en", 12)]
-    assert L.runs_of(line) == [(2, 6, "en")]
-    assert L.runs_of([w("one", "en", 5), gap(), w("two", "en", 5)]) == []
-    assert L.runs_of([w("un", "fr", 15), gap(), w("deux", "fr", 15), gap("-"), w("game", "en", 50), gap(), w("set", "en", 3)]) == [(0, 2, "fr"), (4, 6, "en")]
-    assert L.runs_of([]) == []
+    cases = {
+        1: (line, [(2, 6, "en")]),
+        2: ([w("one", "en", 5), gap(), w("two", "en", 5)], []),
+        3: ([w("un", "fr", 15), gap(), w("deux", "fr", 15), gap("-"), w("game", "en", 50), gap(), w("set", "en", 3)], [(0, 2, "fr"), (4, 6, "en")]),
+        4: ([w("a", "en", 9, True), gap(), w("b", "en", 9, True), gap(), w("c", "en", 12), gap("-"), w("d", "en", 12), gap(), w("e", "en", 9, True), gap(), w("f", "en", 30)], [(0, 6, "en")]),
+        5: ([w("a", "en", 9, True), gap("-"), w("c", "en", 12), gap(), w("d", "en", 12)], [(2, 4, "en")]),
+        6: ([w("a", "en", 9, True), gap("."), w("b", "en", 9, True), gap(), w("c", "en", 12), gap(), w("d", "en", 12)], [(2, 6, "en")]),
+        7: ([w("a", "en", 12), gap(), w("der"), gap(), w("d", "en", 12)], []),
+    }
+    rows = [(k, i, *t) for k, (tokens, _) in cases.items() for i, t in enumerate(tokens)]
+    got = L.runs(spark.createDataFrame(rows, "k int, ix int, s string, best string, margin int, held boolean"), "k").collect()
+    assert {k: sorted((r.first, r.last, r.lang) for r in got if r.k == k) for k in cases} == {k: want for k, (_, want) in cases.items()}

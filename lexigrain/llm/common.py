@@ -89,7 +89,20 @@ def joined(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total
     return rows.join(F.broadcast(few), key).unionByName(rest.select(*rows.columns, *[c for c in table.columns if c != key]))
 
 
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def light(table: DataFrame, most: int | None = None) -> DataFrame:
+    """``table`` (written or checkpointed) marked to be broadcast if its rows hold ``most`` bytes at most; a larger one is left to a shuffle join."""
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind == "string"]
+    each = 24 + 16 * len(table.columns)  # more than a row of numbers takes in a hash relation
+    held = table.agg(F.sum(sum(strings, F.lit(each).cast("long")))).first()[0] or 0
+    return F.broadcast(table) if held <= (BROADCAST_BYTES if most is None else most) else table
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver notice that earlier steps' shuffle files and checkpoints are no longer needed; else they stay until it happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first finds keeps others alive
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()

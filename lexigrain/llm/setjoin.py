@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, release, saved, shared_folder
+from .common import cut, free_name, light, release, saved, shared_folder
 
 #: Jaccard threshold as a fraction.
 THRESHOLD = (4, 5)
-#: Bytes of the rarity table and of the candidate filter: bounds of what goes to the driver and to each task.
-RARITY_SLOTS, FILTER_BYTES = 1 << 16, 1 << 17
+#: Slots of the rarity table, a bound of what goes to the driver and to each task.
+RARITY_SLOTS = 1 << 16
 #: Prefix words of a line that are looked at for crowds; a crowd's least size, and how many of it meet at once.
 KEYS, CROWD, TABLE = 4, 32, 16
 _WORD = "[^\\x20\\x09-\\x0D]"
@@ -59,17 +59,6 @@ def _shift(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
 
-def _marked(rows: DataFrame, key: list[str]) -> Column:
-    """Whether ``key`` is one of those of ``rows``: a bit map of fixed size, so a few others pass too."""
-    slot = F.pmod(F.xxhash64(*key), F.lit(FILTER_BYTES * 8))
-    marks = rows.select(F.floor(slot / 8).cast("int").alias("at"), (slot % 8).alias("bit"))
-    table = bytearray(FILTER_BYTES)
-    for r in marks.groupBy("at").agg(F.bit_or(_shift(F.col("bit"))).alias("v")).collect():  # one row per byte at most
-        table[r["at"]] = r.v
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(table)), F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (slot % 8).cast("int")) == 1
-
-
 def rarity(docs: DataFrame) -> Column:
     """The rarity class (0 to 127, rarest first) of each slot, as an array, from all words of the documents."""
     words = docs.select(F.explode(_parts(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
@@ -91,7 +80,7 @@ class _Place:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         rows = docs.groupBy(id_col).count()
-        tied = bool(rows.filter((F.col("count") > 1) | F.col(id_col).isNull()).head(1))
+        self.tied = tied = bool(rows.filter((F.col("count") > 1) | F.col(id_col).isNull()).head(1))
         whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
         key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
         self.row = {"key": key} | ({"tie": F.xxhash64(text_col)} if tied else {})
@@ -117,24 +106,20 @@ def _hashed() -> list[Column]:
 
 
 def heads(docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
-    """Each different line's first place and what candidates are found by: size, parity map and prefix; ``h1``, ``h2`` where it has copies."""
+    """Each line's place; ``copy``, whether it equals an earlier one; if not, what candidates are found by: ``n``, ``parity`` and ``first`` (size, parity map and prefix)."""
     a, b = threshold
+    lines = _lines(docs, p)
+    groups = lines.select(*p.line, *_hashed()).groupBy("h1", "h2").agg(F.min(F.struct(*p.line)).alias("least"), F.count("*").alias("held"))
+    again = saved(groups.filter("held > 1").select("h1", "h2", "least"), shared_folder(docs.sparkSession, "again"))
     classes = rarity(docs)
     rank = lambda h: F.get(classes, h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int"))
     code = lambda h: F.shiftleft(rank(h), _CLASS).bitwiseOR(F.shiftrightunsigned(h, 64 - _CLASS))
-    sets = _lines(docs, p).select(*p.line, *_hashed(), F.sort_array(F.transform(_hashes(F.col("line")), code)).alias("words")).withColumn("n", F.size("words"))
+    told = lines.select(*p.line, "line", *_hashed()).join(light(again), ["h1", "h2"], "left")
+    copy = F.coalesce(F.struct(*p.line) != F.col("least"), F.lit(False))
+    sets = told.select(*p.line, copy.alias("copy"), "line").select(*p.line, "copy", F.when(~F.col("copy"), F.sort_array(F.transform(_hashes(F.col("line")), code))).alias("words")).withColumn("n", F.size("words"))
     prefix = F.slice("words", F.lit(1), F.col("n") - F.floor((F.col("n") * a + (b - 1)) / b).cast("int") + 1)
     parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_shift(w.bitwiseAND(F.lit(63)))))  # by the word's last six bits
-    first = sets.groupBy("h1", "h2").agg(F.min(F.struct(*p.line, "n", parity.alias("parity"), prefix.alias("first"))).alias("f"), F.count("*").alias("copies"))
-    return first.select(*[F.when(F.col("copies") > 1, F.col(h)).alias(h) for h in ("h1", "h2")], "f.*")
-
-
-def copies(docs: DataFrame, first: DataFrame, p: _Place) -> DataFrame:
-    """The places of lines that equal an earlier one."""
-    again = first.filter("h1 IS NOT NULL").select("h1", "h2", *[F.col(c).alias(o) for c, o in zip(p.line, p.other, strict=True)])
-    lines = _lines(docs, p).select(*p.line, *_hashed())
-    differ = [F.col(c) != F.col(o) for c, o in zip(p.line, p.other, strict=True)]
-    return lines.join(again, ["h1", "h2"]).filter(F.array_contains(F.array(*differ), True)).select(*p.line).distinct()
+    return sets.select(*p.line, "copy", "n", parity.alias("parity"), F.when(~F.col("copy"), prefix).alias("first"))
 
 
 def _flips(x: Column, y: Column) -> Column:
@@ -175,7 +160,7 @@ def crowds(first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame
 
 def met(first: DataFrame, done: DataFrame | None, p: _Place, threshold: tuple[int, int]) -> DataFrame:
     """Pairs of a line that is not ``done`` and an earlier one that pass the prefix, length and positional filters and the parity map."""
-    flagged = first if done is None else first.join(done.select(*p.line, F.lit(True).alias("done")), p.line, "left")
+    flagged = first if done is None else first.join(light(done.select(*p.line, F.lit(True).alias("done"))), p.line, "left")
     asks = F.lit(True) if done is None else F.col("done").isNull()
     size = F.when(asks, F.col("n")).otherwise(-F.col("n")).cast("long") * (1 << 32)  # with the place in the prefix, one number
     posted = flagged.select(*p.line, "parity", size.alias("size"), F.posexplode("first").alias("i", "word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
@@ -191,9 +176,9 @@ def met(first: DataFrame, done: DataFrame | None, p: _Place, threshold: tuple[in
 
 def verified(pairs: DataFrame, docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
     """The least match of each line that has one among ``pairs``, by the words of the lines, which are read again."""
-    named = cut(pairs.select(*p.line).unionByName(pairs.select(*[F.col(d).alias(c) for c, d in zip(p.line, p.other, strict=True)])).distinct())
-    there = _lines(docs.filter(_marked(named, p.doc)), p).filter(_marked(named, p.line)).join(named, p.line, "left_semi")
-    there = saved(there.dropDuplicates(p.line), shared_folder(docs.sparkSession, "there"))
+    named = light(cut(pairs.select(*p.line).unionByName(pairs.select(*[F.col(d).alias(c) for c, d in zip(p.line, p.other, strict=True)])).distinct()))
+    there = _lines(docs, p).join(named, p.line, "left_semi")
+    there = saved(there if not p.tied else there.dropDuplicates(p.line), shared_folder(docs.sparkSession, "there"))
     both = pairs.join(there, p.line).join(there.select(*[F.col(c).alias(d) for c, d in zip(p.line, p.other, strict=True)], F.col("line").alias("line2")), p.other)
     both = both.select(*p.line, *p.other, _words(F.col("line")).alias("words"), _words(F.col("line2")).alias("words2"))
     shared = F.size(F.array_intersect("words", "words2"))
@@ -232,11 +217,11 @@ def deduplicated(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col
     kept = [c for c in docs.columns if c not in names]
     p = _Place(docs, id_col, text_col)
     slim = docs.select(*[v.alias(c) for c, v in p.row.items()], F.col(text_col).alias("text"))
-    first = saved(heads(slim, p, threshold), shared_folder(docs.sparkSession, "lines"))
+    lines_ = saved(heads(slim, p, threshold), shared_folder(docs.sparkSession, "lines"))
     release(docs.sparkSession)
-    near = matches(slim, first, p, threshold)
+    near = matches(slim, lines_.filter("NOT copy").drop("copy"), p, threshold)
     release(docs.sparkSession)
-    gone = copies(slim, first, p).select(*p.line, F.lit(None).alias("of")).unionByName(near)
+    gone = lines_.filter("copy").select(*p.line, F.lit(None).alias("of")).distinct().unionByName(near)
     own, gone_, near_, lines = (free_name(docs, x) for x in ("key", "gone_", "near_", "lines_"))
     names_own = [f"{own}_{c}" for c in p.doc]
     per = gone.groupBy(*[F.col(c).alias(o) for c, o in zip(p.doc, names_own, strict=True)]).agg(

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexigrain.llm import setjoin
+from lexigrain.llm import common, setjoin
 
 
 def words(line):
@@ -114,7 +114,7 @@ def test_small_tables_change_nothing(spark, monkeypatch):
     rows = corpus()[:40]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     a = sorted(setjoin.deduplicated(df).drop("matches").collect())
-    monkeypatch.setattr(setjoin, "FILTER_BYTES", 2)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(setjoin, "RARITY_SLOTS", 4)
     monkeypatch.setattr(setjoin, "CROWD", 1)
     monkeypatch.setattr(setjoin, "TABLE", 2)

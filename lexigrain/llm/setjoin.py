@@ -4,13 +4,13 @@ A line is the set of its words. Lines equal to an earlier line go first (by a
 128-bit hash). For the rest every set is ordered by rarity and two sets can only
 reach the threshold if they share a word among their first few (prefix filter),
 are of like sizes (length filter) and have enough words left after the first
-shared one (positional filter). A parity map of 64 bits, in which each word flips one
+shared one (positional filter). A parity map of 128 bits, in which each word flips one
 bit, bounds the size of the symmetric difference and drops chance meetings.
 Survivors are verified on the words themselves; of two similar lines the later
 one goes.
 
 A later line needs one earlier match, not all of them, so a group of near copies is
-not paired whole. Lines that share one of a few prefix words with very many others meet
+not paired whole. Lines that share two neighbouring prefix words with many others meet
 some of these first; that finds a match for nearly every line of a large group. What has
 none yet meets every earlier line of all its prefix words, so no line goes unmatched that
 has a match.
@@ -33,8 +33,8 @@ from .common import cut, free_name, light, release, saved, shared_folder
 THRESHOLD = (4, 5)
 #: Slots of the rarity table, a bound of what goes to the driver and to each task.
 RARITY_SLOTS = 1 << 16
-#: Prefix words of a line that are looked at for crowds; a crowd's least size, and how many of it meet at once.
-KEYS, CROWD, TABLE = 4, 32, 16
+#: Pairs of neighbouring prefix words of a line that are looked at for crowds (those of the least hashes); a crowd's least size, and how many of it meet at once.
+KEYS, CROWD, TABLE = 4, 8, 16
 _WORD = "[^\\x20\\x09-\\x0D]"
 #: The rarity class of a word said once (it has no match), and the place of the class in a word's code.
 _ONCE, _CLASS = 4, 51
@@ -106,7 +106,7 @@ def _hashed() -> list[Column]:
 
 
 def heads(docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
-    """Each line's place; ``copy``, whether it equals an earlier one; if not, what candidates are found by: ``n``, ``parity`` and ``first`` (size, parity map and prefix)."""
+    """Each line's place; ``copy``, whether it equals an earlier one; if not, what candidates are found by: ``n``, ``even``, ``odd`` and ``first`` (size, the halves of the parity map, prefix)."""
     a, b = threshold
     lines = _lines(docs, p)
     groups = lines.select(*p.line, *_hashed()).groupBy("h1", "h2").agg(F.min(F.struct(*p.line)).alias("least"), F.count("*").alias("held"))
@@ -118,12 +118,16 @@ def heads(docs: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame:
     copy = F.coalesce(F.struct(*p.line) != F.col("least"), F.lit(False))
     sets = told.select(*p.line, copy.alias("copy"), "line").select(*p.line, "copy", F.when(~F.col("copy"), F.sort_array(F.transform(_hashes(F.col("line")), code))).alias("words")).withColumn("n", F.size("words"))
     prefix = F.slice("words", F.lit(1), F.col("n") - F.floor((F.col("n") * a + (b - 1)) / b).cast("int") + 1)
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_shift(w.bitwiseAND(F.lit(63)))))  # by the word's last six bits
-    return sets.select(*p.line, "copy", "n", parity.alias("parity"), F.when(~F.col("copy"), prefix).alias("first"))
+    return sets.select(*p.line, "copy", "n", _parity(F.col("words"), 0).alias("even"), _parity(F.col("words"), 1).alias("odd"), F.when(~F.col("copy"), prefix).alias("first"))
 
 
-def _flips(x: Column, y: Column) -> Column:
-    return F.bit_count(x.bitwiseXOR(y))
+def _parity(words: Column, lane: int) -> Column:
+    """64 bits; a word whose bit 6 is ``lane`` flips the one that its bits 0 to 5 name."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: F.when(F.getbit(w, F.lit(6)) == lane, acc.bitwiseXOR(_shift(w.bitwiseAND(F.lit(63))))).otherwise(acc))
+
+
+def _flips(x: str = "x", y: str = "y") -> Column:
+    return F.bit_count(F.col(f"{x}.even").bitwiseXOR(F.col(f"{y}.even"))) + F.bit_count(F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd")))
 
 
 def _alike(n: Column, m: Column, flips: Column, threshold: tuple[int, int]) -> Column:
@@ -142,19 +146,18 @@ def crowds(first: DataFrame, p: _Place, threshold: tuple[int, int]) -> DataFrame
     Each crowd is dealt by hash to tables of TABLE lines about, and all of a table meet.
     """
     size = F.size("first")
-    picked = F.array_distinct(F.array(*[F.get("first", F.floor((size - 1) * k / (KEYS - 1)).cast("int")) for k in range(KEYS)]))
-    rows = first.select(*p.line, "n", "parity", F.explode(picked).alias("word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
-    counts = cut(rows.groupBy("word").agg(F.count("*").alias("held")).filter(F.col("held") > CROWD))
+    couples = F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.xxhash64(F.get("first", i), F.get("first", i + 1)))
+    keys = F.when(size > 1, F.slice(F.sort_array(couples), F.lit(1), F.lit(KEYS))).otherwise(F.col("first"))
+    rows = first.select(*p.line, "n", "even", "odd", F.explode(keys).alias("key_of"))
+    counts = cut(rows.groupBy("key_of").agg(F.count("*").alias("held")).filter(F.col("held") >= CROWD))
     most = counts.agg(F.sum("held")).first()[0]
     if not most:
         return None
-    crowded = counts.filter(F.col("held") > most // 500_000)  # so there are 500,000 at most
-    dealt = rows.join(F.broadcast(crowded), "word").withColumn("table", F.pmod(F.xxhash64(*p.line), F.ceil(F.col("held") / TABLE)))
+    dealt = rows.join(light(counts), "key_of").withColumn("table", F.pmod(F.xxhash64(*p.line), F.ceil(F.col("held") / TABLE)))
     dealt = saved(dealt.drop("held"), shared_folder(first.sparkSession, "crowds"))
     x, y = dealt.alias("x"), dealt.alias("y")
-    flips = _flips(F.col("x.parity"), F.col("y.parity"))
-    fits = p.later("x", "y") & _alike(F.col("x.n"), F.col("y.n"), flips, threshold)
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.table") == F.col("y.table")) & fits).select(*_pairs(p), (flips - F.col("x.n")).alias("apart"))
+    fits = p.later("x", "y") & _alike(F.col("x.n"), F.col("y.n"), _flips(), threshold)
+    pairs = x.join(y, (F.col("x.key_of") == F.col("y.key_of")) & (F.col("x.table") == F.col("y.table")) & fits).select(*_pairs(p), _flips().alias("apart"))
     return pairs.groupBy(*p.line).agg(F.min(F.struct("apart", *p.other)).alias("y")).select(*p.line, *[F.col(f"y.{c}") for c in p.other])
 
 
@@ -163,14 +166,14 @@ def met(first: DataFrame, done: DataFrame | None, p: _Place, threshold: tuple[in
     flagged = first if done is None else first.join(light(done.select(*p.line, F.lit(True).alias("done"))), p.line, "left")
     asks = F.lit(True) if done is None else F.col("done").isNull()
     size = F.when(asks, F.col("n")).otherwise(-F.col("n")).cast("long") * (1 << 32)  # with the place in the prefix, one number
-    posted = flagged.select(*p.line, "parity", size.alias("size"), F.posexplode("first").alias("i", "word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
-    posted = posted.select(*p.line, "parity", "word", (F.col("size") + F.col("i")).alias("n_i"))
+    posted = flagged.select(*p.line, "even", "odd", size.alias("size"), F.posexplode("first").alias("i", "word")).filter(F.col("word") >= (_ONCE + 1) << _CLASS)
+    posted = posted.select(*p.line, "even", "odd", "word", (F.col("size") + F.col("i")).alias("n_i"))
     x, y = posted.alias("x"), posted.alias("y")  # one exchange serves both
     n, m = (F.abs(F.shiftright(f"{t}.n_i", 32)) for t in "xy")
     i, j = (F.col(f"{t}.n_i").bitwiseAND(F.lit((1 << 32) - 1)) for t in "xy")
     need = _need(n, m, threshold)
     places = F.least(n - i, m - j) >= need  # i counts from 0: the shared word and what follows it
-    fits = (F.col("x.n_i") > 0) & p.later("x", "y") & places & _alike(n, m, _flips(F.col("x.parity"), F.col("y.parity")), threshold)
+    fits = (F.col("x.n_i") > 0) & p.later("x", "y") & places & _alike(n, m, _flips(), threshold)
     return x.join(y, (F.col("x.word") == F.col("y.word")) & fits).select(*_pairs(p)).distinct()
 
 

@@ -1,8 +1,9 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from lexigrain.llm import decontam
+from lexigrain.llm import common, decontam
 
 
 def slow_tiles(doc, item, least):
@@ -35,10 +36,15 @@ def test_coverage_equals_brute_force():
             a, b = sorted(rng.sample(range(len(item) + 1), 2))
             doc[5:5] = item[b:] + item[:a]
             doc += item[a:b]
-            items = decontam.Items([(1, " ".join(item))], least)
-            got = items.covered(" ".join(doc))
-            want = slow_tiles(doc, item, least)
-            assert abs((got[0][1] if got else 0) - want) < 1e-9 or abs(got[0][1] - want) * len(item) <= least, (got, want)
+            got = decontam.covered(" ".join(doc), " ".join(item), least)
+            assert abs(got[0] - slow_tiles(doc, item, least)) < 1e-9, (doc, item)
+
+
+def test_repeated_words_cost_no_product():
+    began = time.perf_counter()
+    assert decontam.covered("same " * 20_000, "same " * 2_000) == (1.0, 1, 2000)
+    assert decontam.covered("a b " * 10_000, "b a " * 900 + "x")[0] > 0.99
+    assert time.perf_counter() - began < 10
 
 
 def frames(spark):
@@ -63,12 +69,15 @@ def frames(spark):
     return docs, spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(2)), want
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     docs, items, want = frames(spark)
-    for block in (16_000_000, 700):
-        got = decontam.leaks(docs, items, block_chars=block).collect()
+    for most in (common.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(decontam, "LEAST_BITS", 20 if most else 8)
+        monkeypatch.setattr(decontam, "BITS", 64 if most else 1)
+        got = decontam.leaks(docs, items).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) + 1
-        kept = decontam.clean(docs, items, block_chars=block)
+        kept = decontam.clean(docs, items)
         assert kept.columns == docs.columns
         assert kept.count() == docs.count() - len(got)
     assert decontam.leaks(docs, items.limit(0)).count() == 0 == decontam.leaks(docs.limit(0), items).count()

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK, RATE = 576, 8000
+#: Points that a seek table has room for; of a longer stream every second, third ... frame has one.
+SEEK_POINTS = ((1 << 24) - 1) // 18
 _PARTS = 4
 _FRAMES = 2048
 _FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
@@ -166,9 +168,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         points["sample"], points["offset"], points["n"] = np.arange(count) * BLOCK, np.cumsum(sizes) - sizes, BLOCK
         md5 = hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest()
         info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3) + int(sizes.max()).to_bytes(3) + (RATE << 44 | 7 << 36 | count * BLOCK).to_bytes(8) + md5
-        table = points.tobytes()
-        last = len(table) < 1 << 24
-        out.append(b"fLaC" + bytes([0x80 * (not last), 0, 0, 34]) + info + (bytes([0x83]) + len(table).to_bytes(3) + table if last else b"") + b"".join(own))
+        table = points[:: 1 + len(points) // SEEK_POINTS].tobytes()
+        out.append(b"fLaC" + bytes([0, 0, 0, 34]) + info + bytes([0x83]) + len(table).to_bytes(3) + table + b"".join(own))
     return out
 
 
@@ -499,7 +500,6 @@ def _decoded(files: list[bytes], waiting: list) -> Iterator[tuple[int, list[tupl
 
 MEDIA = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 DIGEST = T.StructType([T.StructField(n, t()) for n, t in (("payload_bytes", T.LongType), ("payload_sha256", T.StringType), ("tail_crc32", T.LongType), ("media_bytes", T.LongType), ("media_sha256", T.StringType), ("feature", T.StringType), ("error", T.StringType))])
-BLOCKS = T.ArrayType(T.StructType([T.StructField("sample_offset", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("pcm", T.BinaryType())]))
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -563,18 +563,6 @@ def digest_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=DIGEST.fieldNames()).astype({"payload_bytes": "Int64", "tail_crc32": "Int64", "media_bytes": "Int64"})
 
 
-@F.pandas_udf(BLOCKS)
-def blocks_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for files in batches:
-        values = files.tolist()
-        out: list = [None] * len(values)
-        there = [i for i, m in enumerate(values) if m is not None]
-        for j, blocks, error in decode([values[i] for i in there]):
-            if not error:
-                out[there[j]] = [{"sample_offset": s, "n_bytes": len(p), "pcm": p} for s, p in blocks]
-        yield pd.Series(out)
-
-
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_bytes``, ``media``: each whole text as a FLAC file of 8-bit mono samples.
 
@@ -591,7 +579,19 @@ def read_pcm(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
     Files that are null, damaged or fail a checksum give no row.
     """
-    return media.select(F.col(id_col), F.explode(blocks_udf(F.col(media_col))).alias("b")).select(id_col, "b.*")
+    kind = media.schema[id_col].dataType.simpleString()
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            there = part[part.iloc[:, 1].notna()]
+            ids, values = there.iloc[:, 0].tolist(), there.iloc[:, 1].tolist()
+            for some in _groups([len(m) for m in values]):  # so a batch of large files is never decoded whole
+                own = ids[some]
+                rows = [(own[j], s, len(p), p) for j, found, error in decode(values[some]) if not error for s, p in found]
+                yield pd.DataFrame(rows, columns=["id", "sample_offset", "n_bytes", "pcm"])
+
+    found = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInPandas(blocks, f"id {kind}, sample_offset long, n_bytes long, pcm binary")
+    return found.withColumnRenamed("id", id_col)
 
 
 def digests(media: DataFrame, media_col: str = "media") -> DataFrame:

@@ -1,3 +1,4 @@
+import struct
 import hashlib
 import random
 import zlib
@@ -157,3 +158,16 @@ def test_query_rows(spark):
     broken = spark.createDataFrame([(1, None), (2, bytearray(b"junk"))], "doc_id long, media binary")
     assert [bool(r.error) for r in flac.digests(broken).collect()] == [True, True] and flac.read_pcm(broken).count() == 0
     assert flac.digests(flac.write_media(df.limit(0))).count() == 0
+
+
+def test_seek_table_of_a_long_stream(monkeypatch):
+    monkeypatch.setattr(flac, "SEEK_POINTS", 10)
+    payload = bytes(range(256)) * 9 * 25
+    (file,) = flac.encode([payload])
+    size = int.from_bytes(file[43:46])
+    points = [struct.unpack(">QQH", file[46 + 18 * i : 64 + 18 * i]) for i in range(size // 18)]
+    assert len(points) <= 10 and [p[0] for p in points] == list(range(0, len(payload), 576 * (1 + 100 // 10)))
+    first = 46 + size
+    (_, blocks, error), = flac.decode([file])
+    assert not error and b"".join(p for _, p in blocks) == payload
+    assert all(file[first + offset : first + offset + 2] == b"\xff\xf8" for _, offset, _ in points)

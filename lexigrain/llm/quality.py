@@ -11,7 +11,7 @@ not seen makes it a calibrated probability.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,17 +88,30 @@ def pooled(text: str, vectors: np.ndarray, block: int = 1 << 14) -> np.ndarray:
     return total / max(1, len(ids))
 
 
-def word_vectors(texts: Iterator[str]) -> np.ndarray:
+def contexts(texts: Iterable[str]) -> np.ndarray:
+    """For each bucket the sum of the index vectors seen next to it."""
     places, signs = index_vectors()
-    context = np.zeros(BUCKETS * DIM)
+    out = np.zeros(BUCKETS * DIM, np.float32)
     for text in texts:
         ids = buckets(text).astype(np.int64)
         for d in range(1, WINDOW + 1):
             for mine, other in ((ids[d:], ids[:-d]), (ids[:-d], ids[d:])):
-                np.add.at(context, (mine[:, None] * DIM + places[other]).ravel(), signs[other].ravel())
+                np.add.at(out, (mine[:, None] * DIM + places[other]).ravel(), signs[other].ravel())
+    return out
+
+
+def word_vectors(chosen: DataFrame, tasks: int = 2) -> np.ndarray:
+    """Each bucket's vector from ``chosen(text)``, summed in ``tasks`` tasks; as many matrices of fixed size go to the driver."""
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"context": [contexts(x for part in batches for x in part["text"]).tobytes()]})
+
+    context = np.zeros(BUCKETS * DIM, np.float64)
+    for r in chosen.select("text").coalesce(tasks).mapInPandas(summed, "context binary").toLocalIterator():
+        context += np.frombuffer(r.context, np.float32)
     context = context.reshape(BUCKETS, DIM)
-    norm = np.linalg.norm(context, axis=1, keepdims=True)
-    out = (context / np.maximum(norm, 1e-9)).astype(np.float32)
+    places, signs = index_vectors()
+    out = (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     np.add.at(out, (np.arange(BUCKETS)[:, None], places), signs / 2)
     return out
 
@@ -141,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[
     """
     spark = docs.sparkSession
     chosen = labelled.sample(docs, labels, label, fold, rows)
-    vectors = word_vectors(r.text for r in chosen.select("text").toLocalIterator())
+    vectors = word_vectors(chosen)
     shared = spark.sparkContext.broadcast(vectors)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -173,7 +173,8 @@ def met(first: DataFrame, done: DataFrame | None, p: _Place, threshold: tuple[in
     i, j = (F.col(f"{t}.n_i").bitwiseAND(F.lit((1 << 32) - 1)) for t in "xy")
     need = _need(n, m, threshold)
     places = F.least(n - i, m - j) >= need  # i counts from 0: the shared word and what follows it
-    fits = (F.col("x.n_i") > 0) & p.later("x", "y") & places & _alike(n, m, _flips(), threshold)
+    open_ = F.least(F.col("x.n_i"), F.abs(F.col("y.n_i"))) > 0  # x is not done; of both sides, lest it is pushed below one's exchange
+    fits = open_ & p.later("x", "y") & places & _alike(n, m, _flips(), threshold)
     return x.join(y, (F.col("x.word") == F.col("y.word")) & fits).select(*_pairs(p)).distinct()
 
 

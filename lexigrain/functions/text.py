@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What is a run of letters, a token of a diff, a sentence's end and a word.
 LETTER_RUNS = r"(\p{L}+|[^\p{L}]+)"
-DIFF_TOKENS = r"(\p{L}+|\d+(?:['’.,]\d+)*|\s+|[\s\S])"
+DIFF_TOKENS = r"(\p{L}+|\p{N}+(?:['’.,]\p{N}+)*|\s+|[\s\S])"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-ZÄÖÜ\"„])|\n+"
 WORDS = r"([\p{L}\p{N}\p{M}_]+)"
 
@@ -120,21 +125,35 @@ def distinct_matches(text: Column | str, pattern: str) -> Column:
 
 
 #: Spacing accents and the combining marks they stand for.
-ACCENTS = {"´": "́", "`": "̀", "¨": "̈", "^": "̂", "˜": "̃", "¸": "̧"}
-#: Letters that take each accent, and what they compose to.
-COMPOSED = {
-    "´": ("aeiouyAEIOUY", "áéíóúýÁÉÍÓÚÝ"), "`": ("aeiouAEIOU", "àèìòùÀÈÌÒÙ"), "¨": ("aeiouyAEIOU", "äëïöüÿÄËÏÖÜ"),
-    "^": ("aeiouAEIOU", "âêîôûÂÊÎÔÛ"), "˜": ("anoANO", "ãñõÃÑÕ"), "¸": ("cC", "çÇ"),
-}
+ACCENTS = {"´": "\u0301", "¨": "\u0308", "ˆ": "\u0302", "˜": "\u0303", "¸": "\u0327", "˚": "\u030a", "ˇ": "\u030c", "˘": "\u0306", "˙": "\u0307", "˝": "\u030b", "¯": "\u0304", "˛": "\u0328"}
+
+
+@lru_cache(1)
+def composed() -> dict[str, str]:
+    """Accent and letter to the one letter that Unicode composes of them, where there is one."""
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    made = {accent + x: unicodedata.normalize("NFC", x + mark) for accent, mark in ACCENTS.items() for x in letters}
+    return {k: v for k, v in made.items() if len(v) == 1}
 
 
 def compose_accents(text: Column | str) -> Column:
     """A spacing accent before a letter that takes it becomes one letter."""
-    out = col(text)
-    for accent, (plain, made) in COMPOSED.items():
-        for a, b in zip(plain, made, strict=True):
-            out = F.replace(out, F.lit(accent + a), F.lit(b))
-    return out
+    pairs = composed()
+    accents = "".join(ACCENTS)
+    parts = F.regexp_extract_all(col(text), F.lit(rf"([{accents}]\p{{L}}|[^{accents}]+|[{accents}])"), F.lit(1))
+    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    made = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    return F.when(col(text).rlike(f"[{accents}]"), made).otherwise(col(text))
+
+
+def normalised(text: Column | str, form: str = "NFC") -> Column:
+    """``text`` in a Unicode normal form. Spark has no such function, so it runs in Arrow batches; pure ASCII is left out."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+
+    return F.when(col(text).rlike(r"[^\x00-\x7F]"), run(col(text))).otherwise(col(text))
 
 
 def detokenise(words: Column | str) -> Column:
@@ -155,14 +174,28 @@ def model_chunks(text: Column | str, most: int = 1200) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
-def html_text(html: Column | str) -> Column:
-    """Visible text of a page: comments and the content of four elements go, tags become breaks, entities characters."""
+#: Named entities that pages use most.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü", "&szlig;": "ß", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»"}
+
+
+def _numeric(text: Column) -> Column:
+    """Numeric entities, decimal or hexadecimal, as characters."""
+    parts = F.regexp_extract_all(text, F.lit(r"(&#\d{1,6};|&#[xX][0-9a-fA-F]{1,5};|[^&]+|&)"), F.lit(1))
+    code = lambda p: F.when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(p, r"(\d+);", 1)).cast("int")
+    utf16 = lambda c: F.when(c < 0x10000, F.lpad(F.hex(c), 4, "0")).otherwise(F.concat(F.hex(F.shiftright(c - 0x10000, 10) + 0xD800), F.hex((c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00)))
+    shown = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("&#"), F.decode(F.unhex(utf16(code(p))), "UTF-16BE")).otherwise(p)), "")
+    return F.when(text.rlike(r"&#(?:\d{1,6}|[xX][0-9a-fA-F]{1,5});"), shown).otherwise(text)
+
+
+def html_text(html: Column | str, most: int | None = None) -> Column:
+    """Visible text of a page: comments and the content of four elements go, tags become breaks, entities characters; ``most`` characters of it."""
     out = F.regexp_replace(col(html), r"(?is)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"(?is)<[^>]+>", " ")
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    out = _numeric(F.regexp_replace(out, r"(?is)<[^>]+>", " "))
+    for name, value in (*ENTITIES.items(), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(value))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    return out if most is None else F.substring(out, 1, most)
 
 
 def thousands(text: Column | str) -> Column:

@@ -206,12 +206,6 @@ def sample_per_key(rows: DataFrame, key: str, row_id: Sequence[str], k: int, see
     return top_per_key(rows, [key], [digest, *[F.col(c) for c in row_id]], k, row_id)
 
 
-def first_defined(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """Of rows with one key the first definition wins."""
-    w = Window.partitionBy(*key).orderBy(order)
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-
-
 def latest_totals(events: DataFrame, group: str, member: str, time: str, value: str, tie: str) -> DataFrame:
     """Totals over the latest row of each (group, member): ``members``, ``active`` (value above 0), ``total``."""
     last = events.groupBy(group, member).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(time, tie)).alias("x"))
@@ -222,6 +216,19 @@ def top_changes(pairs: DataFrame, most: int = 300) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src", "dst").limit(most)
 
 
+def page_counts(edits: DataFrame, doc: str, page: str) -> DataFrame:
+    """``doc``, ``page``, ``n``, ``kinds``: edits and different (src, dst) of each page, and of each document (page null)."""
+    pairs = edits.groupBy(doc, page, "src", "dst").agg(F.count("*").alias("n"))
+    per_page = pairs.groupBy(doc, page).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    whole = pairs.groupBy(doc, "src", "dst").agg(F.sum("n").alias("n")).groupBy(doc).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    return per_page.unionByName(whole.withColumn(page, F.lit(None).cast(dict(edits.dtypes)[page])))
+
+
+def type_accuracy(truth: Column, guess: Column, found: Column) -> Column:
+    """Aggregate: of what is rightly found, the share whose kind is right."""
+    return F.round(F.count_if(found & (truth == guess)) / F.greatest(F.count_if(found), F.lit(1)), 9)
+
+
 def mix_in(rows: DataFrame, others: DataFrame, k: int, key: str = "key", seed: str = "s") -> DataFrame:
     """Each row of ``rows`` with ``k`` rows of ``others``, picked by hash; ``others`` has ``n`` from 0 on."""
     total = others.agg(F.max("n")).first()[0]

@@ -1,7 +1,7 @@
 """Lookups of words in rule tables. Prefix and suffix conditions become equi-joins on exploded parts.
 
-Rule tables are bounded by what people write; they are broadcast after a check
-of their size, and joined by a shuffle beyond it.
+Rule tables are bounded by what people write; they are written once, and Catalyst broadcasts
+them by their bytes or joins them by a shuffle.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import saved
 
-BROADCAST_ROWS = 200_000
+#: Endings of a verb.
+VERB_ENDINGS = r"^(?:en|e|st|t|et|te|ten|ter|tes|tem|test|tet|end|ende|enden|ender|endes|endem)$"
 
 
 def small(rules: DataFrame) -> DataFrame:
-    return F.broadcast(rules) if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rules
+    """A rule table, its plan run once; below the session's threshold of bytes the joins broadcast it."""
+    return saved(rules, "rules")
 
 
 def exact(words: DataFrame, rules: DataFrame, word: str = "word") -> DataFrame:
@@ -28,9 +31,10 @@ def exact(words: DataFrame, rules: DataFrame, word: str = "word") -> DataFrame:
     capital by its small form.
     """
     w = F.col(word)
-    own = small(rules.groupBy("surface").agg(F.min_by("repl", "ord").alias("as_is")))
-    folded = small(rules.groupBy(F.lower("surface").alias("folded_form")).agg(F.min_by("repl", "ord").alias("as_folded")))
-    lowered = small(rules.groupBy("surface").agg(F.min_by("repl", "ord").alias("as_small")).withColumnRenamed("surface", "small_form"))
+    rules = small(rules)
+    own = rules.groupBy("surface").agg(F.min_by("repl", "ord").alias("as_is"))
+    folded = rules.groupBy(F.lower("surface").alias("folded_form")).agg(F.min_by("repl", "ord").alias("as_folded"))
+    lowered = own.select(F.col("surface").alias("small_form"), F.col("as_is").alias("as_small"))
     first_small = F.concat(F.lower(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
     out = words.join(own, w == F.col("surface"), "left").join(folded, F.lower(w) == F.col("folded_form"), "left").join(lowered, first_small == F.col("small_form"), "left")
     other = F.when(X.all_caps(w), F.col("as_folded")).when(X.starts_upper(w), F.col("as_small"))
@@ -71,7 +75,7 @@ def prefix(words: DataFrame, heads: DataFrame, word: str = "word", rest: int = 3
     return best.select("word", "b.head", "b.repl", "b.remainder")
 
 
-def verbs(words: DataFrame, stems: DataFrame, word: str = "word", endings: str = r"^(?:en|e|st|t|et|te|ten|ter|tes|tem|test|tet|end|ende|enden|ender|endes|endem)$") -> DataFrame:
+def verbs(words: DataFrame, stems: DataFrame, word: str = "word", endings: str = VERB_ENDINGS) -> DataFrame:
     """Distinct words that are a stem of ``stems(stem, repl, ge, ord)`` and an ending: ``word``, ``stem``, ``plain``, ``participle``."""
     starts = words.select(F.col(word).alias("word")).distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.length("word"))))
     starts = starts.withColumn("stem", F.lower(F.expr("left(word, n)"))).withColumn("end", F.lower(F.expr("substring(word, n + 1)"))).filter(F.col("end").rlike(endings))
@@ -173,3 +177,18 @@ def reverse(words: DataFrame, pairs: DataFrame, seed: str = "r", word: str = "wo
     chosen = F.element_at("b.sources", (digest % F.size("b.sources") + 1).cast("int"))
     joined = F.when(F.col("b.rank") == 0, X.match_case("word", chosen)).when(F.col("b.rank") == 1, F.concat("b.other", F.lower(chosen))).otherwise(F.concat(X.match_case("b.part", chosen), "b.other"))
     return best.select("word", joined.alias("source"), F.element_at(F.array(*map(F.lit, ("exact", "suffix", "head"))), F.col("b.rank") + 1).alias("how"))
+
+
+def cascade(words: DataFrame, listed: DataFrame, forms: DataFrame, heads: DataFrame, word: str = "word", rest: int = 3) -> DataFrame:
+    """Distinct words that are of the region: ``word``, ``how`` (exact, suffix or head), ``entry``.
+
+    A word of ``listed(surface, entry)`` in any case comes first, then one that ends with a form of
+    ``forms``, then one that begins with a head of ``heads``, both with ``rest`` letters more.
+    """
+    asked = words.select(F.col(word).alias("word")).distinct()
+    own = small(listed.groupBy(F.lower("surface").alias("key")).agg(F.min("entry").alias("entry")))
+    found = [asked.withColumn("key", F.lower("word")).join(own, "key").select("word", F.lit(0).alias("step"), F.col("entry").cast("int").alias("entry"))]
+    found.append(suffix(asked, forms, rest=rest).select("word", F.lit(1).alias("step"), F.col("entry").cast("int").alias("entry")))
+    found.append(prefix(asked, heads, rest=rest).join(small(heads.select("head", "ord")), "head").select("word", F.lit(2).alias("step"), F.col("ord").cast("int").alias("entry")))
+    every = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("word").agg(F.min(F.struct("step", "entry")).alias("b"))
+    return every.select("word", F.element_at(F.array(*map(F.lit, ("exact", "suffix", "head"))), F.col("b.step") + 1).alias("how"), "b.entry")

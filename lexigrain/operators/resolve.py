@@ -7,6 +7,7 @@ stronger one are not comparable with it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spans import best_kind, overlapping
+
 #: Fewer training examples than this of a spelling, and a cue outranks the scorer.
 EVIDENCE = 20
 
@@ -58,9 +61,23 @@ def trigram_scorer(grams: dict[str, float], floor: float = -8.0) -> Callable[[li
     return score
 
 
-def softmax_first(a: Column, b: Column) -> Column:
-    """Probability of the second of two logits."""
-    return 1 / (1 + F.exp(a - b))
+def scorer_of(grams: DataFrame, lang: str, floor: float = -8.0) -> Callable[[list[str]], list[float]]:
+    """The trigram scorer of a language's table ``grams(lang, gram, cost)``; costs are tenths of -log10, and there are as many as the listed words have."""
+    rows = grams.filter(F.col("lang") == lang).select("gram", "cost").collect()
+    return trigram_scorer({r.gram: -r.cost / 10 * math.log(10) for r in rows}, floor)
+
+
+def spelling_probability(plain: Column, variant: Column) -> Column:
+    """Probability of the second of two spellings from the scores of the texts with each."""
+    return 1 / (1 + F.exp(plain - variant))
+
+
+def name_probability(spans: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """``key``, ``start``, ``end``, ``p``, ``kind`` of spans: the surest token's probability of not being outside a name, and its kind.
+
+    ``tokens(key, start, end, outside, kind)`` has a model's probability of "outside" and the kind it prefers otherwise.
+    """
+    return best_kind(spans, tokens.withColumn("p", 1 - F.col("outside")).drop("outside"), key)
 
 
 def eszett(p: Column, rule: Column, fixed: Column, cue: Column, seen: Column, margin: float = 0.1) -> Column:
@@ -109,3 +126,15 @@ def explained(src: Column, dst: Column, options: Column, is_open: Column) -> Col
     spelling = (F.replace(src, F.lit("ss"), F.lit("ß")) == dst) | (F.replace(dst, F.lit("ß"), F.lit("ss")) == src)
     listed = F.concat(F.lit("chosen over "), F.array_join(F.slice(others, 1, 3), ", "))
     return F.when(is_open & (F.size(others) > 0), listed).when(spelling, "spelling").when(src.contains(" ") | dst.contains(" "), "usage").otherwise("word")
+
+
+def why(edits: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
+    """``edits(key, start, end, src, dst)`` with ``reason``: what the first decision that overlaps each says of it.
+
+    ``pieces(key, start, end, options, is_open)`` are the decisions as they lie in the text.
+    """
+    hit = overlapping(edits.select(key, "start", "end"), pieces, key)
+    first = hit.groupBy(key, "start", "end").agg(F.min_by(F.struct("options", "is_open"), "start2").alias("d"))
+    told = edits.join(first, [key, "start", "end"], "left")
+    none = F.array().cast("array<string>")
+    return told.select(*edits.columns, explained(F.col("src"), F.col("dst"), F.coalesce("d.options", none), F.coalesce("d.is_open", F.lit(False))).alias("reason"))

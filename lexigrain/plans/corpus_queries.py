@@ -132,18 +132,36 @@ def context_windows(spark, sf):
     return hit.select("doc_id", "place", X.around("text", F.col("place"), F.col("place") + 2, 30).alias("around"))
 
 
-@query("""WITH w AS (SELECT unnest(['cafe´', 'caf´e', 'u¨ber', '¨uber', 'gar¸con', '˜nino', 'l`a', '^ile', '´']) AS typed)
-SELECT typed, replace(replace(replace(replace(replace(replace(typed, '´e', 'é'), '¨u', 'ü'), '¨b', '¨b'), '¸c', 'ç'), '˜n', 'ñ'), '`a', 'à') AS partly FROM w WHERE typed <> '^ile'""")
+SQL_TYPED = """w AS (SELECT p_partkey AS key, p_name || ' ' || a || l || substr(p_type, 2) || ' ' || a || ' x^e `a`' AS typed FROM part,
+  (SELECT unnest(['´', '¨', 'ˆ', '˜', '¸', '˚', 'ˇ', '˘', '˙', '˝', '¯', '˛']) AS a), (SELECT unnest(['a', 'E', 'c', 'n', 'u', 'ß', 'z', 'O']) AS l))"""
+
+
+@query("WITH " + SQL_TYPED + """, m AS (SELECT key, typed, unnest(regexp_extract_all(typed, '[´¨ˆ˜¸˚ˇ˘˙˝¯˛]\\p{L}|[^´¨ˆ˜¸˚ˇ˘˙˝¯˛]+|[´¨ˆ˜¸˚ˇ˘˙˝¯˛]')) AS s, unnest(range(0, len(regexp_extract_all(typed, '[´¨ˆ˜¸˚ˇ˘˙˝¯˛]\\p{L}|[^´¨ˆ˜¸˚ˇ˘˙˝¯˛]+|[´¨ˆ˜¸˚ˇ˘˙˝¯˛]')))) AS i FROM w),
+n AS (SELECT *, nfc_normalize(substr(s, 2, 1) || translate(left(s, 1), '´¨ˆ˜¸˚ˇ˘˙˝¯˛', '\u0301\u0308\u0302\u0303\u0327\u030a\u030c\u0306\u0307\u030b\u0304\u0328')) AS c FROM m)
+SELECT key, typed, string_agg(CASE WHEN length(s) = 2 AND left(s, 1) IN ('´', '¨', 'ˆ', '˜', '¸', '˚', 'ˇ', '˘', '˙', '˝', '¯', '˛') AND length(c) = 1 THEN c ELSE s END, '' ORDER BY i) AS composed FROM n GROUP BY 1, 2""")
 def accents_composed(spark, sf):
-    typed = spark.range(1).select(F.explode(F.array(*map(F.lit, ["cafe´", "caf´e", "u¨ber", "¨uber", "gar¸con", "˜nino", "l`a", "´"]))).alias("typed"))
-    return typed.select("typed", X.compose_accents("typed").alias("partly"))
+    accents, letters = (F.explode(F.array(*map(F.lit, x))) for x in ("´¨ˆ˜¸˚ˇ˘˙˝¯˛", "aEcnußzO"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_name", "p_type", accents.alias("a")).select("*", letters.alias("l"))
+    typed = F.concat("p_name", F.lit(" "), "a", "l", F.substring("p_type", 2, 1000), F.lit(" "), "a", F.lit(" x^e `a`"))
+    return part.select("key", typed.alias("typed")).select("key", "typed", X.compose_accents("typed").alias("composed"))
+
+
+@query("SELECT doc_id, md5(nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)))) AS text_md5 FROM documents")
+def nfc_texts(spark, sf):
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return _docs(spark, sf).select("doc_id", F.md5(X.normalised(apart)).alias("text_md5"))
+
+
+SQL_PRICES = """p AS (SELECT p_partkey AS key, CAST(floor(p_retailprice) AS BIGINT) AS francs, lpad(CAST(CAST(round(p_retailprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS cents, p_size FROM part)"""
 
 
-@query("""SELECT * FROM (VALUES ('1''250''000.50 in all', '1.250.000,50 in all'), ('CHF 12.50 or 3.– Franken', 'CHF 12,50 or 3,– Franken'), ('Fr. 1''200.00!', 'Fr. 1.200,00!'), ('version 1.2.3 of 12.50', 'version 1.2.3 of 12.50'), ('12''34 and 1''000x', '12''34 and 1.000x')) AS t(swiss, german)""")
+@query("WITH " + SQL_PRICES + """ SELECT key, 'Teil ' || key || ': CHF ' || CASE WHEN francs >= 1000 THEN (francs // 1000) || '.' || lpad(CAST(francs % 1000 AS VARCHAR), 3, '0') ELSE CAST(francs AS VARCHAR) END || ',' || cents || ' oder ' || p_size || ',– Franken, Fassung 1.2.3, Lager 1.' || lpad(CAST(p_size AS VARCHAR), 3, '0') || ' von 12''34 zu 12.50 m' AS german FROM p""")
 def numbers_and_prices(spark, sf):
-    texts = ["1'250'000.50 in all", "CHF 12.50 or 3.– Franken", "Fr. 1'200.00!", "version 1.2.3 of 12.50", "12'34 and 1'000x"]
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, texts))).alias("swiss"))
-    return rows.select("swiss", X.prices(X.thousands("swiss")).alias("german"))
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    francs, rest = F.floor(F.col("p_retailprice")), F.lpad((cents % 100).cast("string"), 2, "0")
+    grouped = F.when(francs >= 1000, F.concat(F.floor(francs / 1000).cast("string"), F.lit("'"), F.lpad((francs % 1000).cast("string"), 3, "0"))).otherwise(francs.cast("string"))
+    swiss = F.concat(F.lit("Teil "), F.col("p_partkey").cast("string"), F.lit(": CHF "), grouped, F.lit("."), rest, F.lit(" oder "), F.col("p_size").cast("string"), F.lit(".– Franken, Fassung 1.2.3, Lager 1'"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(" von 12'34 zu 12.50 m"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), X.prices(X.thousands(swiss)).alias("german"))
 
 
 # ---- filters
@@ -479,9 +497,10 @@ def html_text(spark, sf):
     return page_texts(table(spark, sf, "pages"))
 
 
-@query("""SELECT conv_id, left(string_agg(text, chr(10) ORDER BY turn), 1000) AS head FROM conversations GROUP BY conv_id""")
+@query("""SELECT doc_id AS key, left(string_agg(line, chr(10) ORDER BY ix), 20000) AS head FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS ix FROM documents) GROUP BY doc_id""")
 def document_heads(spark, sf):
-    return C.heads(table(spark, sf, "conversations"), "conv_id", "turn", most=1000)
+    rows = _docs(spark, sf).select(F.col("doc_id").alias("key"), F.posexplode(F.split("text", "\n")).alias("ix", "text"))
+    return C.heads(rows, "key", "ix")
 
 
 @query("""SELECT doc_id, CASE WHEN lang = 'de' AND source <> 'src2' AND NOT (source = 'src4' AND len(regexp_extract_all(text, '\\p{L}+')) <= 3) THEN TRUE ELSE FALSE END AS eligible FROM documents""")

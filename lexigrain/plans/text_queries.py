@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import convert as V
+from ..operators import corpus as C
+from ..operators import langid as L
 from ..operators import pages as P
 from ..operators import resolve as R
 from ..operators import spans as S
 from ..operators.rules import SEED, RuleSet
-from ..sources.tables import table
+from ..sources.tables import saved, table
 from ..streaming import updates as U
 
 QUERIES: dict = {}
@@ -62,15 +65,17 @@ def convert_text(spark, sf):
 @query()
 def convert_documents(spark, sf):
     """The whole documents; of the seed's rules mostly those on ss find something in them."""
-    out = V.converted(table(spark, sf, "documents").select("doc_id", "text"), _maker)
+    out = V.converted(table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"), _maker)  # conversion is dear, so the rows are dealt evenly
     return out.select("doc_id", "converted.changes", F.size("converted.decisions").alias("n_decisions"), F.md5("converted.text").alias("text_md5"))
 
 
 @query()
 def resolve_choices(spark, sf):
-    scorer = R.trigram_scorer({"^^z": -1.0, " um": -1.0, "um$": -1.0})
-    done = _converted(spark)
-    return R.rendered(done, "n", R.resolved(done, "n", scorer))
+    """The converted documents, their open choices decided by the letter trigrams of their own German."""
+    docs = table(spark, sf, "documents")
+    scorer = R.scorer_of(L.build(docs).grams, "de")
+    done = saved(V.converted(docs.select("doc_id", "text").repartition("doc_id"), _maker).select("doc_id", "converted"), "converted")
+    return R.rendered(done, "doc_id", R.resolved(done, "doc_id", scorer)).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query("""SELECT * FROM (VALUES (1, 'Masse', 'Maße', [TRUE]), (2, 'Masse', 'Masse', [FALSE]), (3, 'Grossstrasse', 'Großstrasse', [TRUE, FALSE]), (4, 'Masse', 'Maße', [TRUE]), (5, 'Masse', 'Masse', [FALSE])) AS t(n, word, spelt, choice)""")
@@ -120,31 +125,111 @@ def model_disagreements(spark, sf):
     return S.disagreements(docs.select("doc_id", (n % 3).alias("label")), docs.select("doc_id", (n % 2).alias("label")), labels, ["doc_id"])
 
 
-@query()
+#: Each place of "tion" is an edit; a diff shows the words that hold one, and those with less than three tokens between as one.
+SQL_EDITS = """places AS (SELECT conv_id, turn, text, unnest(range(0, len(parts) - 1)) AS i, parts FROM (SELECT *, string_split(text, 'tion') AS parts FROM conversations)),
+edits AS (SELECT conv_id, turn, text, i, CAST(len(array_to_string(parts[1:i + 1], 'tion')) AS BIGINT) AS start FROM places)"""
+
+
+@query("WITH " + SQL_EDITS + ", w AS (SELECT *, length(regexp_extract(left(text, start), '\\p{L}*$')) AS head, length(regexp_extract(substr(text, start + 5), '^\\p{L}*')) AS tail FROM edits), " + """
+words AS (SELECT conv_id, turn, start - head AS start, start + 4 + tail AS stop, text, count(*) AS n FROM w GROUP BY ALL),
+lagged AS (SELECT *, lag(stop) OVER (PARTITION BY conv_id, turn ORDER BY start) AS before FROM words),
+marked AS (SELECT *, CASE WHEN before IS NULL OR len(regexp_extract_all(substr(text, before + 1, start - before), '\\p{L}+|\\p{N}+(?:[''’.,]\\p{N}+)*|\\s+|[^\\p{L}\\p{N}\\s]')) >= 3 THEN 1 ELSE 0 END AS new FROM lagged),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY start) AS island FROM marked),
+spans AS (SELECT conv_id, turn, any_value(text) AS text, min(start) AS start, max(stop) AS stop FROM islands GROUP BY conv_id, turn, island)
+SELECT conv_id, turn, CAST(length(replace(left(text, start), 'tion', 'zion')) AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", substr(text, start + 1, stop - start) AS src, replace(substr(text, start + 1, stop - start), 'tion', 'zion') AS dst FROM spans""")
 def text_changes(spark, sf):
     docs = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    new = F.regexp_replace("text", r"\b(\p{L}{3})tion\b", "$1zion")
+    new = F.replace("text", F.lit("tion"), F.lit("zion"))
     return docs.select("conv_id", "turn", F.explode(S.changes_udf(F.col("text"), new)).alias("e")).select("conv_id", "turn", "e.*")
 
 
+def _edits(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "conv_id", "turn", "text", F.split("text", "tion").alias("parts"))
+    at = F.length(F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), "tion"))
+    return rows.filter(F.size("parts") > 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("parts") - 2))).select("key", "conv_id", "turn", at.alias("start"), (at + 4).alias("end"), F.lit("tion").alias("src"), F.lit("zion").alias("dst"))
+
+
+@query("WITH " + SQL_EDITS + """ SELECT conv_id, turn, count(*) AS n, count(DISTINCT 'tion') AS kinds FROM edits GROUP BY 1, 2
+UNION ALL SELECT conv_id, NULL, count(*), 1 FROM edits GROUP BY 1""")
+def counts_by_page(spark, sf):
+    return C.page_counts(_edits(spark, sf), "conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, md5(replace(text, 'tion', 'zion')) AS text_md5, CAST(ceil(length(text) / 7.0) AS BIGINT) AS pieces FROM conversations WHERE length(text) > 0")
+def fragments_edited(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text").filter(F.length("text") > 0)
+    parts = rows.select("key", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(7))).alias("start"), "text").select("key", F.floor(F.col("start") / 7).alias("ix"), "start", F.least(F.col("start") + 7, F.length("text")).alias("end"), F.substring("text", F.col("start") + 1, F.lit(7)).alias("str"))
+    new = P.edited_fragments(parts, _edits(spark, sf).select("key", "start", "end", "dst"), "key")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ix", "str"))), lambda x: x["str"]), "")
+    out = new.groupBy("key").agg(F.md5(text).alias("text_md5"), F.count("*").alias("pieces"))
+    return out.select(F.substring_index("key", ":", 1).cast("long").alias("conv_id"), F.substring_index("key", ":", -1).cast("long").alias("turn"), "text_md5", "pieces")
+
+
+@query("WITH " + SQL_EDITS + """, d AS (SELECT *, start // 50 AS piece FROM edits), o AS (SELECT *, piece % 3 AS kind FROM d)
+SELECT conv_id, turn, CAST(start AS BIGINT) AS start, CASE kind WHEN 0 THEN 'chosen over x, y' ELSE 'word' END AS reason FROM o""")
+def change_reasons(spark, sf):
+    edits = _edits(spark, sf)
+    pieces = table(spark, sf, "conversations").filter(F.length("text") > 0).select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(50))).alias("start"))
+    kind = F.floor(F.col("start") / 50) % 3
+    pieces = pieces.select("key", "start", (F.col("start") + 50).alias("end"), F.when(kind == 0, F.array(F.lit("x"), F.lit("zion"), F.lit("y"))).otherwise(F.array(F.lit("zion"))).alias("options"), (kind < 2).alias("is_open"))
+    return R.why(edits, pieces, "key").select("conv_id", "turn", F.col("start").cast("long").alias("start"), "reason")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{L}+')) AS word, unnest(range(0, len(regexp_extract_all(text, '\\p{L}+')))) AS ix FROM documents),
+m AS (SELECT doc_id, ix, length(word) % 10 / 10.0 AS outside, CASE length(word) % 3 WHEN 0 THEN 'PER' WHEN 1 THEN 'LOC' ELSE 'OTH' END AS kind FROM w)
+SELECT doc_id, ix // 10 AS span, round(max(1 - outside), 6) AS p, arg_max(kind, (round(1 - outside, 6), kind)) AS kind FROM m GROUP BY 1, 2""")
+def name_probabilities(spark, sf):
+    words = table(spark, sf, "documents").select("doc_id", F.posexplode(X.letter_words("text")).alias("ix", "word"))
+    n = F.length("word")
+    tokens = words.select("doc_id", F.col("ix").alias("start"), (F.col("ix") + 1).alias("end"), F.round(n % 10 / 10, 6).alias("outside"), F.when(n % 3 == 0, "PER").when(n % 3 == 1, "LOC").otherwise("OTH").alias("kind"))
+    spans = words.groupBy("doc_id", F.floor(F.col("ix") / 10).alias("span")).agg(F.min("ix").alias("start"), (F.max("ix") + 1).alias("end")).drop("span")
+    found = R.name_probability(spans, tokens, "doc_id")
+    return found.select("doc_id", F.floor(F.col("start") / 10).alias("span"), F.round("p", 6).alias("p"), "kind")
+
+
 @query()
 def segmented_words(spark, sf):
-    """Common words of the documents run together in pairs and cut again at what the words cost."""
+    """Neighbouring words of the conversations run together, the second with a capital, and cut again at what words cost in English."""
     from pyspark.sql import types as T
 
-    from ..operators import langid as L
+    words = L.build(table(spark, sf, "documents")).words.filter("lang = 'en'").groupBy("word").agg(F.min("cost").alias("cost"))
+    shared = spark.sparkContext.broadcast({r.word: r.cost / 10 for r in words.collect()})  # the listed words of one language
 
-    docs = table(spark, sf, "documents")
-    words = L.build(docs, 400, 400).words.filter("lang = 'en' AND length(word) > 3").groupBy("word").agg(F.min("cost").alias("cost"))
-    top = {r.word: r.cost / 10 for r in words.collect()}  # 400 rows at most
-    shared = spark.sparkContext.broadcast(top)
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(x: pd.Series) -> pd.Series:
+        return x.map(lambda letters: S.segment(letters, shared.value))
+
+    found = table(spark, sf, "conversations").select(X.letter_words("text").alias("w")).filter(F.size("w") > 1)
+    pairs = found.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
+    return pairs.select(F.concat("p.a", F.initcap("p.b")).alias("letters")).distinct().select("letters", cut("letters").alias("words"))
+
+
+#: Fragments made of the documents: each line in pieces of 40 characters, of a size and place that its number gives.
+SQL_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents),
+k AS (SELECT doc_id, n, line, CASE WHEN n % 5 = 0 THEN 16.0 ELSE 10.0 END AS h, CASE WHEN n % 7 = 3 THEN 80.0 ELSE 50.0 END AS x, -12.0 * n - CASE WHEN n % 4 >= 2 THEN 30 ELSE 0 END AS y FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS place, x + length(line) AS "right" FROM k)"""
 
-    @F.udf(T.ArrayType(T.StringType()), useArrow=True)
-    def cut(x):
-        return S.segment(x, shared.value, common=10.0)
 
-    pairs = words.join(words.select(F.col("word").alias("other")), F.xxhash64("word") % 7 == F.xxhash64("other") % 7)
-    return pairs.select(F.concat("word", F.initcap("other")).alias("letters")).select("letters", cut("letters").alias("words"))
+def _page_fragments(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter(F.trim(F.translate("line", "\t\r", "  ")) != "")
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("line") - 1, F.lit(40))))
+    piece = F.substring("line", F.col("at") + 1, F.lit(40))
+    x = F.when(F.col("n") % 7 == 3, 80.0).otherwise(50.0)
+    return rows.select(F.col("doc_id").alias("page"), (F.col("n").cast("long") * (1 << 20) + F.col("at")).alias("ix"), piece.alias("str"), (F.col("at") + 40 >= F.length("line")).alias("eol"), (x + F.col("at")).alias("x"), (-12.0 * F.col("n") - F.when(F.col("n") % 4 >= 2, 30).otherwise(0)).alias("y"), F.length(piece).cast("double").alias("w"), F.when(F.col("n") % 5 == 0, 16.0).otherwise(10.0).alias("h"))
+
+
+@query("WITH " + SQL_LINES + """, p AS (SELECT *, lag(y) OVER w AS ly, lag(h) OVER w AS lh, lag(x) OVER w AS lx FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+m AS (SELECT *, CAST(sum(CASE WHEN ly IS NULL OR abs(ly - y) > 1.6 * lh OR abs(h - lh) > 0.1 * lh OR x - lx > 1.5 * lh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) - 1 AS paragraph FROM p)
+SELECT doc_id AS page, CAST(place AS INTEGER) AS line, paragraph, CAST("right" AS DOUBLE) AS right_edge, CAST(max("right") OVER (PARTITION BY doc_id, paragraph ORDER BY n ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS so_far FROM m""")
+def page_lines(spark, sf):
+    rows = P.running_right(P.with_paragraphs(P.lines(_page_fragments(spark, sf))))
+    return rows.select("page", "line", "paragraph", F.col("right").alias("right_edge"), "so_far")
+
+
+@query("WITH " + SQL_LINES + """, e AS (SELECT doc_id, x, max("right") AS edge FROM r GROUP BY 1, 2)
+SELECT doc_id AS page, CAST(place AS INTEGER) AS line, CAST(edge AS DOUBLE) AS edge, CAST(greatest(0, edge - "right") AS DOUBLE) AS room, "right" < 0.85 * edge AS open FROM r JOIN e USING (doc_id, x)""")
+def line_room(spark, sf):
+    return P.room(P.column_edges(P.lines(_page_fragments(spark, sf)))).select("page", "line", "edge", "room", "open")
 
 
 @query("""SELECT * FROM (VALUES (1, 0, 'Eine Überschrift'), (1, 1, 'Der Text läuft über mehrere Zeilen und endet hier.'), (1, 2, 'Vor- und Nachteile')) AS t(page, paragraph, text)""")
@@ -163,26 +248,44 @@ def page_columns(spark, sf):
     return P.column_edges(P.lines(_fragments(spark))).select("page", "line", "edge")
 
 
+def _stream(spark, sf, files=4, order="event_id"):
+    """The events as a stream of as many batches as files."""
+    events = table(spark, sf, "events")
+    return U.replay(spark, U.scattered(events, U.work_folder(spark, "events"), order, files), events)
+
+
 @query("""WITH last AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2) SELECT user_id, event_type, v AS value FROM last""")
 def stream_latest(spark, sf):
-    like = table(spark, sf, "events")
-    stream = U.latest(U.replay(spark, f"{sf}/events*.parquet", like), ["user_id", "event_type"], "ts", "value", "event_id")
+    stream = U.latest(_stream(spark, sf), ["user_id", "event_type"], "ts", "value", "event_id")
     rows = spark.read.parquet(U.collected(stream, U.work_folder(spark, "latest")))
     return rows.groupBy("user_id", "event_type").agg(F.max_by("value", "batch_no").alias("value"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_new_rows(spark, sf):
-    like = table(spark, sf, "events")
-    stream = U.new_texts(U.replay(spark, f"{sf}/events*.parquet", like), "user_id", "event_type", "ts", "3650 days").select("user_id", "event_type")
+    stream = U.new_texts(_stream(spark, sf), "user_id", "event_type", "ts", "3650 days").select("user_id", "event_type")
     return spark.read.parquet(U.collected(stream, U.work_folder(spark, "new"), "append")).select("user_id", "event_type")
 
 
-@query("SELECT event_id, upper(event_type) AS shown, 2 AS phase FROM events")
+@query("""WITH v AS (SELECT user_id, event_type, event_id AS version, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events)
+SELECT user_id, event_type, version, upper(event_type) || ':' || version AS shown, 2 AS phase FROM v WHERE r = 1""")
 def stream_two_phases(spark, sf):
-    like = table(spark, sf, "events")
-    stream = U.replay(spark, f"{sf}/events*.parquet", like).select("event_id", "event_type", F.lit(1).alias("version"))
+    """Of each key the newest version's better result; results of older versions, from this batch or earlier ones, are stale."""
+    stream = _stream(spark, sf).select(F.concat_ws("/", "user_id", "event_type").alias("key"), "user_id", "event_type", F.col("event_id").alias("version"))
     folder = U.work_folder(spark, "phases")
-    U.finish(U.two_phases(stream, folder, lambda b: b.withColumn("shown", F.col("event_type")), lambda b: b.withColumn("shown", F.upper("event_type"))), f"{folder}-state")
+    U.finish(U.two_phases(stream, folder, lambda b: b.withColumn("shown", F.col("event_type")), lambda b: b.withColumn("shown", F.concat(F.upper("event_type"), F.lit(":"), F.col("version").cast("string")))), f"{folder}-state")
     rows = spark.read.parquet(f"{folder}/batch=*/phase_*")
-    return U.current(rows, "event_id").select("event_id", "shown", "phase")
+    return U.current(rows, "key").select("user_id", "event_type", "version", "shown", "phase")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value > 50 AS hit, event_type = 'logout' OR event_id % 40 = 0 AS gone FROM events),
+g AS (SELECT *, coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM e),
+c AS (SELECT *, count(*) OVER w AS n, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER w AS hits FROM g WINDOW w AS (PARTITION BY user_id, life ORDER BY event_id)),
+v AS (SELECT user_id, event_id, life, 2 * hits > n AS verdict FROM c WHERE n >= 3),
+d AS (SELECT *, lag(verdict) OVER (PARTITION BY user_id, life ORDER BY event_id) AS before FROM v)
+SELECT user_id, event_id, verdict FROM d WHERE before IS NULL OR before <> verdict""")
+def stream_verdicts(spark, sf):
+    """Verdicts that later rows turn, sent only when they change, with the state dropped when a key closes."""
+    stream = _stream(spark, sf).select("user_id", "event_id", (F.col("value") > 50).alias("hit"), ((F.col("event_type") == "logout") | (F.col("event_id") % 40 == 0)).alias("gone"))
+    found = U.verdicts(stream, "user_id", "event_id", "hit", "gone")
+    return spark.read.parquet(U.collected(found, U.work_folder(spark, "verdicts"), "append")).select("user_id", "event_id", "verdict")

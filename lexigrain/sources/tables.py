@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; a temporary one only in a local session without it."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lexigrain-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to the shared folder and read again: its plan runs once, and its size in bytes is known to the joins that follow."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """``line`` for each line of text files, at most ``limit`` of them."""
+    """``line`` for each line of text files; with ``limit`` the first of them by file and place."""
     found = spark.read.text(path).withColumnRenamed("value", "line")
-    return found if limit is None else found.limit(limit)
+    if limit is None:
+        return found
+    placed = found.withColumn("__file", F.input_file_name()).withColumn("__at", F.monotonically_increasing_id())
+    return placed.orderBy("__file", "__at").limit(limit).select("line")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -85,3 +107,15 @@ def write_once(df: DataFrame, path: str, key: str) -> str:
     target = f"{path}/{key}"
     df.write.mode("ignore").parquet(target)
     return target
+
+
+def confident(df: DataFrame, score: str, least: float = 0.85) -> DataFrame:
+    """Rows whose language score is ``least`` or more; one without a score goes."""
+    return df.filter(F.col(score) >= least)
+
+
+def first_per_split(rows: DataFrame, split: str, order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each split in an order."""
+    from ..operators.corpus import top_per_key
+
+    return top_per_key(rows, [split], [F.col(c) for c in order], k, order).drop("rank")

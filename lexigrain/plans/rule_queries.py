@@ -137,14 +137,44 @@ def np_rewrite(spark, sf):
     return out.select("np_id", "num", "case", F.when(F.col("np_id") == 2, F.concat(F.lit("mit "), "text")).otherwise(F.col("text")).alias("text"))
 
 
-@query("""SELECT * FROM (VALUES ('der', 'f', 2), ('der', 'f', 3), ('der', 'm', 0), ('der', 'p', 3), ('einem', 'm', 2), ('einem', 'n', 2), ('zur', 'f', 2)) AS t(form, cell, "case")""")
+#: Paradigms as a grammar prints them: cell, and the four cases in order.
+SQL_PARADIGMS = """cells AS (SELECT * FROM (VALUES
+  ('def', 'm', ['der', 'den', 'dem', 'des']), ('def', 'f', ['die', 'die', 'der', 'der']), ('def', 'n', ['das', 'das', 'dem', 'des']), ('def', 'p', ['die', 'die', 'den', 'der']),
+  ('der', 'm', ['er', 'en', 'em', 'es']), ('der', 'f', ['e', 'e', 'er', 'er']), ('der', 'n', ['es', 'es', 'em', 'es']), ('der', 'p', ['e', 'e', 'en', 'er']),
+  ('ein', 'm', ['', 'en', 'em', 'es']), ('ein', 'f', ['e', 'e', 'er', 'er']), ('ein', 'n', ['', '', 'em', 'es']), ('ein', 'p', ['e', 'e', 'en', 'er']),
+  ('rel', 'm', ['der', 'den', 'dem', 'dessen']), ('rel', 'f', ['die', 'die', 'der', 'deren']), ('rel', 'n', ['das', 'das', 'dem', 'dessen']), ('rel', 'p', ['die', 'die', 'denen', 'deren'])) AS t(kind, cell, forms)),
+stems AS (SELECT 'der' AS kind, unnest(['all', 'dies', 'jed', 'jen', 'manch', 'solch', 'welch']) AS stem UNION ALL SELECT 'ein', unnest(['dein', 'ein', 'euer', 'ihr', 'kein', 'mein', 'sein', 'unser']) UNION ALL SELECT 'def', ''),
+ends AS (SELECT kind, cell, unnest(forms) AS ending, unnest(range(0, 4)) AS c FROM cells),
+dets AS (SELECT kind, stem, cell, c, CASE WHEN stem = 'euer' AND ending <> '' THEN 'eur' ELSE stem END || ending AS form FROM ends JOIN stems USING (kind) WHERE NOT (stem = 'ein' AND cell = 'p')),
+shorts AS (SELECT * FROM (VALUES ('am', 'dem'), ('ans', 'das'), ('aufs', 'das'), ('beim', 'dem'), ('durchs', 'das'), ('fürs', 'das'), ('im', 'dem'), ('ins', 'das'), ('ums', 'das'), ('vom', 'dem'), ('zum', 'dem'), ('zur', 'der')) AS t(short, article))"""
+
+
+@query("WITH " + SQL_PARADIGMS + """ SELECT DISTINCT form, cell, CAST(c AS INTEGER) AS "case" FROM (SELECT form, cell, c FROM dets UNION ALL SELECT short, cell, c FROM shorts JOIN dets ON kind = 'def' AND form = article)""")
 def determiner_cells(spark, sf):
-    return M.determiner_cells(spark).filter(F.col("form").isin("der", "einem", "zur")).filter((F.col("form") != "zur") | (F.col("case") == 2))
+    return M.determiner_cells(spark)
 
 
-@query("""SELECT * FROM (VALUES ('der', 'm', 'f', 'die', 0), ('den', 'm', 'f', 'die', 0), ('dem', 'm', 'f', 'der', 0), ('dessen', 'm', 'f', 'deren', 0)) AS t(word, old_cell, new_cell, form, rank)""")
+@query("WITH " + SQL_PARADIGMS + """, pairs AS (SELECT o.ending AS word, o.cell AS old_cell, n.cell AS new_cell, n.ending AS form, min(o.c) AS c FROM ends o JOIN ends n ON o.kind = 'rel' AND n.kind = 'rel' AND o.c = n.c GROUP BY 1, 2, 3, 4)
+SELECT word, old_cell, new_cell, form, CAST(row_number() OVER (PARTITION BY word, old_cell, new_cell ORDER BY c) - 1 AS INTEGER) AS rank FROM pairs""")
 def relative_followers(spark, sf):
-    return M.followers(spark, M.RELATIVE).filter("old_cell = 'm' AND new_cell = 'f'")
+    return M.followers(spark, M.RELATIVE)
+
+
+@query("WITH " + SQL_PARADIGMS + """, adjectives AS (SELECT * FROM (VALUES ('weak', 'm', ['e', 'en', 'en', 'en']), ('weak', 'f', ['e', 'e', 'en', 'en']), ('weak', 'n', ['e', 'e', 'en', 'en']), ('weak', 'p', ['en', 'en', 'en', 'en']),
+  ('mixed', 'm', ['er', 'en', 'en', 'en']), ('mixed', 'f', ['e', 'e', 'en', 'en']), ('mixed', 'n', ['es', 'es', 'en', 'en']), ('mixed', 'p', ['en', 'en', 'en', 'en'])) AS t(decl, cell, forms)),
+adj AS (SELECT decl, cell, unnest(forms) AS ending, unnest(range(0, 4)) AS c FROM adjectives),
+phrases AS (SELECT d.form || ' ' || 'neu' || a.ending || ' Entscheid' || CASE WHEN c = 3 THEN 's' ELSE '' END AS swiss, d.kind, d.stem, c FROM dets d JOIN adj a USING (cell, c) WHERE d.cell = 'm' AND a.decl = CASE d.kind WHEN 'ein' THEN 'mixed' ELSE 'weak' END),
+german AS (SELECT d.kind, d.stem, c, d.form || ' neu' || a.ending || ' Entscheidung' AS german FROM dets d JOIN adj a USING (cell, c) WHERE d.cell = 'f' AND a.decl = CASE d.kind WHEN 'ein' THEN 'mixed' ELSE 'weak' END)
+SELECT swiss, CAST(c AS INTEGER) AS "case", german AS text FROM phrases JOIN german USING (kind, stem, c)""")
+def np_paradigms(spark, sf):
+    """Every determiner with an adjective and a noun, read and rendered with the noun that replaces it."""
+    dets = M.determiner_rows()
+    endings = {(d, cell, case): e for d, cell, case, e in M.ending_rows()}
+    rows = [(f"{form} neu{endings[decl, cell, case]} Entscheid{'s' * (case == 3)}", form, [f"neu{endings[decl, cell, case]}"], "Entscheid" + "s" * (case == 3), case) for form, kind, stem, prep, cell, case, decl in dets if cell == "m" and prep is None]
+    phrases = spark.createDataFrame(sorted(set((r[0], r[1], tuple(r[2]), r[3], r[4]) for r in rows)), "swiss string, det string, adjs array<string>, noun string, wanted int")
+    phrases = phrases.withColumn("np_id", F.concat_ws("|", "swiss", "wanted")).withColumn("prep", F.lit(None).cast("string")).withColumn("number", F.lit("sg"))
+    out = M.rewrite(phrases.select("np_id", "det", "prep", "adjs", "noun", "number"), M.tables(spark, RuleSet.parse(SEED).nouns))
+    return out.filter(F.col("case") == F.substring_index("np_id", "|", -1).cast("int")).select(F.substring_index("np_id", "|", 1).alias("swiss"), "case", "text")
 
 
 @query("WITH " + SQL_TOP + """, pairs AS (SELECT form AS target, unnest([reverse(form), form || 'x']) AS source FROM top),
@@ -160,3 +190,16 @@ def reverse_lookup(spark, sf):
     top = _top(spark, sf)
     pairs = top.select(F.col("form").alias("target"), F.explode(F.array(F.reverse("form"), F.concat("form", F.lit("x")))).alias("source"))
     return K.reverse(_words(spark, sf), pairs)
+
+
+@query("WITH " + SQL_TOP + """, own AS (SELECT word, ord AS entry, 0 AS step FROM distinct_words JOIN top ON lower(word) = form AND ord % 3 = 0),
+ends AS (SELECT word, ord AS entry, 1 AS step FROM distinct_words JOIN top ON ord % 3 = 1 AND ends_with(lower(word), form) AND length(word) - length(form) >= 3),
+heads AS (SELECT word, ord AS entry, 2 AS step FROM distinct_words JOIN top ON ord % 3 = 2 AND starts_with(lower(word), form) AND length(word) - length(form) >= 3 WHERE substr(word, length(form) + 1, 1) = lower(substr(word, length(form) + 1, 1))),
+every AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY step, entry) AS r FROM (SELECT * FROM own UNION ALL SELECT * FROM ends UNION ALL SELECT * FROM heads))
+SELECT word, CASE step WHEN 0 THEN 'exact' WHEN 1 THEN 'suffix' ELSE 'head' END AS how, CAST(entry AS INTEGER) AS entry FROM every WHERE r = 1""")
+def regional_cascade(spark, sf):
+    top = _top(spark, sf)
+    listed = top.filter("ord % 3 = 0").select(F.col("form").alias("surface"), F.col("ord").alias("entry"))
+    forms = top.filter("ord % 3 = 1").select("form", F.col("ord").alias("entry"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("unless"))
+    heads = top.filter("ord % 3 = 2").select(F.col("form").alias("head"), F.lit("x").alias("repl"), F.lit(None).cast("string").alias("unless"), "ord")
+    return K.cascade(_words(spark, sf), listed, forms, heads)

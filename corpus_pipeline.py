@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.llm import decontam, mixing, quality, resharding, simhash
-from lexigrain.llm.common import crc_text, saved, shared_folder, table
+from lexigrain.llm.common import crc_text, dropped, saved, shared_folder, table
 
 SHARDS = 8
 
@@ -64,11 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each one's rows written and read again for the next."""
+    """The stages over ``documents``, each one's rows written and read again for the next; what the one before has written goes then."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = saved(docs, f"{folder}/{i}")
+            if i:
+                dropped(spark, f"{folder}/{i - 1}")
     return docs

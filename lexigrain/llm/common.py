@@ -50,6 +50,12 @@ def saved(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared checkpoint folder."""
     sc = spark.sparkContext

@@ -18,7 +18,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, told_apart
+from .common import cut, dropped, free_name, told_apart
 
 #: Rows of a block, about.
 BLOCK_ROWS = 2048
@@ -156,6 +156,5 @@ def rewrite(resharded: DataFrame, path: str) -> list[int]:
         rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
         for n in moved:
             if n not in filled:
-                folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"shard={n}")
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+                dropped(spark, f"{path}/shard={n}")
     return moved

@@ -56,13 +56,18 @@ IDENTITY = (
 )
 
 
+def own_feature(word: str) -> int:
+    """The feature of the whole word."""
+    return xxhash.xxh32_intdigest(f"^{word}$".encode(), 2) % SPACE
+
+
 def word_features(word: str) -> set[int]:
     raw = f"^{word}$".encode()
     digest, n = xxhash.xxh32_intdigest, len(raw)
     out = {digest(raw[:i], 1) % SPACE for i in range(4, min(n, 11))}  # beginnings
     out.update([digest(raw[i : i + 4]) % SPACE for i in range(n - 3)])
     out.update([digest(raw[i : i + 5]) % SPACE for i in range(n - 4)])
-    out.add(digest(raw, 2) % SPACE)
+    out.add(own_feature(word))
     return out
 
 
@@ -238,10 +243,10 @@ def neutral_kinds(chosen: DataFrame) -> tuple[tuple[str, ...], ...]:
 
 
 def _choose(chosen: DataFrame, most: int, kinds: Iterable[tuple[str, ...]] = ()) -> np.ndarray:
-    """Slot of each feature, -1 where it is neither among the ``most`` that tell the classes apart best nor one of a term of ``kinds``."""
+    """Slot of each feature, -1 where it is neither among the ``most`` that tell the classes apart best nor that of a whole term of ``kinds``."""
     swapped = np.zeros(SPACE, bool)
     for term in {w for kind in kinds for w in kind}:
-        swapped[list(word_features(term))] = True
+        swapped[own_feature(term)] = True
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, seen = np.zeros((2, SPACE), np.int64), _Words(word_features)

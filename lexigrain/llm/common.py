@@ -64,12 +64,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def told_apart(docs: DataFrame, id_col: str, key: str) -> DataFrame:
+def told_apart(docs: DataFrame, id_col: str, key: str, again: bool = False) -> DataFrame:
     """``docs`` with a text in ``key`` that no two rows share: the id, as long as every row has its own.
 
     Where ids are null or repeat, it is a hash of the whole row and its number among
     equal rows. Equal rows meet as a count, made where they lie, and are
-    exploded again, so that thousands of copies are never one task's rows.
+    exploded again, so that thousands of copies are never one task's rows. Such a table is
+    written if it is read ``again``.
     """
     many = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
     if not many.head(1):
@@ -77,7 +78,8 @@ def told_apart(docs: DataFrame, id_col: str, key: str) -> DataFrame:
     n = free_name(docs, "n")
     rows = docs.groupBy(docs.columns).agg(F.count("*").alias(n)).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
     whole = F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(*docs.columns).cast("string"), F.xxhash64(F.lit(1), *docs.columns).cast("string"), F.col(n).cast("string"))
-    return rows.withColumn(key, whole).drop(n)
+    rows = rows.withColumn(key, whole).drop(n)
+    return saved(rows, shared_folder(docs.sparkSession, "rows")) if again else rows
 
 
 def joined(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner", hot: int = 1000) -> DataFrame:

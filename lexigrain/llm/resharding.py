@@ -121,7 +121,8 @@ def reshard(docs: DataFrame, old: Column, shards: int = 8, capacity: dict[int, i
         return sized.select(*kept, F.col(size).alias("size"), F.col(shard_of).alias("old_shard"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     line = cuts(solve(supply, capacity or even(sum(supply.values()), shards)))
     starts = F.broadcast(spark.createDataFrame(classes, f"{shard_of} int, {kind} int, {base} long, {many} int"))  # as many rows as sums
-    rows = told_apart(sized, id_col, row).join(starts, [shard_of, kind])
+    whole = told_apart(sized, id_col, row, again=True)
+    rows = whole.select(row, size, shard_of, kind).join(starts, [shard_of, kind])  # texts stay where they are until the places are known
     rows = rows.withColumn(mix, F.xxhash64(F.lit(seed), row)).withColumn(block, F.pmod(F.xxhash64(F.lit(seed), mix), F.col(many)).cast("int"))
     key = [shard_of, kind, block]
     totals = cut(rows.groupBy(*key, base).agg(F.sum(size).alias(n)))
@@ -133,12 +134,13 @@ def reshard(docs: DataFrame, old: Column, shards: int = 8, capacity: dict[int, i
     ways = spark.createDataFrame(line, f"{home} int, {lo} long, {hi} long, {new} int")
     rows = rows.join(F.broadcast(ways), (F.col(shard_of) == F.col(home)) & (F.col(place) >= F.col(lo)) & (F.col(place) < F.col(hi)))  # a row per pair of shards
     bits = max(1, (sum(x[3] for x in sums) // (BLOCK_ROWS * len({x[3] for x in line}))).bit_length())
-    rows = rows.withColumn(block, F.shiftright(mix, 64 - bits))
+    rows = cut(rows.select(row, mix, new, F.shiftright(mix, 64 - bits).alias(block)))
     counts = cut(rows.groupBy(new, block).agg(F.count("*").alias(n)))
     earlier = Window.partitionBy(new).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(new, block, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(first))  # one row per BLOCK_ROWS rows of a shard
     rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(new, block).orderBy(mix, row))).join(firsts, [new, block])
-    return rows.select(*kept, F.col(size).alias("size"), F.col(shard_of).alias("old_shard"), F.col(new).alias("shard"), (F.col(first) + F.col(rank) - 1).alias("slot"))
+    placed = rows.select(row, F.col(new), (F.col(first) + F.col(rank) - 1).alias(place))
+    return whole.join(placed, row).select(*kept, F.col(size).alias("size"), F.col(shard_of).alias("old_shard"), F.col(new).alias("shard"), F.col(place).alias("slot"))
 
 
 def rewrite(resharded: DataFrame, path: str) -> list[int]:

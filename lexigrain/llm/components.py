@@ -12,23 +12,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined
+from .common import cut, joined, release
 
+#: Neighbours from which on a node is a hub, whose star is joined by a broadcast.
+HUB = 1000
 
-def _hung(edges: DataFrame, centre: DataFrame, total: int) -> DataFrame:
-    return joined(edges, centre.select("a", "m"), "a", centre, total)
 
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+def _hung(edges: DataFrame, centre: DataFrame, total: int, hubs: bool) -> DataFrame:
+    found = centre.select("a", "m")
+    return joined(edges, found, "a", centre, total, hot=HUB) if hubs else edges.join(found, "a")
+
+
+def _large_star(edges: DataFrame, total: int, hubs: bool) -> DataFrame:
+    both = _both(edges)
     centre = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-    return _hung(both.filter("b > a"), centre, 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _hung(both.filter("b > a"), centre, 2 * total, hubs).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, total: int, hubs: bool) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     centre = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    hung = _hung(down, centre, total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    hung = _hung(down, centre, total, hubs).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(centre.select("a", F.col("m").alias("b")))
 
 
@@ -42,11 +50,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
               .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(rounds):
-        total = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    for step in range(rounds):
+        nodes = _both(now).groupBy("a").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"))
+        total = nodes.agg(F.sum("n"), F.bit_xor(F.xxhash64("a", "h")), F.max("n")).first()
         if not total[0] or total == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         seen = total
-        now = cut(_small_star(_large_star(now, total[0]), total[0]).distinct())
+        stars = _large_star(now, total[0] // 2, total[2] > HUB)
+        now = cut(_small_star(cut(stars) if total[2] > HUB else stars, total[0] // 2, total[2] > HUB).distinct())
+        if step % 3 == 2:
+            release(now.sparkSession)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, release
 from .components import components
 from .setjoin import _need
 from .simhash import links as close
@@ -184,6 +184,7 @@ def roots(rows: DataFrame, prints: DataFrame, words: int = WORDS, threshold: tup
     # Equal labels are in one class; different ones may be, which costs pairs but changes nothing.
     label = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
     label = cut(label)
+    release(rows.sparkSession)
     for _ in range(2):
         label = label.join(label.select(F.col("a").alias("label"), F.col("label").alias("next")), "label").select("a", F.col("next").alias("label"))
     placed = shared.select("word", "fp").join(cut(label).withColumnRenamed("a", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -193,6 +194,7 @@ def roots(rows: DataFrame, prints: DataFrame, words: int = WORDS, threshold: tup
     second = placed.alias("x").join(placed.alias("y"), (F.col("x.word") == F.col("y.word")) & apart & _alike("x", "y", threshold))
     second = second.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("c"))
     behind = F.floor((F.greatest("n", "m") * threshold[0] + (threshold[1] - 1)) / threshold[1]) - 1  # of the longer set, behind its prefix
+    release(rows.sparkSession)
     second = cut(second.filter(F.col("c") + behind >= _need(F.col("n"), F.col("m"), threshold)).select("a", "b"))
     return components(links.unionByName(_verified(second, rows, each, words, threshold)))
 

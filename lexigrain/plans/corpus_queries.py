@@ -90,11 +90,11 @@ def ss_pair_places(spark, sf):
 
 
 @query("""SELECT doc_id, replace(text, 'ß', 'ss') AS swiss, length(text) - length(replace(text, 'ß', '')) AS n_eszett,
-CAST(length(replace(substr(text, 1, 100), 'ß', 'ss')) AS INTEGER) AS place_100 FROM documents""")
+list_transform(range(0, length(text) + 1, 100), lambda i: CAST(length(replace(substr(text, 1, i), 'ß', 'ss')) AS INTEGER)) AS places FROM documents""")
 def swissified(spark, sf):
     t = F.col("text")
-    place = F.least(F.lit(100), F.length(t))
-    return _docs(spark, sf).select("doc_id", X.swissify(t).alias("swiss"), (F.length(t) - F.length(F.replace(t, F.lit("ß"), F.lit("")))).cast("long").alias("n_eszett"), X.swissify_offset(t, place).alias("place_100"))
+    places = F.transform(F.sequence(F.lit(0), F.length(t), F.lit(100)), lambda i: X.swissify_offset(t, i))
+    return _docs(spark, sf).select("doc_id", X.swissify(t).alias("swiss"), (F.length(t) - F.length(F.replace(t, F.lit("ß"), F.lit("")))).cast("long").alias("n_eszett"), places.alias("places"))
 
 
 @query("WITH " + SQL_WORDS + """, forms AS (SELECT DISTINCT word FROM words WHERE NOT contains(word, 'ß'))
@@ -125,10 +125,11 @@ def model_chunks(spark, sf):
     return _docs(spark, sf).select("doc_id", F.posexplode(X.model_chunks("text")).alias("ix", "chunk"))
 
 
-@query("""WITH p AS (SELECT doc_id, text, strpos(text, 'ss') - 1 AS place FROM documents WHERE contains(text, 'ss'))
-SELECT doc_id, CAST(place AS INTEGER) AS place, substr(text, greatest(0, place - 30) + 1, place + 32 - greatest(0, place - 30)) AS around FROM p""")
+@query("""WITH p AS (SELECT doc_id, text, string_split(text, 'ss') AS parts FROM documents WHERE contains(text, 'ss')),
+q AS (SELECT doc_id, text, CAST(length(array_to_string(parts[1:i], 'ss')) AS INTEGER) AS place FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM p))
+SELECT doc_id, place, substr(text, greatest(0, place - 30) + 1, place + 32 - greatest(0, place - 30)) AS around FROM q""")
 def context_windows(spark, sf):
-    hit = _docs(spark, sf).filter(F.col("text").contains("ss")).withColumn("place", F.locate("ss", "text") - 1)
+    hit = _docs(spark, sf).select("doc_id", "text", F.explode(X.ss_pairs("text")).alias("place"))
     return hit.select("doc_id", "place", X.around("text", F.col("place"), F.col("place") + 2, 30).alias("around"))
 
 

@@ -138,14 +138,47 @@ def german_spelling(text: Column, rules: Sequence[tuple[str, str | None]], least
     return (eszett >= least) & (eszett > 3 * swiss)
 
 
-def evidence(texts: DataFrame, signs: DataFrame, key: str = "doc_id", many: int = 2, short: int = 40) -> DataFrame:
-    """``key``, ``n_signs``, ``n_words``, ``swiss``: distinct listed words of ``signs(sign)``; two decide, or one in a short text."""
-    words = texts.select(key, F.explode(X.letter_words(F.lower("text"))).alias("sign"))
-    hits = words.join(small(signs.select(F.lower("sign").alias("sign")).distinct()), "sign").groupBy(key).agg(F.countDistinct("sign").alias("n_signs"))
+def signs(texts: DataFrame, listed: DataFrame, key: str = "doc_id", currency: str | None = None, wholes: Sequence[str] = (), ss: Sequence[tuple[str, str | None]] = ()) -> DataFrame:
+    """``key``, ``sign``: what shows that a text is of the region, each sign once.
+
+    Words of ``listed(sign)``, the pattern ``currency`` (one sign, however often), phrases of
+    ``wholes`` as words of their own, and words that the ``ss`` rules would respell.
+    """
+    words = texts.select(key, F.explode(F.array_distinct(X.letter_words("text"))).alias("word"))
+    out = words.withColumn("sign", F.lower("word")).join(small(listed.select(F.lower("sign").alias("sign")).distinct()), "sign").select(key, "sign")
+    if currency:
+        out = out.unionByName(texts.filter(F.col("text").rlike(currency)).select(key, F.lit("currency").alias("sign")))
+    for phrase in wholes:
+        quoted = re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", phrase)
+        out = out.unionByName(texts.filter(F.col("text").rlike(rf"(?i)(?<!\p{{L}}){quoted}(?!\p{{L}})")).select(key, F.lit(phrase.lower()).alias("sign")))
+    if ss:
+        out = out.unionByName(words.filter(F.col("word").contains("ss") & (ordered_rules(F.col("word"), ss) != F.col("word"))).select(key, F.lower("word").alias("sign")))
+    return out.distinct()
+
+
+def evidence(texts: DataFrame, found: DataFrame, key: str = "doc_id", many: int = 2, short: int = 40) -> DataFrame:
+    """``key``, ``n_signs``, ``n_words``, ``swiss`` of texts with the signs ``found(key, sign)``; two decide, or one in a short text."""
+    hits = found.groupBy(key).agg(F.countDistinct("sign").alias("n_signs"))
     counted = texts.select(key, F.size(X.letter_words("text")).alias("n_words")).join(hits, key, "left").withColumn("n_signs", F.coalesce("n_signs", F.lit(0)))
     return counted.withColumn("swiss", (F.col("n_signs") >= many) | ((F.col("n_signs") >= 1) & (F.col("n_words") <= short)))
 
 
+def held(texts: DataFrame, words: DataFrame, rejects: DataFrame, key: str = "doc_id", width: int = 30, agree: int = 12) -> DataFrame:
+    """Spans of ``words(key, start, end, word)`` that ``rejects(word, before, after)`` hold as they are.
+
+    The text on both sides must agree as far as both go, for ``agree`` characters in all or to the ends of what was noted.
+    """
+    near = words.join(small(rejects), "word").join(texts.select(key, "text"), key)
+    left = F.substring("text", F.greatest(F.lit(0), F.col("start") - width) + 1, F.least(F.lit(width), F.col("start")))
+    right = F.substring("text", F.col("end") + 1, F.lit(width))
+    near = near.select(key, "start", "end", "word", "before", "after", left.alias("l"), right.alias("r"))
+    a, b = F.least(F.length("l"), F.length("before")), F.least(F.length("r"), F.length("after"))
+    tail = lambda c: F.substring(c, F.length(c) - a + 1, a)
+    same = (tail(F.col("l")) == tail(F.col("before"))) & (F.substring("r", F.lit(1), b) == F.substring("after", F.lit(1), b))
+    enough = (a + b >= agree) | ((a == F.length("before")) & (b == F.length("after")))
+    return near.filter(same & enough).select(key, "start", "end", "word").distinct()
+
+
 def phrases(text: Column, rules: dict[str, str]) -> Column:
     """Whole-word phrases replaced, longest first, each place once."""
     if not rules:

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import lookup as K
 from ..operators import morph as M
+from ..operators import spans as S
 from ..operators.rules import SEED, RuleSet
 from ..sources.tables import table
 from .corpus_queries import SQL_WORDS
@@ -98,11 +99,37 @@ def cue_decision(spark, sf):
     return docs.select("doc_id", K.decide(F.lit("tion"), [F.col("text")], "ing", "ed ").alias("verdict"))
 
 
-@query("WITH " + SQL_TOP + """, w AS (SELECT doc_id, lower(word) AS sign FROM words), h AS (SELECT doc_id, count(DISTINCT sign) AS n FROM w JOIN (SELECT form FROM top WHERE ord > 55) ON sign = form GROUP BY 1),
+@query("WITH " + SQL_TOP + """, each_word AS (SELECT DISTINCT doc_id, word FROM words),
+found AS (SELECT doc_id, lower(word) AS sign FROM each_word WHERE lower(word) IN (SELECT form FROM top WHERE ord > 55)
+  UNION SELECT doc_id, 'currency' FROM each_word WHERE word IN ('onst', 'thin')
+  UNION SELECT doc_id, 'of the' FROM documents WHERE regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}]of the[^\\p{L}]')
+  UNION SELECT doc_id, lower(word) FROM each_word WHERE contains(word, 'ss') AND regexp_matches(lower(word), 'ess') AND NOT (length(word) > 1 AND word = upper(word) AND word <> lower(word))),
+h AS (SELECT doc_id, count(DISTINCT sign) AS n FROM found GROUP BY 1),
 c AS (SELECT doc_id, len(regexp_extract_all(text, '\\p{L}+')) AS n_words FROM documents)
 SELECT doc_id, CAST(n_words AS INTEGER) AS n_words, coalesce(n, 0) AS n_signs, coalesce(n, 0) >= 2 OR (coalesce(n, 0) >= 1 AND n_words <= 40) AS swiss FROM c LEFT JOIN h USING (doc_id)""")
 def swiss_signs(spark, sf):
-    return K.evidence(table(spark, sf, "documents"), _top(spark, sf).filter("ord > 55").select(F.col("form").alias("sign")))
+    docs = table(spark, sf, "documents")
+    listed = _top(spark, sf).filter("ord > 55").select(F.col("form").alias("sign"))
+    found = K.signs(docs, listed, currency=r"(?<!\p{L})(?:onst|thin)(?!\p{L})", wholes=["of the"], ss=[("ess", None)])
+    return K.evidence(docs, found)
+
+
+SQL_REJECTS = """parts AS (SELECT doc_id, text, unnest(p) AS s, unnest(range(0, len(p))) AS ix FROM (SELECT doc_id, text, regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+') AS p FROM documents)),
+places AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM parts),
+spans AS (SELECT doc_id, text, CAST(start AS BIGINT) AS start, CAST(start + length(s) AS BIGINT) AS stop, s AS word FROM places WHERE regexp_matches(s, '^\\p{L}')),
+rejects AS (SELECT DISTINCT word, substr(text, start - 9, 10) AS before, substr(text, stop + 1, 4) AS after FROM spans WHERE start BETWEEN 40 AND 46),
+near AS (SELECT s.doc_id, s.start, s.stop, word, before, after, substr(text, greatest(0, start - 30) + 1, least(30, start)) AS l, substr(text, stop + 1, 30) AS r FROM spans s JOIN rejects USING (word))"""
+
+
+@query("WITH " + SQL_REJECTS + """, m AS (SELECT *, least(length(l), length(before)) AS a, least(length(r), length(after)) AS b FROM near)
+SELECT DISTINCT doc_id, start, stop AS "end", word FROM m WHERE right(l, a) = right(before, a) AND left(r, b) = left(after, b) AND (a + b >= 12 OR (a = length(before) AND b = length(after)))""")
+def held_places(spark, sf):
+    """Places noted as rejected, by word and what stands around it, found again in all texts."""
+    docs = table(spark, sf, "documents")
+    words = S.word_spans(docs, "doc_id")
+    noted = words.filter(F.col("start").between(40, 46)).join(docs.select("doc_id", "text"), "doc_id")
+    noted = noted.select("word", F.substring("text", F.col("start") - 9, F.lit(10)).alias("before"), F.substring("text", F.col("end") + 1, F.lit(4)).alias("after")).distinct()
+    return K.held(docs, words, noted)
 
 
 @query("""WITH r AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM documents)),

@@ -123,7 +123,15 @@ def word_verdicts(spark, sf):
     return L.word_verdicts(words, _tables(spark, sf)).withColumn("margin", F.col("margin").cast("long"))
 
 
-@query()
+@query("WITH texts_words AS (SELECT word AS key, word FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM conversations))," + SQL_COSTS + """,
+lists AS (SELECT conv_id || ':' || turn AS doc, regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+') AS p FROM conversations),
+toks AS (SELECT doc, p, unnest(p) AS s, unnest(range(0, len(p))) AS ix FROM lists),
+gapped AS (SELECT *, lag(s) OVER (PARTITION BY doc ORDER BY ix) AS gap FROM toks),
+kinds AS (SELECT g.*, margin, CASE WHEN best <> 'de' THEN best END AS kind FROM gapped g JOIN detected d ON d.key = lower(s) WHERE regexp_matches(s, '^\\p{L}')),
+joined AS (SELECT *, coalesce(kind = lag(kind) OVER w AND NOT coalesce(regexp_matches(gap, '[^ \t''’-]'), FALSE), FALSE) AS same FROM kinds WINDOW w AS (PARTITION BY doc ORDER BY ix)),
+islands AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY ix) AS island FROM joined),
+found AS (SELECT doc, any_value(p) AS p, min(ix) AS first, max(ix) AS last, any_value(kind) AS lang FROM islands WHERE kind IS NOT NULL GROUP BY doc, island HAVING count(*) >= 2 AND sum(margin) >= 20)
+SELECT doc AS key, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, lang, array_to_string(p[first + 1:last + 1], '') AS words FROM found""")
 def foreign_runs(spark, sf):
     rows = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
     return L.foreign_runs(rows, "key", _tables(spark, sf))

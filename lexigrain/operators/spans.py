@@ -203,19 +203,22 @@ def segment(letters: str, cost: dict[str, float], common: float = 3.5, longest:
     if len(letters) < 4:
         return [letters]
     n = len(letters)
-    paths: dict[int, tuple[float, list[str], bool]] = {0: (0.0, [], False)}  # to a place: price, words, whether the last is a rare noun
+    paths: dict[tuple[int, bool], tuple[float, list[str]]] = {(0, False): (0.0, [])}  # to a place, after a noun that is not common or not
     for start, end, price, rare in lattice(letters, cost, common, longest):
-        if start not in paths or (start, end) == (0, n):
+        if (start, end) == (0, n):
             continue
-        total, words, after_noun = paths[start]
         small = start > 0 and not letters[start].isupper()
-        if small and after_noun and rare:
-            continue
-        total += price + gap * small
-        if end not in paths or total < paths[end][0]:
-            paths[end] = total, [*words, letters[start:end]], rare and letters[start].isupper()
+        for after_noun in (False, True):
+            if (start, after_noun) not in paths or (small and after_noun and rare):
+                continue
+            total, words = paths[start, after_noun]
+            step = (total + price + gap * small, [*words, letters[start:end]])
+            to = (end, rare and letters[start].isupper())
+            if to not in paths or step[0] < paths[to][0]:
+                paths[to] = step
     whole = cost.get(letters.lower(), oov + unlisted * n) if n <= longest else float("inf")
-    return paths[n][1] if n in paths and paths[n][0] < whole else [letters]
+    best = min((paths[n, noun] for noun in (False, True) if (n, noun) in paths), key=lambda p: p[0], default=(float("inf"), []))
+    return best[1] if best[0] < whole else [letters]
 
 
 def word_spans(texts: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -48,6 +48,37 @@ def test_procedures():
     assert S.segment("abc", cost) == ["abc"] and S.segment("Unbekannt", cost) == ["Unbekannt"]
 
 
+def slow_segment(letters, cost, common=3.5):
+    """The cheapest of all ways to cut, straight from the rules."""
+    best = (cost.get(letters.lower(), 8.0 + 1.6 * len(letters)), [letters])
+    for cuts in range(1, 2 ** (len(letters) - 1)):
+        ends = [i + 1 for i in range(len(letters) - 1) if cuts >> i & 1]
+        parts = [letters[a:b] for a, b in zip([0, *ends], [*ends, len(letters)])]
+        if any(len(p) < 2 or p.lower() not in cost or (len(p) < 4 and cost[p.lower()] > common) for p in parts):
+            continue
+        total, fine = cost[parts[0].lower()], True
+        for x, y in zip(parts, parts[1:]):
+            small = not y[0].isupper()
+            fine = fine and not (small and x[0].isupper() and cost[x.lower()] > common and cost[y.lower()] > common)
+            total += cost[y.lower()] + 2.0 * small
+        if fine and total < best[0]:
+            best = (total, parts)
+    return best
+
+
+def test_segmentation_equals_brute_force():
+    rng = random.Random(12)
+    listed = ["ab", "abc", "cab", "bca", "abca", "cc", "bcab", "ca", "aab", "ccab"]
+    for _ in range(120):
+        cost = {w: round(rng.uniform(1, 7), 2) for w in rng.sample(listed, 7)}
+        letters = "".join(rng.choice(["ab", "Ab", "c", "C", "ca", "Bca", "a"]) for _ in range(rng.randrange(3, 7)))[:12]
+        if len(letters) >= 4:
+            total, _ = slow_segment(letters, cost)
+            got = S.segment(letters, cost)
+            price = cost.get(letters.lower(), 8.0 + 1.6 * len(letters)) if got == [letters] else sum(cost[w.lower()] for w in got) + 2.0 * sum(not w[0].isupper() for w in got[1:])
+            assert "".join(got) == letters and abs(price - total) < 1e-9
+
+
 def test_decomposable(spark):
     rng = random.Random(2)
     listed = {"weg", "netz", "anfrage", "eis", "eisen", "bahn", "hof", "ens", "sen", "nee"}

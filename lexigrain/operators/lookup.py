@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..sources.tables import saved
 
 #: Endings of a verb.
-VERB_ENDINGS = r"^(?:en|e|st|t|et|te|ten|ter|tes|tem|test|tet|end|ende|enden|ender|endes|endem)$"
+VERB_ENDINGS = ("e", "en", "end", "ende", "endem", "enden", "ender", "endes", "et", "st", "t", "te", "tem", "ten", "ter", "tes", "test", "tet")
 
 
 def small(rules: DataFrame) -> DataFrame:
@@ -75,10 +75,10 @@ def prefix(words: DataFrame, heads: DataFrame, word: str = "word", rest: int = 3
     return best.select("word", "b.head", "b.repl", "b.remainder")
 
 
-def verbs(words: DataFrame, stems: DataFrame, word: str = "word", endings: str = VERB_ENDINGS) -> DataFrame:
+def verbs(words: DataFrame, stems: DataFrame, word: str = "word", endings: Sequence[str] = VERB_ENDINGS) -> DataFrame:
     """Distinct words that are a stem of ``stems(stem, repl, ge, ord)`` and an ending: ``word``, ``stem``, ``plain``, ``participle``."""
     starts = words.select(F.col(word).alias("word")).distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.length("word"))))
-    starts = starts.withColumn("stem", F.lower(F.expr("left(word, n)"))).withColumn("end", F.lower(F.expr("substring(word, n + 1)"))).filter(F.col("end").rlike(endings))
+    starts = starts.withColumn("stem", F.lower(F.expr("left(word, n)"))).withColumn("end", F.lower(F.expr("substring(word, n + 1)"))).filter(F.col("end").isin(*endings))
     best = starts.join(small(stems), "stem").groupBy("word").agg(F.min(F.struct("ord", "stem", "repl", "ge", "end")).alias("b"))
     plain = F.concat("b.repl", "b.end")
     return best.select("word", "b.stem", X.match_case("word", plain).alias("plain"), X.match_case("word", F.concat("b.ge", plain)).alias("participle"))

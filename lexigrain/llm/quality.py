@@ -100,15 +100,17 @@ def contexts(texts: Iterable[str]) -> np.ndarray:
     return out
 
 
-def word_vectors(chosen: DataFrame, tasks: int = 2) -> np.ndarray:
-    """Each bucket's vector from ``chosen(text)``, summed in ``tasks`` tasks; as many matrices of fixed size go to the driver."""
+def word_vectors(chosen: DataFrame, tasks: int = 2, part: int = 1024) -> np.ndarray:
+    """Each bucket's vector from ``chosen(text)``, summed in ``tasks`` tasks; as many matrices of fixed size go to the driver, in slices of ``part`` buckets."""
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"context": [contexts(x for part in batches for x in part["text"]).tobytes()]})
+        total = contexts(x for b in batches for x in b["text"])
+        for i in range(BUCKETS // part):
+            yield pd.DataFrame({"slice": [i], "context": [total[i * part * DIM : (i + 1) * part * DIM].tobytes()]})
 
-    context = np.zeros(BUCKETS * DIM, np.float64)
-    for r in chosen.select("text").coalesce(tasks).mapInPandas(summed, "context binary").toLocalIterator():
-        context += np.frombuffer(r.context, np.float32)
+    context = np.zeros((BUCKETS // part, part * DIM), np.float64)
+    for r in chosen.select("text").coalesce(tasks).mapInPandas(summed, "slice int, context binary").repartition(BUCKETS // part, "slice").collect():
+        context[r.slice] += np.frombuffer(r.context, np.float32)
     context = context.reshape(BUCKETS, DIM)
     places, signs = index_vectors()
     out = (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)).astype(np.float32)

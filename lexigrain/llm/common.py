@@ -103,9 +103,10 @@ BROADCAST_BYTES = 32 << 20
 
 def light(table: DataFrame, most: int | None = None) -> DataFrame:
     """``table`` (written or checkpointed) marked to be broadcast if its rows hold ``most`` bytes at most; a larger one is left to a shuffle join."""
-    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind == "string"]
-    each = 24 + 16 * len(table.columns)  # more than a row of numbers takes in a hash relation
-    held = table.agg(F.sum(sum(strings, F.lit(each).cast("long")))).first()[0] or 0
+    strings = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c, kind in table.dtypes if "string" in kind]
+    held = (24 + 16 * len(table.columns)) * table.count()  # more than rows of numbers take in a hash relation
+    if strings:
+        held += table.agg(F.sum(sum(strings[1:], strings[0]))).first()[0] or 0
     return F.broadcast(table) if held <= (BROADCAST_BYTES if most is None else most) else table
 
 

@@ -4,14 +4,16 @@ SimHash at few bits finds only the closest copies, and at the 15 % of bits in wh
 fingerprints of sets alike by 0.8 differ, no chain of segments is selective. So a set
 that the fingerprints have linked is verified, and then all sets are
 joined: ordered by rarity, two sets reach the threshold only if they
-share a shingle among their first few (prefix filter), are of like sizes and share as
-many of the first ones as those behind them cannot make up for. Parity maps, of 256 bits and
-then of 2048, bound the symmetric difference; what is left is verified on the whole sets.
+share a shingle among their first few (prefix filter), are of like sizes and have
+enough shingles left from there on (positional filter). Parity maps, of 256 bits and then of
+2048 or as many as the set is large, bound the symmetric difference; what is left is verified
+on the whole sets.
 
 Only the classes are wanted, so large groups are not paired whole: first each set
 meets its fingerprint's neighbours and the least and the greatest set of each posting, then
 all pairs of a posting that lie in different classes are joined. No pair that could join two
-classes is left out.
+classes is left out. A pair that shares many postings comes out of the join at the first of them,
+and again only where it shares none of the last few before.
 
 Shingles and sets are compared by 64-bit hashes.
 """
@@ -38,8 +40,10 @@ WORDS, THRESHOLD = 5, (4, 5)
 SLOTS, FILTER_BYTES = 1 << 16, 1 << 16
 #: Larger sets don't meet the ends of postings first; all their pairs are counted.
 LARGE = 2000
-#: Bits of the parity maps.
+#: Bits of the parity maps; a set larger than the finer one's has one of the next power of two.
 LANES, FINE = 256, 2048
+#: Shingles before a posting's that tell whether a pair has met already.
+BEFORE = 4
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -100,7 +104,8 @@ def sketch_udf(classes: np.ndarray, words: int, threshold: tuple[int, int]) -> C
                 s = shingles(x, words)
                 n = len(s)
                 order = np.lexsort((s, classes[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))
-                flips = np.bincount((s >> np.uint64(20) & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE) & 1
+                bits = max(FINE, 1 << max(0, n - 1).bit_length())
+                flips = np.bincount((s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                 fine, parity = _packed(flips), _packed(flips.reshape(-1, LANES).sum(0) & 1)
                 first = s[order[: n + (-n * a) // b + 1]] if n else s
                 out.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), voted([s], n) if n else 0, n, parity, fine, _signed(first)))
@@ -120,12 +125,30 @@ def _marked(rows: DataFrame, key: str) -> Column:
     return F.getbit(byte, (slot % 8).cast("int")) == 1
 
 
-def _alike(x: str, y: str, threshold: tuple[int, int], parity: str = "parity", bits: int = LANES) -> Column:
-    """What two rows with ``n`` and a parity map must have for their sets to reach the threshold."""
+def _folded(bits: Column, longs: Column) -> Column:
+    """A parity map of ``longs`` entries from one of as many or twice as many."""
+    return F.when(F.size(bits) > longs, F.zip_with(F.slice(bits, F.lit(1), longs), F.slice(bits, longs + 1, longs), lambda v, w: v.bitwiseXOR(w))).otherwise(bits)
+
+
+def _sized(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
+    """What the sizes of two sets must fulfil."""
     a, b = threshold
-    n, m, p, q = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.{parity}"), F.col(f"{y}.{parity}")
-    flipped = F.aggregate(F.zip_with(p, q, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, v: s + v) if bits > 256 else sum((F.bit_count(p[k].bitwiseXOR(q[k])) for k in range(1, bits // 64)), F.bit_count(p[0].bitwiseXOR(q[0])))
-    return (n * b >= m * a) & (m * b >= n * a) & (flipped <= n + m - 2 * _need(n, m, threshold))
+    return (n * b >= m * a) & (m * b >= n * a)
+
+
+def _alike(x: str, y: str, threshold: tuple[int, int]) -> Column:
+    """What two rows with ``n`` and ``parity`` must have for their sets to reach the threshold."""
+    n, m, p, q = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.parity"), F.col(f"{y}.parity")
+    flipped = sum((F.bit_count(p[k].bitwiseXOR(q[k])) for k in range(1, LANES // 64)), F.bit_count(p[0].bitwiseXOR(q[0])))
+    return _sized(n, m, threshold) & (flipped <= n + m - 2 * _need(n, m, threshold))
+
+
+def _alike_fine(x: str, y: str, threshold: tuple[int, int]) -> Column:
+    """The same of two rows with ``n`` and ``fine``."""
+    n, m, p, q = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.fine"), F.col(f"{y}.fine")
+    longs = F.least(F.size(p), F.size(q))  # sets of like sizes have maps of one size or the next
+    flipped = F.aggregate(F.zip_with(_folded(p, longs), _folded(q, longs), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, v: s + v)
+    return F.when(_sized(n, m, threshold), flipped <= n + m - 2 * _need(n, m, threshold))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
@@ -138,7 +161,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, each: DataFrame, words: int, th
 
     maps = each.select("fp", "n", "fine")
     pairs = pairs.join(maps.alias("x"), F.col("a") == F.col("x.fp")).join(maps.alias("y"), F.col("b") == F.col("y.fp"))
-    pairs = cut(pairs.filter(_alike("x", "y", threshold, "fine", FINE)).select("a", "b"))
+    pairs = cut(pairs.filter(_alike_fine("x", "y", threshold)).select("a", "b"))
     named = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     named = cut(each.select("fp", "id", "h").join(named, "fp"))
     there = rows.filter(_marked(named, "h")).withColumnRenamed("id", "own")
@@ -163,6 +186,26 @@ def near_prints(each: DataFrame) -> DataFrame:
     return same.unionByName(linked.select(F.greatest("a_", "b_").alias("a"), F.least("a_", "b_").alias("b")))
 
 
+def meetings(shared: DataFrame, label: DataFrame, sizes: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """Pairs ``a``, ``b``, few of them repeated, of sets of different labels that may reach the threshold, the greater one first.
+
+    ``shared`` has ``fp``, ``word`` and ``i``, the word's place in the prefix; a set that ``label(fp, label)`` lacks is its own.
+    """
+    of_word = Window.partitionBy("word")
+    placed = shared.select("word", "fp", "i").join(sizes.select("fp", "n"), "fp").join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    placed = placed.withColumn("lo", F.min("label").over(of_word)).withColumn("hi", F.max("label").over(of_word)).withColumn("least", F.min("n").over(of_word))
+    placed = placed.filter((F.col("lo") != F.col("hi")) & (F.col("n") - F.col("i") >= _need(F.col("n"), F.col("least"), threshold)))
+    placed = placed.select("word", "fp", "i", "label").join(sizes, "fp")
+    ahead = Window.partitionBy("fp").orderBy("i")
+    placed = cut(placed.withColumn("before", F.array(*[F.lag("word", k).over(ahead) for k in range(1, BEFORE + 1)])))
+    need = _need(F.col("x.n"), F.col("y.n"), threshold)
+    places = (F.col("x.n") - F.col("x.i") >= need) & (F.col("y.n") - F.col("y.i") >= need)  # i counts from 0
+    fits = (F.col("x.fp") > F.col("y.fp")) & (F.col("x.label") != F.col("y.label")) & places & _alike("x", "y", threshold)
+    # Where both have a word of those before, they have met there: its places are lower, so what holds here holds there.
+    fits &= ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
+    return placed.alias("x").join(placed.alias("y"), (F.col("x.word") == F.col("y.word")) & fits).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+
 def roots(rows: DataFrame, prints: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``node``, ``root`` of the sets ``fp`` that are linked to others by similarity.
 
@@ -171,7 +214,7 @@ def roots(rows: DataFrame, prints: DataFrame, words: int = WORDS, threshold: tup
     each = cut(prints.dropDuplicates(["fp"]))
     sizes = each.select("fp", "n", "parity")
     found = cut(near_prints(each.select("fp", "sim")))
-    postings = each.select("fp", F.explode("first").alias("word"))
+    postings = each.select("fp", F.posexplode("first").alias("i", "word"))
     of_word = Window.partitionBy("word")
     shared = postings.withColumn("lo", F.min("fp").over(of_word)).withColumn("hi", F.max("fp").over(of_word))
     shared = cut(shared.filter("lo <> hi"))
@@ -187,15 +230,9 @@ def roots(rows: DataFrame, prints: DataFrame, words: int = WORDS, threshold: tup
     release(rows.sparkSession)
     for _ in range(2):
         label = label.join(label.select(F.col("a").alias("label"), F.col("label").alias("next")), "label").select("a", F.col("next").alias("label"))
-    placed = shared.select("word", "fp").join(cut(label).withColumnRenamed("a", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    placed = placed.withColumn("lo", F.min("label").over(of_word)).withColumn("hi", F.max("label").over(of_word)).filter("lo <> hi")
-    placed = cut(placed.select("word", "fp", "label").join(sizes, "fp"))
-    apart = (F.col("x.fp") > F.col("y.fp")) & (F.col("x.label") != F.col("y.label"))
-    second = placed.alias("x").join(placed.alias("y"), (F.col("x.word") == F.col("y.word")) & apart & _alike("x", "y", threshold))
-    second = second.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("c"))
-    behind = F.floor((F.greatest("n", "m") * threshold[0] + (threshold[1] - 1)) / threshold[1]) - 1  # of the longer set, behind its prefix
+    second = meetings(shared, cut(label).withColumnRenamed("a", "fp"), sizes, threshold).distinct()
     release(rows.sparkSession)
-    second = cut(second.filter(F.col("c") + behind >= _need(F.col("n"), F.col("m"), threshold)).select("a", "b"))
+    second = cut(second)
     return components(links.unionByName(_verified(second, rows, each, words, threshold)))
 
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexigrain.llm import shingles, simhash
 from lexigrain.llm.common import table
@@ -66,3 +68,47 @@ def test_fingerprints_find_the_close_pairs(spark):
     made = df.select(shingles.sketch_udf(shingles.rarity(df), 5, (4, 5))("text").alias("s")).select("s.fp", "s.sim").distinct()
     pairs = {tuple(r) for r in shingles.near_prints(made).collect()}
     assert len(pairs) >= 25 and all(a > b for a, b in pairs)
+
+
+def test_pairs_of_a_group_come_out_of_the_join_once(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(80):
+        words = list(base)
+        for j in rng.sample(range(400), rng.choice([2, 4, 8, 12])):
+            words[j] = f"x{i}y{j}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    each = df.select("id", shingles.sketch_udf(shingles.rarity(df), 5, (4, 5))("text").alias("s")).select("id", "s.*").cache()
+    postings = each.select("fp", F.posexplode("first").alias("i", "word"))
+    label = spark.createDataFrame([], "fp long, label long")
+    rows = [tuple(r) for r in shingles.meetings(postings, label, each.select("fp", "n", "parity")).collect()]
+    sets = {r.fp: slow_set(texts[r.id]) for r in each.collect()}
+    first = {r.fp: set(r["first"]) for r in each.collect()}
+    assert all(a > b for a, b in rows)
+    want = {(a, b) for a in sets for b in sets if a > b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(want) > 200 and want <= set(rows)
+    shared = sum(len(first[a] & first[b]) for a, b in set(rows))  # the rows of a join on words alone
+    assert len(rows) < 1.2 * len(set(rows)) < 0.1 * shared
+
+
+def test_sets_larger_than_the_finer_map(spark):
+    rng = random.Random(6)
+    texts = []
+    for n in (3900, 4090, 4110, 9000):
+        base = [f"{n}w{i}" for i in range(n)]
+        texts.append(" ".join(base))
+        texts.append(" ".join(base + [f"{n}t{i}" for i in range(n // 10)]))  # on the other side of a power of two for 3900 and 4090
+        for k in (n // 60, n // 30):
+            words = list(base)
+            for i in rng.sample(range(n), k):
+                words[i] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(words))
+        texts.append(" ".join(base[:40] + [f"z{rng.randrange(10**9)}" for _ in range(n)]))  # a passage, else nothing
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = df.select(shingles.sketch_udf(shingles.rarity(df), 5, (4, 5))("text").alias("s")).select("s.*").cache()
+    assert all(64 * len(r.fine) >= max(2048, r.n) for r in made.collect())
+    links = made.alias("x").join(made.alias("y"), (F.col("x.fp") > F.col("y.fp")) & shingles._alike_fine("x", "y", (4, 5))).select("x.n", "y.n").collect()
+    assert 8 <= len(links) <= 16
+    assert sorted(r.doc_id for r in simhash.keep_one(df, words=5, threshold=(4, 5)).collect()) == slow_kept(dict(enumerate(texts)))

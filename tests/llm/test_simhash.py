@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lexigrain.llm import components as components_of
 from lexigrain.llm import simhash
 from lexigrain.llm.components import components
 
@@ -104,3 +105,21 @@ def test_repeated_ids_of_different_texts(spark):
     for parts in (1, 5):
         got = sorted((r.doc_id, r.text) for r in simhash.keep_one(df.repartition(parts)).collect())
         assert got == [(1, one), (1, two), (3, "third thing"), (4, "fourth thing")]
+
+
+def test_components_in_one_partition_and_dealt_out(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(1000 + i, 1001 + i) for i in range(70)]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(9)
+    stages = spark.sparkContext.statusTracker()
+    tasks = {}
+    for few in (components_of.FEW, 0):
+        monkeypatch.setattr(components_of, "FEW", few)
+        spark.sparkContext.setJobGroup(f"few {few}", "")
+        got = {r.node: r.root for r in components(df).collect()}
+        nodes = {x for p in pairs if p[0] != p[1] for x in p}
+        assert got == {x: y for x, y in roots(nodes, pairs).items()}
+        jobs = [stages.getJobInfo(j) for j in stages.getJobIdsForGroup(f"few {few}")]
+        tasks[few] = sum(stages.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if stages.getStageInfo(s))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks[100_000] < 0.6 * tasks[0]

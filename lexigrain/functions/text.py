@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -137,13 +138,15 @@ def composed() -> dict[str, str]:
 
 
 def compose_accents(text: Column | str) -> Column:
-    """A spacing accent before a letter that takes it becomes one letter."""
-    pairs = composed()
-    accents = "".join(ACCENTS)
-    parts = F.regexp_extract_all(col(text), F.lit(rf"([{accents}]\p{{L}}|[^{accents}]+|[{accents}])"), F.lit(1))
-    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    made = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
-    return F.when(col(text).rlike(f"[{accents}]"), made).otherwise(col(text))
+    """A spacing accent before a letter that takes it becomes one letter. In Arrow batches with a hashed table; Spark looks up a map key by key."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        pairs = composed()
+        letter_after = re.compile(rf"[{''.join(ACCENTS)}][^\W\d_]")
+        return texts.map(lambda t: None if t is None else letter_after.sub(lambda m: pairs.get(m[0], m[0]), t))
+
+    return run(col(text))
 
 
 def normalised(text: Column | str, form: str = "NFC") -> Column:

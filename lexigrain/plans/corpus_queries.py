@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corpus as C
-from ..sources.tables import page_texts, table
+from ..sources.tables import dealt, page_texts, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -142,7 +142,8 @@ n AS (SELECT *, nfc_normalize(substr(s, 2, 1) || translate(left(s, 1), '´¨ˆ˜
 SELECT key, typed, string_agg(CASE WHEN length(s) = 2 AND left(s, 1) IN ('´', '¨', 'ˆ', '˜', '¸', '˚', 'ˇ', '˘', '˙', '˝', '¯', '˛') AND length(c) = 1 THEN c ELSE s END, '' ORDER BY i) AS composed FROM n GROUP BY 1, 2""")
 def accents_composed(spark, sf):
     accents, letters = (F.explode(F.array(*map(F.lit, x))) for x in ("´¨ˆ˜¸˚ˇ˘˙˝¯˛", "aEcnußzO"))
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_name", "p_type", accents.alias("a")).select("*", letters.alias("l"))
+    part = dealt(table(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_name", "p_type"), "key")  # 96 rows each
+    part = part.select("*", accents.alias("a")).select("*", letters.alias("l"))
     typed = F.concat("p_name", F.lit(" "), "a", "l", F.substring("p_type", 2, 1000), F.lit(" "), "a", F.lit(" x^e `a`"))
     return part.select("key", typed.alias("typed")).select("key", "typed", X.compose_accents("typed").alias("composed"))
 

@@ -33,6 +33,12 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Small rows that make much work, dealt out evenly: a compact file is one task, and adaptive execution would gather few bytes in few tasks again."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """``line`` for each line of text files; with ``limit`` the first of them by file and place."""
     found = spark.read.text(path).withColumnRenamed("value", "line")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import saved
 
 ColumnMap = Callable[[Column], Column]
 
@@ -241,13 +242,15 @@ def mix_in(rows: DataFrame, others: DataFrame, k: int, key: str = "key", seed: s
 
 
 def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``rows`` with ``n`` from 0 in an order, without gathering them in one task: counts of ranges first."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy(*order)
-    local = ranged.withColumn("__r", F.row_number().over(w))
-    sizes = local.groupBy("__p").agg(F.max("__r").alias("__c"))
+    """``rows`` with ``n`` from 0 in an order, without gathering them in one task: counts of ranges first.
+
+    The ranges are written once: their edges come from a sample, so a second run of the plan would cut them elsewhere.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = saved(placed, "numbered").withColumn("__p", F.shiftright("__id", 33))
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__c"))
     before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
-    return local.join(F.broadcast(before), "__p").select(*rows.columns, (F.col("__b") + F.col("__r") - 1).alias("n"))  # a row per partition
+    return placed.join(F.broadcast(before), "__p").select(*rows.columns, (F.col("__b") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"))  # a row per partition
 
 
 # ---- evaluation

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexigrain import plans
 from lexigrain.functions import text as X
+from lexigrain.operators import corpus as C
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,3 +14,10 @@ def test_accents_are_composed_in_many_tasks(spark):
     texts = ["´a¨´e", "ˇˇs", "´ˆa ´½ ˘A", "", None, "plain ´"]
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", X.compose_accents("t").alias("c"))
     assert [r.c for r in rows.orderBy("n").collect()] == ["á¨é", "ˇˇs", "´ˆa ´½ Ă", "", None, "plain ´"]
+
+
+def test_rows_are_numbered_though_range_edges_are_sampled(spark):
+    rows = spark.range(0, 40_000, 1, 8).select(((F.col("id") * 7919) % 40_000).alias("k"), F.repeat(F.lit("x"), F.col("id").cast("int") % 50).alias("t"))
+    found = C.mix_in(spark.range(200).select(F.col("id").alias("key")), C.numbered(rows, ["k"]).select("n", F.col("k").alias("other"), "t"), 3).persist()
+    assert found.count() == 600
+    assert found.filter("n <> other").count() == 0

@@ -244,7 +244,7 @@ def mix_in(rows: DataFrame, others: DataFrame, k: int, key: str = "key", seed: s
 def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """``rows`` with ``n`` from 0 in an order, without gathering them in one task: counts of ranges first.
 
-    The ranges are written once: their edges come from a sample, so a second run of the plan would cut them elsewhere.
+    The ranges are written once: run again, with fewer columns, the plan gathers them in fewer tasks, and their edges come from a sample.
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     placed = saved(placed, "numbered").withColumn("__p", F.shiftright("__id", 33))
@@ -300,6 +300,6 @@ def impersonal(clause: Column, verbs: Sequence[str]) -> Column:
 def heads(rows: DataFrame, key: str, order: str, text: str = "text", most: int = 20_000) -> DataFrame:
     """``key``, ``head``: the first ``most`` characters of a key's texts in order, what a verdict on the whole is made from."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    needed = rows.withColumn("__before", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0))).filter(F.col("__before") < most)
+    needed = rows.withColumn("__before", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0))).filter(F.col("__before") <= most)  # at most itself the break before the text is the last character
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(text).alias("t")))), lambda x: x["t"]), "\n")
     return needed.groupBy(key).agg(F.substring(joined, 1, most).alias("head"))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from lexigrain import plans
 from lexigrain.functions import text as X
 from lexigrain.operators import corpus as C
+from lexigrain.operators import lookup as K
+from lexigrain.operators import spans as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,8 +18,39 @@ def test_accents_are_composed_in_many_tasks(spark):
     assert [r.c for r in rows.orderBy("n").collect()] == ["á¨é", "ˇˇs", "´ˆa ´½ Ă", "", None, "plain ´"]
 
 
-def test_rows_are_numbered_though_range_edges_are_sampled(spark):
-    rows = spark.range(0, 40_000, 1, 8).select(((F.col("id") * 7919) % 40_000).alias("k"), F.repeat(F.lit("x"), F.col("id").cast("int") % 50).alias("t"))
+def test_rows_are_numbered_though_wide_rows_lie_in_more_tasks(spark):
+    rows = spark.range(0, 40_000, 1, 8).select(((F.col("id") * 7919) % 40_000).alias("k"), F.concat(*[F.md5((F.col("id") * 9 + i).cast("string")) for i in range(9)]).alias("t"))  # with the text it is many tasks, without it few
     found = C.mix_in(spark.range(200).select(F.col("id").alias("key")), C.numbered(rows, ["k"]).select("n", F.col("k").alias("other"), "t"), 3).persist()
     assert found.count() == 600
     assert found.filter("n <> other").count() == 0
+
+
+def test_head_that_ends_with_a_line(spark):
+    lines = spark.createDataFrame([(1, 0, "abc"), (1, 1, "de"), (2, 0, "abcd"), (2, 1, "e"), (3, 0, "abcde"), (3, 1, "")], "key int, ix int, text string")
+    assert sorted((r.key, r.head) for r in C.heads(lines, "key", "ix", most=4).collect()) == [(1, "abc\n"), (2, "abcd"), (3, "abcd")]
+
+
+def test_held_places_meet_as_equals(spark):
+    texts = ["Ein Haus am See und dann noch ein kleines Haus am See.", "Haus", "x² Haus am See, y", "lang davor " * 6 + "kleines Haus am See."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    noted = [("Haus", "in kleines ", " am "), ("Haus", "Ein ", " am See und"), ("Haus", "", ""), ("See", "am ", None), ("Haus", "x" * 40, " am See, y")]
+    rejects = spark.createDataFrame(noted, "word string, before string, after string")
+    words = S.word_spans(docs, "doc_id", around=30)
+    want = set()
+    for d, start, end, word, l, r in ((x.doc_id, x.start, x.end, x.word, x.before, x.after) for x in words.collect()):
+        assert texts[d][start:end] == word and texts[d][max(0, start - 30) : start] == l and texts[d][end : end + 30] == r
+        for w, before, after in noted:
+            if w == word and after is not None:
+                a, b = min(len(l), len(before)), min(len(r), len(after))
+                if l[len(l) - a :] == before[len(before) - a :] and r[:b] == after[:b] and (a + b >= 12 or (a, b) == (len(before), len(after))):
+                    want.add((d, start, end, word))
+    found = K.held(words, rejects)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 3
+    assert "Join [word" not in found._jdf.queryExecution().toString()  # all pairs of a common word
+
+
+def test_word_places_shuffle_nothing(spark):
+    docs = spark.createDataFrame([(1, "Er ist² da."), (2, None), (2, ""), (3, "Ü")], "doc_id long, text string")
+    words = S.word_spans(docs, "doc_id")
+    assert sorted(map(tuple, words.collect())) == [(1, 0, 2, "Er"), (1, 3, 6, "ist"), (1, 8, 10, "da"), (3, 0, 1, "Ü")]
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()

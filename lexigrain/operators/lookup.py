@@ -109,9 +109,16 @@ def nearest(text: Column, word: Column, pattern: str) -> Column:
     """Distance from the word's first place to the nearest match's start; null where there is no match."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    starts = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(hits, F.lit(1), i - 1), F.lit(0), lambda a, x: a + x))
-    at = F.call_function("locate", word, text) - 1
-    return F.when(F.size(hits) > 0, F.array_min(F.transform(starts, lambda s: F.when(at < 0, s).otherwise(F.abs(s - at)))))
+    both = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))  # the last gap has no match after it
+    first = F.struct((F.call_function("locate", word, text) - 1).alias("at"), F.lit(0).alias("place"), F.lit(None).cast("int").alias("best"))
+
+    def step(seen: Column, x: Column) -> Column:
+        start = seen["place"] + x["gap"]
+        away = F.when(seen["at"] < 0, start).otherwise(F.abs(start - seen["at"]))
+        best = F.when(x["hit"].isNotNull(), F.least(seen["best"], away)).otherwise(seen["best"])
+        return F.struct(seen["at"].alias("at"), (start + F.coalesce(x["hit"], F.lit(0))).alias("place"), best.alias("best"))
+
+    return F.aggregate(both, first, step, lambda seen: seen["best"])
 
 
 def decide(word: Column, scopes: Sequence[Column], pro: str, contra: str) -> Column:

@@ -75,6 +75,15 @@ def swissify_offset(text: Column | str, offset: Column | str) -> Column:
     return col(offset) + F.length(before) - F.length(F.replace(before, F.lit("ß"), F.lit("")))
 
 
+def swissify_offsets(text: Column | str, every: int) -> Column:
+    """Where each ``every``-th place of ``text`` lies after ``swissify``; the text is walked through once."""
+    text = col(text)
+    same = F.sequence(F.lit(0), F.length(text), F.lit(every))
+    more = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{{every}}}"), F.lit(0)), lambda s: F.lit(every) + F.length(s) - F.length(F.replace(s, F.lit("ß"), F.lit(""))))
+    places = F.aggregate(more, F.array(F.lit(0)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+    return F.when(text.contains("ß"), places).otherwise(same)
+
+
 def ss_pairs(word: Column | str) -> Column:
     """Places of the non-overlapping ``ss`` of a word, from the left."""
     parts = F.split(col(word), "ss", -1)

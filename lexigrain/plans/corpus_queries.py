@@ -60,11 +60,14 @@ e AS (SELECT doc_id, unnest(parts) AS s, unnest(range(0, len(parts))) AS ix FROM
 o AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e)
 SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE regexp_matches(s, '^\\p{L}')) AS n_words, CAST(sum(start * (ix + 1)) AS BIGINT) AS place_sum, md5(string_agg(s, '' ORDER BY ix)) AS joined FROM o GROUP BY doc_id""")
 def token_offsets(spark, sf):
-    parts = _docs(spark, sf).select("doc_id", F.posexplode(X.tokens("text")).alias("ix", "s"))
-    before = Window.partitionBy("doc_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("start", F.coalesce(F.sum(F.length("s")).over(before), F.lit(0)))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ix", "s"))), lambda x: x["s"]), "")
-    return placed.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("s").rlike(r"^\p{L}")).alias("n_words"), F.sum(F.col("start") * (F.col("ix") + 1)).alias("place_sum"), F.md5(joined).alias("joined"))
+    docs = _docs(spark, sf).filter(F.length("text") > 0).select("doc_id", "text", X.tokens("text").alias("t"))
+
+    def step(seen, s):
+        return F.struct((seen["start"] + F.length(s)).alias("start"), (seen["nr"] + 1).alias("nr"), (seen["total"] + seen["start"] * seen["nr"]).alias("total"))
+
+    first = F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("nr"), F.lit(0).cast("long").alias("total"))
+    walked = docs.select("doc_id", F.regexp_count("text", F.lit(r"\p{L}+")).cast("long").alias("n_words"), F.aggregate("t", first, step).alias("x"), F.md5(F.array_join("t", "")).alias("joined"))
+    return walked.select("doc_id", (F.col("x.nr") - 1).alias("n_tokens"), "n_words", F.col("x.total").alias("place_sum"), "joined")
 
 
 @query("""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{L}+|\\d+(?:[''’.,]\\d+)*|\\s+|(?s:.)')) AS s FROM documents)
@@ -93,8 +96,7 @@ def ss_pair_places(spark, sf):
 list_transform(range(0, length(text) + 1, 100), lambda i: CAST(length(replace(substr(text, 1, i), 'ß', 'ss')) AS INTEGER)) AS places FROM documents""")
 def swissified(spark, sf):
     t = F.col("text")
-    places = F.transform(F.sequence(F.lit(0), F.length(t), F.lit(100)), lambda i: X.swissify_offset(t, i))
-    return _docs(spark, sf).select("doc_id", X.swissify(t).alias("swiss"), (F.length(t) - F.length(F.replace(t, F.lit("ß"), F.lit("")))).cast("long").alias("n_eszett"), places.alias("places"))
+    return _docs(spark, sf).select("doc_id", X.swissify(t).alias("swiss"), (F.length(t) - F.length(F.replace(t, F.lit("ß"), F.lit("")))).cast("long").alias("n_eszett"), X.swissify_offsets(t, 100).alias("places"))
 
 
 @query("WITH " + SQL_WORDS + """, forms AS (SELECT DISTINCT word FROM words WHERE NOT contains(word, 'ß'))
@@ -163,7 +165,7 @@ def numbers_and_prices(spark, sf):
     francs, rest = F.floor(F.col("p_retailprice")), F.lpad((cents % 100).cast("string"), 2, "0")
     grouped = F.when(francs >= 1000, F.concat(F.floor(francs / 1000).cast("string"), F.lit("'"), F.lpad((francs % 1000).cast("string"), 3, "0"))).otherwise(francs.cast("string"))
     swiss = F.concat(F.lit("Teil "), F.col("p_partkey").cast("string"), F.lit(": CHF "), grouped, F.lit("."), rest, F.lit(" oder "), F.col("p_size").cast("string"), F.lit(".– Franken, Fassung 1.2.3, Lager 1'"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(" von 12'34 zu 12.50 m"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), X.prices(X.thousands(swiss)).alias("german"))
+    return dealt(table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size"), "p_partkey").select(F.col("p_partkey").alias("key"), X.prices(X.thousands(swiss)).alias("german"))
 
 
 # ---- filters
@@ -478,12 +480,20 @@ m AS (SELECT *, CASE WHEN regexp_matches(s, '[.!?]') THEN ix END AS stop, CASE W
 w AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_stop, sum(brk) OVER (PARTITION BY doc_id ORDER BY ix) AS clause FROM m)
 SELECT doc_id, CAST(sum(coalesce(last_stop, -1)) AS BIGINT) AS stop_sum, CAST(max(clause) AS BIGINT) AS clauses, count(*) FILTER (WHERE s = upper(s) AND length(s) > 1 AND s <> lower(s)) AS caps FROM w WHERE regexp_matches(s, '^\\p{L}') AND NOT contains(s, 'ß') GROUP BY doc_id""")
 def stops_and_clauses(spark, sf):
-    t = _docs(spark, sf).select("doc_id", F.posexplode(X.tokens("text")).alias("ix", "s"))
-    w = Window.partitionBy("doc_id").orderBy("ix")
-    t = t.withColumn("last_stop", F.last(F.when(F.col("s").rlike("[.!?]"), F.col("ix")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    t = t.withColumn("clause", F.sum(F.col("s").rlike("[.,;:!?]").cast("int")).over(w))
-    words = t.filter(F.col("s").rlike(r"^\p{L}") & ~F.col("s").contains("ß"))
-    return words.groupBy("doc_id").agg(F.sum(F.coalesce("last_stop", F.lit(-1))).alias("stop_sum"), F.max("clause").alias("clauses"), F.count_if(X.all_caps("s")).alias("caps"))
+    long = lambda n, name: F.lit(n).cast("long").alias(name)
+    tallies = ("n_words", "stop_sum", "clauses", "caps")
+
+    def step(seen, s):
+        place, n = seen["place"], seen["n"]
+        goes_on = lambda place, n: F.struct((seen["ix"] + 1).alias("ix"), place.alias("place"), n.alias("n"))
+        own = F.struct((n["n_words"] + 1).alias("n_words"), (n["stop_sum"] + place["last_stop"]).alias("stop_sum"), place["clause"].alias("clauses"), (n["caps"] + X.all_caps(s).cast("long")).alias("caps"))
+        between = F.struct(F.when(s.rlike("[.!?]"), seen["ix"]).otherwise(place["last_stop"]).alias("last_stop"), (place["clause"] + 1).alias("clause"))
+        word = F.when(s.contains("ß"), goes_on(place, n)).otherwise(goes_on(place, own))
+        return F.when(s == " ", goes_on(place, n)).when(s.rlike(r"^\p{L}"), word).when(s.rlike("[.,;:!?]"), goes_on(between, n)).otherwise(goes_on(place, n))
+
+    first = F.struct(long(0, "ix"), F.struct(long(-1, "last_stop"), long(0, "clause")).alias("place"), F.struct(*[long(0, c) for c in tallies]).alias("n"))
+    walked = _docs(spark, sf).select("doc_id", F.aggregate(X.tokens("text"), first, step, lambda seen: seen["n"]).alias("x"))
+    return walked.filter("x.n_words > 0").select("doc_id", "x.stop_sum", "x.clauses", "x.caps")
 
 
 @query("""WITH last AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2)

@@ -146,8 +146,8 @@ def repeat_factors(counts: DataFrame, least: int = 10, most: int = 8) -> DataFra
 def row_repeats(rows: DataFrame, key: str, words: DataFrame, pair: Pair, factors: DataFrame) -> DataFrame:
     """``rows`` with ``factor``: the largest of its words' factors, 1 at least."""
     w = F.col("word")
-    own = words.select(key, pair.fold(w).alias("form"), pair.variant(w).alias("rare_variant")).distinct()
-    best = own.join(factors, ["form", "rare_variant"]).groupBy(key).agg(F.max("factor").alias("factor"))
+    own = words.select(key, pair.fold(w).alias("form"), pair.variant(w).alias("rare_variant"))
+    best = own.join(saved(factors, "factors"), ["form", "rare_variant"]).groupBy(key).agg(F.max("factor").alias("factor"))
     return rows.join(best, key, "left").withColumn("factor", F.coalesce("factor", F.lit(1)))
 
 
@@ -160,7 +160,7 @@ def against(docs: DataFrame, pair: Pair, forms: DataFrame, text: str = "text", i
     placed = docs.select(id_col, F.posexplode(X.letter_words(text)).alias("pos", "word"))
     w = F.col("word")
     coded = placed.select(id_col, "pos", "word", pair.fold(w).alias("form"), pair.variant(w).alias("v"))
-    hit = coded.join(forms.select("form", "is_variant"), "form").filter(F.col("v") != F.col("is_variant"))
+    hit = coded.join(saved(forms.select("form", "is_variant"), "forms"), "form").filter(F.col("v") != F.col("is_variant"))
     return hit.groupBy(id_col).agg(F.min_by(F.struct("word", "is_variant"), "pos").alias("first"), F.min("pos").alias("pos")).select(id_col, "pos", "first.word", "first.is_variant")
 
 

@@ -67,6 +67,20 @@ def scorer_of(grams: DataFrame, lang: str, floor: float = -8.0) -> Callable[[lis
     return trigram_scorer({r.gram: -r.cost / 10 * math.log(10) for r in rows}, floor)
 
 
+def settled(c, score: Callable[[list[str]], list[float]]) -> str:
+    """The text of one conversion with its open choices decided, as ``resolved`` and ``rendered`` do over tables."""
+    own = []
+    for i, d in enumerate(c.decisions):
+        new = d.pick
+        if d.kind == "choice":
+            scores = [float(x) for x in score(c.candidates(i))]
+            base = d.pick if d.base is None else d.base
+            new = base if d.conf is not None and max(scores) - scores[base] < d.conf else scores.index(max(scores))
+        own.append(d.options[new])
+    undone = lambda d: d.depends is not None and own[d.depends] == c.decisions[d.depends].orig
+    return "".join(p if isinstance(p, str) else c.decisions[p].orig if undone(c.decisions[p]) else own[p] for p in c.parts)
+
+
 def spelling_probability(plain: Column, variant: Column) -> Column:
     """Probability of the second of two spellings from the scores of the texts with each."""
     return 1 / (1 + F.exp(plain - variant))

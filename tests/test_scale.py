@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from lexigrain import plans
 from lexigrain.functions import text as X
 from lexigrain.operators import corpus as C
+from lexigrain.operators import convert as V
+from lexigrain.operators import langid as L
 from lexigrain.operators import lookup as K
+from lexigrain.operators import resolve as R
 from lexigrain.operators import spans as S
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +57,68 @@ def test_word_places_shuffle_nothing(spark):
     words = S.word_spans(docs, "doc_id")
     assert sorted(map(tuple, words.collect())) == [(1, 0, 2, "Er"), (1, 3, 6, "ist"), (1, 8, 10, "da"), (3, 0, 1, "Ü")]
     assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def query_plan(spark, name):
+    return plan(plans.QUERIES[name](spark, SF))
+
+
+def test_texts_are_costed_where_they_lie(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tables = L.build(docs, 300, 200)
+    costs = L.text_costs(docs, "doc_id", tables)
+    assert "Join" not in plan(costs) and "Join" not in plan(L.prior_of(costs, "doc_id"))
+    words = C.words_of(docs, "doc_id").withColumn("word", F.lower("word"))
+    want = words.join(L.word_costs(words, tables), "word").groupBy("doc_id", "lang").agg(F.sum("cost").alias("cost"), F.count("*").alias("words"))
+    assert sorted(map(tuple, costs.select("doc_id", "lang", "cost", "words").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_runs_keep_a_texts_tokens_together(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = L.foreign_runs(docs.select(F.col("doc_id").alias("key"), "text"), "key", L.build(docs, 300, 200))
+    assert plan(found).count("Join") == 1  # with the texts, for the words of each run
+
+
+def test_walks_over_tokens_have_no_window(spark):
+    for name in ("token_offsets", "stops_and_clauses"):
+        assert "Window" not in query_plan(spark, name)
+    assert "Aggregate" not in query_plan(spark, "resolve_choices") and "Join" not in query_plan(spark, "resolve_choices")
+
+
+def test_small_parts_are_many_tasks(spark):
+    for name in ("numbers_and_prices", "convert_documents"):
+        assert plans.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert "candidates" not in query_plan(spark, "convert_documents")
+
+
+def test_words_meet_few_forms_unshuffled(spark):
+    words = spark.createDataFrame([(1, "Haus"), (1, "haus"), (2, "Haus")], "k int, word string")
+    factors = spark.createDataFrame([("haus", True, 3), ("haus", False, 2)], "form string, rare_variant boolean, factor int")
+    out = C.row_repeats(words.select("k").distinct(), "k", words, C.CASE, factors)
+    assert sorted((r.k, r.factor) for r in out.collect()) == [(1, 3), (2, 2)]
+    assert "Aggregate [k#" not in plan(out) or "form#" not in plan(out).split("Aggregate [k#")[1].split("\n")[0]
+    forms = C.settled(C.variant_counts(words, C.CASE), least=1, share=0.4)
+    assert "Aggregate [lower" not in plan(C.against(words.select(F.col("k").alias("doc_id"), F.col("word").alias("text")), C.CASE, forms))
+
+
+def test_choices_are_settled_as_over_tables(spark):
+    from lexigrain.plans.text_queries import SENTENCES, _maker
+
+    texts = [" ".join(SENTENCES), "Ein kleiner Entscheid. " * 30, *SENTENCES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    done = V.converted(docs, _maker).select("doc_id", "converted").persist()
+    for wanted in ("Fahr", "ß", "e"):
+        score = lambda x, wanted=wanted: [float(t.count(wanted)) for t in x]
+        want = {r.doc_id: r.text for r in R.rendered(done, "doc_id", R.resolved(done, "doc_id", score)).collect()}
+        assert {i: R.settled(_maker().convert(t, ""), score) for i, t in enumerate(texts)} == want
+
+
+def test_nearest_cue_and_swiss_places_on_long_texts(spark):
+    text = "xß ing " * 3000 + "tion" + " ing" * 3000
+    row = spark.createDataFrame([(text,)], "t string").select(K.nearest(F.col("t"), F.lit("tion"), "ing").alias("n"), X.swissify_offsets("t", 100).alias("p")).first()
+    assert row.n == 4
+    assert row.p == [len(text[:i].replace("ß", "ss")) for i in range(0, len(text) + 1, 100)]
